@@ -2,56 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import LINE_BREAK, present, strip
 
-
-def _object(text: Column) -> Column:
-    """The JSON object as text fields; null when ``text`` is not one."""
-    return F.try_parse_json(text)
+ITEM_COLUMNS = ("item_title", "item_content", "item_problem")
 
 
 def _field(parsed: Column, name: str) -> Column:
     return strip(F.coalesce(F.try_variant_get(parsed, f"$.{name}", "string"), F.lit("")))
 
 
-def parse_timeline_item(response: Column) -> Column:
-    """Struct of title, content and problem.
+def parse_timeline_items(df: DataFrame, response: str = "response") -> DataFrame:
+    """Add item_title, item_content and item_problem.
 
     A code fence is removed; then the text itself or its outermost ``{...}`` is
     read as JSON; text without braces gives its first line as the title. The
     problem is null exactly when both fields could be read and are not empty.
+
+    Done in steps, so that every response is cleaned and parsed once.
     """
-    text = strip(response)
-    fenced = F.startswith(text, F.lit("```"))
-    bare = F.when(
-        fenced,
-        F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", ""),
-    ).otherwise(text)
-    block = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    whole = _object(bare)
-    inner = _object(present(block))
-    parsed = F.coalesce(whole, inner)
+    text = strip(F.col(response))
+    unfenced = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    cleaned = df.withColumn(
+        "_bare", F.when(F.startswith(text, F.lit("```")), unfenced).otherwise(text)
+    )
+    bare = F.col("_bare")
+    parsed = cleaned.withColumn("_whole", F.try_parse_json(bare)).withColumn(
+        "_block",
+        F.when(F.isnull("_whole"), F.regexp_extract(bare, r"(?s)(\{.*\})", 1)).otherwise(""),
+    )
+    plain = F.isnull("_whole") & (F.col("_block") == "")
+    read = parsed.withColumn("_plain", plain).withColumn(
+        "_json", F.coalesce("_whole", F.try_parse_json(present(F.col("_block"))))
+    )
+    is_object = F.coalesce(
+        F.startswith(F.schema_of_variant(F.col("_json")), F.lit("OBJECT")), F.lit(False)
+    )
     lines = F.filter(F.split(bare, LINE_BREAK, -1), lambda x: strip(x) != "")
     first_line = F.left(F.btrim(F.try_element_at(lines, F.lit(1)), F.lit(" #")), F.lit(180))
-    is_plain = whole.isNull() & (block == "")
-    is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
-    title = F.when(is_plain, first_line).when(is_object, _field(parsed, "title"))
-    content = F.when(is_plain, bare).when(is_object, _field(parsed, "content"))
+    fields = read.withColumn("_object", is_object).withColumns(
+        {
+            "_title": F.when(F.col("_plain"), first_line).when(
+                F.col("_object"), _field(F.col("_json"), "title")
+            ),
+            "_content": F.when(F.col("_plain"), bare).when(
+                F.col("_object"), _field(F.col("_json"), "content")
+            ),
+        }
+    )
     problem = (
-        F.when(response.isNull() | (bare == ""), "empty_response")
-        .when(~is_plain & parsed.isNull(), "malformed_json")
-        .when(~is_plain & ~F.coalesce(is_object, F.lit(False)), "not_an_object")
+        F.when(F.isnull(response) | (bare == ""), "empty_response")
+        .when(~F.col("_plain") & F.isnull("_json"), "malformed_json")
+        .when(~F.col("_plain") & ~F.col("_object"), "not_an_object")
         .when(
-            (F.coalesce(title, F.lit("")) == "") | (F.coalesce(content, F.lit("")) == ""),
+            (F.coalesce("_title", F.lit("")) == "") | (F.coalesce("_content", F.lit("")) == ""),
             "missing_field",
         )
     )
-    ok = problem.isNull()
-    return F.struct(
-        F.when(ok, title).alias("title"),
-        F.when(ok, content).alias("content"),
-        problem.alias("problem"),
+    judged = fields.withColumn("item_problem", problem)
+    ok = F.isnull("item_problem")
+    return judged.select(
+        *df.columns,
+        F.when(ok, F.col("_title")).alias("item_title"),
+        F.when(ok, F.col("_content")).alias("item_content"),
+        "item_problem",
     )

@@ -229,14 +229,26 @@ _CTES: dict[str, str] = {
             coalesce(a.mention_count_24h, 0) AS mention_count_24h,
             greatest(p.last_seen_at, a.last_seen_at) AS last_seen_at
         FROM published_entities p FULL JOIN active_live a ON a.id = p.id""",
-    "items": f"""
+    "item_rows": f"""
         SELECT s.id, m.entity_id, s.window_start, s.window_end, s.short_description AS title,
             s.aggregated_news AS summary, s.article_count, s.article_ids
+        FROM summaries s JOIN entity_map m ON m.id = s.entity_id""",
+    "items": """
+        SELECT arg_min(id, row(window_start, id)) AS id, entity_id, window_start, window_end,
+            arg_max(title, row(window_start, id)) AS title,
+            arg_max(summary, row(window_start, id)) AS summary,
+            arg_max(article_count, row(window_start, id)) AS article_count
+        FROM item_rows GROUP BY entity_id, window_start, window_end""",
+    "item_links": """
+        SELECT timeline_item_id, entity_id, article_id,
+            arg_max(position, row(window_start, id)) AS position
         FROM (
-            SELECT t.*, row_number() OVER (PARTITION BY e.entity_id, t.window_start
-                ORDER BY t.id) AS copy
-            FROM summaries t JOIN entity_map e ON e.id = t.entity_id) s
-        JOIN entity_map m ON m.id = s.entity_id""",
+            SELECT i.id, i.entity_id, i.window_start, unnest(i.article_ids) AS article_id,
+                unnest(range(len(i.article_ids))) AS position,
+                arg_min(i.id, row(i.window_start, i.id))
+                    OVER (PARTITION BY i.entity_id, i.window_start) AS timeline_item_id
+            FROM item_rows i)
+        GROUP BY timeline_item_id, entity_id, article_id""",
     "source_articles": f"""
         SELECT a.id, a.title, a.url, a.canonical_url, a.source_name, a.domain_name, a.description,
             a.published_time AS published_at, a.crawl_date AS crawled_at, a.content_hash,
