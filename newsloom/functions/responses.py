@@ -2,70 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import LINE_BREAK, present, strip
 
-ITEM_COLUMNS = ("item_title", "item_content", "item_problem")
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, wherever the result is used."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _field(parsed: Column, name: str) -> Column:
     return strip(F.coalesce(F.try_variant_get(parsed, f"$.{name}", "string"), F.lit("")))
 
 
-def parse_timeline_items(df: DataFrame, response: str = "response") -> DataFrame:
-    """Add item_title, item_content and item_problem.
+def _unfenced(text: Column) -> Column:
+    inner = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    return F.when(F.startswith(text, F.lit("```")), inner).otherwise(text)
 
-    A code fence is removed; then the text itself or its outermost ``{...}`` is
-    read as JSON; text without braces gives its first line as the title. The
-    problem is null exactly when both fields could be read and are not empty.
 
-    Done in steps, so that every response is cleaned and parsed once.
-    """
-    text = strip(F.col(response))
-    unfenced = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    cleaned = df.withColumn(
-        "_bare", F.when(F.startswith(text, F.lit("```")), unfenced).otherwise(text)
-    )
-    bare = F.col("_bare")
-    parsed = cleaned.withColumn("_whole", F.try_parse_json(bare)).withColumn(
-        "_block",
-        F.when(F.isnull("_whole"), F.regexp_extract(bare, r"(?s)(\{.*\})", 1)).otherwise(""),
-    )
-    plain = F.isnull("_whole") & (F.col("_block") == "")
-    read = parsed.withColumn("_plain", plain).withColumn(
-        "_json", F.coalesce("_whole", F.try_parse_json(present(F.col("_block"))))
-    )
-    is_object = F.coalesce(
-        F.startswith(F.schema_of_variant(F.col("_json")), F.lit("OBJECT")), F.lit(False)
+def _item(title: Column, content: Column, problem: Column) -> Column:
+    blank = (F.coalesce(title, F.lit("")) == "") | (F.coalesce(content, F.lit("")) == "")
+    found = F.coalesce(problem, F.when(blank, F.lit("missing_field")))
+    return F.struct(
+        F.when(found.isNull(), title).alias("title"),
+        F.when(found.isNull(), content).alias("content"),
+        found.alias("problem"),
     )
+
+
+def _from_lines(bare: Column) -> Column:
+    """Plain text: the first line that is not blank is the title."""
     lines = F.filter(F.split(bare, LINE_BREAK, -1), lambda x: strip(x) != "")
-    first_line = F.left(F.btrim(F.try_element_at(lines, F.lit(1)), F.lit(" #")), F.lit(180))
-    fields = read.withColumn("_object", is_object).withColumns(
-        {
-            "_title": F.when(F.col("_plain"), first_line).when(
-                F.col("_object"), _field(F.col("_json"), "title")
-            ),
-            "_content": F.when(F.col("_plain"), bare).when(
-                F.col("_object"), _field(F.col("_json"), "content")
-            ),
-        }
-    )
-    problem = (
-        F.when(F.isnull(response) | (bare == ""), "empty_response")
-        .when(~F.col("_plain") & F.isnull("_json"), "malformed_json")
-        .when(~F.col("_plain") & ~F.col("_object"), "not_an_object")
-        .when(
-            (F.coalesce("_title", F.lit("")) == "") | (F.coalesce("_content", F.lit("")) == ""),
-            "missing_field",
-        )
-    )
-    judged = fields.withColumn("item_problem", problem)
-    ok = F.isnull("item_problem")
-    return judged.select(
-        *df.columns,
-        F.when(ok, F.col("_title")).alias("item_title"),
-        F.when(ok, F.col("_content")).alias("item_content"),
-        "item_problem",
+    title = F.left(F.btrim(F.try_element_at(lines, F.lit(1)), F.lit(" #")), F.lit(180))
+    empty = F.when(F.coalesce(bare, F.lit("")) == "", F.lit("empty_response"))
+    return _item(title, bare, empty)
+
+
+def _from_json(parsed: Column) -> Column:
+    is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
+    problem = F.when(parsed.isNull(), F.lit("malformed_json")).when(
+        ~is_object, F.lit("not_an_object")
     )
+    return _item(_field(parsed, "title"), _field(parsed, "content"), problem)
+
+
+def parse_timeline_item(response: Column) -> Column:
+    """Struct of title, content and problem.
+
+    A code fence is removed; then the text itself or its outermost ``{...}`` is
+    read as JSON; text without braces gives its first line as the title. The
+    problem is null exactly when both fields could be read and are not empty.
+    """
+
+    def read(bare: Column) -> Column:
+        def choose(whole: Column) -> Column:
+            block = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+            inner = _let(F.try_parse_json(present(block)), _from_json)
+            return (
+                F.when(whole.isNotNull(), _from_json(whole))
+                .when(F.coalesce(block, F.lit("")) == "", _from_lines(bare))
+                .otherwise(inner)
+            )
+
+        return _let(F.try_parse_json(bare), choose)
+
+    return _let(strip(response), lambda text: _let(_unfenced(text), read))

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsloom import settings
 from newsloom.functions.text import WORD
 from newsloom.operators import matching
+from newsloom.operators.mentions import keyed_schema
 from newsloom.session import spread
 
 
@@ -23,7 +23,7 @@ def rewrite_aliases(
     output: str = "filtered_content",
     max_broadcast: int = settings.MAX_BROADCAST_ALIASES,
 ) -> DataFrame:
-    """Articles (``id``, text) with ``output``: longest alias first, whole words.
+    """(``id``, ``output``) of articles with a text column: longest alias first, whole words.
 
     Up to ``max_broadcast`` rules are shipped to the workers and texts never
     move. A larger catalog is not shipped: each article gets just the rules whose
@@ -39,19 +39,19 @@ def _rewrite_with_all(articles: DataFrame, rules: list, column: str, output: str
     shared = articles.sparkSession.sparkContext.broadcast(
         [(r["alias"], r["canonical_name"]) for r in rules]
     )
-    schema = T.StructType([*articles.schema.fields, T.StructField(output, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = matching.PhraseIndex(alias for alias, _ in shared.value)
         names = [name for _, name in shared.value]
         for batch in batches:
-            batch[output] = [
+            rewritten = [
                 None if value is None else matching.rewrite(value, index, names)
                 for value in batch[column]
             ]
-            yield batch
+            yield pd.DataFrame({"id": batch["id"], output: rewritten})
 
-    return spread(articles).mapInPandas(run, schema)
+    texts = spread(articles.select("id", column))
+    return texts.mapInPandas(run, keyed_schema(articles, f"{output} STRING"))
 
 
 def _tokens(column: str):
@@ -72,8 +72,7 @@ def _rewrite_with_candidates(
         .groupBy("id")
         .agg(F.collect_list(F.struct("alias", "canonical_name")).alias("_rules"))
     )
-    joined = articles.join(found, "id", "left")
-    schema = T.StructType([*articles.schema.fields, T.StructField(output, T.StringType())])
+    joined = articles.select("id", column).join(found, "id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,7 +84,6 @@ def _rewrite_with_candidates(
                 index = matching.PhraseIndex(r["alias"] for r in found_rules)
                 names = [r["canonical_name"] for r in found_rules]
                 rewritten.append(matching.rewrite(value, index, names))
-            batch[output] = rewritten
-            yield batch.drop(columns="_rules")
+            yield pd.DataFrame({"id": batch["id"], output: rewritten})
 
-    return joined.mapInPandas(run, schema)
+    return joined.mapInPandas(run, keyed_schema(articles, f"{output} STRING"))

@@ -218,22 +218,16 @@ def resolve(spans: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def keys(mentions: DataFrame) -> DataFrame:
-    """Distinct (article, entity key) pairs of mentions with an id and a name."""
-    return (
-        mentions.filter(
-            F.col("canonical_entity_id").isNotNull()
-            & (F.col("canonical_entity_id") != "")
-            & F.col("canonical_name").isNotNull()
-            & (F.col("canonical_name") != "")
-        )
-        .select(
-            "article_id",
-            F.col("canonical_entity_id").alias("entity_id"),
-            "canonical_name",
-            F.upper(F.coalesce("label", F.lit("CLUB"))).alias("entity_type"),
-        )
-        .distinct()
+def named(mentions: DataFrame) -> DataFrame:
+    """(article, entity key) of mentions that carry an id and a name."""
+    return mentions.filter(
+        (F.coalesce("canonical_entity_id", F.lit("")) != "")
+        & (F.coalesce("canonical_name", F.lit("")) != "")
+    ).select(
+        "article_id",
+        F.col("canonical_entity_id").alias("entity_id"),
+        "canonical_name",
+        F.upper(F.coalesce("label", F.lit("CLUB"))).alias("entity_type"),
     )
 
 

@@ -36,10 +36,8 @@ def popularity(
         F.col("canonical_name").alias("mention_name"),
         F.coalesce("label", F.lit("CLUB")).alias("label"),
     )
-    # Count the raw keys first: the catalog join then sees one row per entity.
     raw = (
         named.join(recent, "article_id")
-        .distinct()
         .join(
             entities.select(
                 F.col("id").alias("entity_id"),

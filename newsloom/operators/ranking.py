@@ -13,16 +13,16 @@ from newsloom.functions import text, windows
 KEY = ["entity_id", "canonical_name", "entity_type"]
 
 
-def dated_keys(keys: DataFrame, articles: DataFrame) -> DataFrame:
+def dated_keys(named: DataFrame, articles: DataFrame) -> DataFrame:
     """Distinct (article, entity key) pairs with the article's crawl date.
 
-    Both sides meet on the article id, which is the grain of both, so no entity
-    can make this join skewed.
+    Mentions move once: the join partitions them by article, and that already
+    satisfies the deduplication, whose keys contain the article.
     """
     dates = articles.select(F.col("id").alias("article_id"), "crawl_date").filter(
         F.col("crawl_date").isNotNull()
     )
-    return keys.join(dates, "article_id")
+    return named.join(dates, "article_id").distinct()
 
 
 def bucket_counts(dated: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def window_keys(
     typed = mentions.filter(
         F.upper(F.coalesce("label", F.lit("CLUB"))).isin(*settings.TOP_ENTITIES_BY_TYPE)
     )
-    return ranking.dated_keys(mention_ops.keys(typed), scanned)
+    return ranking.dated_keys(mention_ops.named(typed), scanned)
 
 
 def top_entities(dated: DataFrame) -> DataFrame:
@@ -210,9 +210,9 @@ def summarize(
             )
         )
         answered = requests.drop("prompt").join(generate(requests, generator), "id")
-    item = responses.parse_timeline_items(answered)
+    item = answered.withColumn("_item", responses.parse_timeline_item(F.col("response")))
     nothing = F.array().cast("array<string>")
-    return item.filter(F.isnull("item_problem")).select(
+    return item.filter(F.isnull("_item.problem")).select(
         "id",
         "entity_id",
         "canonical_name",
@@ -223,8 +223,8 @@ def summarize(
         F.size("chosen").alias("article_count"),
         nothing.alias("entities_50"),
         nothing.alias("entities_80"),
-        F.col("item_content").alias("aggregated_news"),
-        F.col("item_title").alias("short_description"),
+        F.col("_item.content").alias("aggregated_news"),
+        F.col("_item.title").alias("short_description"),
         F.lit("COMPLETED").alias("status"),
         F.lit(None).cast("string").alias("error_message"),
         F.lit(None).cast("timestamp").alias("published_at"),

@@ -45,7 +45,7 @@ def window_starts(room: Newsroom) -> DataFrame:
 
 
 def _dated(room: Newsroom) -> DataFrame:
-    return ranking.dated_keys(mentions.keys(room.mentions), room.articles)
+    return ranking.dated_keys(mentions.named(room.mentions), room.articles)
 
 
 @register(
