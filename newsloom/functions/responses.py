@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
 from newsloom.functions.text import LINE_BREAK, present, strip
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, wherever the result is used."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _field(parsed: Column, name: str) -> Column:
     return strip(F.coalesce(F.try_variant_get(parsed, f"$.{name}", "string"), F.lit("")))
 
@@ -61,13 +55,13 @@ def parse_timeline_item(response: Column) -> Column:
     def read(bare: Column) -> Column:
         def choose(whole: Column) -> Column:
             block = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-            inner = _let(F.try_parse_json(present(block)), _from_json)
+            inner = let(F.try_parse_json(present(block)), _from_json)
             return (
                 F.when(whole.isNotNull(), _from_json(whole))
                 .when(F.coalesce(block, F.lit("")) == "", _from_lines(bare))
                 .otherwise(inner)
             )
 
-        return _let(F.try_parse_json(bare), choose)
+        return let(F.try_parse_json(bare), choose)
 
-    return _let(strip(response), lambda text: _let(_unfenced(text), read))
+    return let(strip(response), lambda text: let(_unfenced(text), read))

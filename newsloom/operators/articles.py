@@ -37,14 +37,12 @@ def with_text(metadata: DataFrame, contents: DataFrame) -> DataFrame:
 
 def identify(candidates: DataFrame, *, idna: bool = True) -> DataFrame:
     """Add ``canonical_url``, ``id`` and ``url_problem`` to rows with a url."""
-    canonical = urls.canonical_url(F.col("url"), idna=idna)
+    named = candidates.withColumn("_url", urls.url_identity(F.col("url"), idna=idna))
     return (
-        candidates.withColumn("canonical_url", canonical)
+        named.withColumn("canonical_url", F.col("_url.canonical_url"))
+        .withColumn("url_problem", F.col("_url.problem"))
         .withColumn("id", identity.article_id(F.col("canonical_url")))
-        .withColumn(
-            "url_problem",
-            F.when(F.col("canonical_url").isNull(), urls.url_problem(F.col("url"), idna=idna)),
-        )
+        .drop("_url")
     )
 
 

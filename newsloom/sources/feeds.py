@@ -237,10 +237,10 @@ def listing_entries(pages: DataFrame, rules: DataFrame, *, limit: int) -> DataFr
     ``pages``: page_id, source_name, base_url, domain, html.
     """
     links = page_links(pages)
-    parts = urls.url_parts(F.col("url"))
-    host = F.rtrim(parts["host"], F.lit("."))
+    located = links.withColumn("_parts", urls.url_parts(F.col("url")))
+    host = F.rtrim("_parts.host", F.lit("."))
     own = (host == F.col("domain")) | F.endswith(host, F.concat(F.lit("."), F.col("domain")))
-    kept = matches_source(links.filter(parts["scheme"].isNotNull() & own), rules)
+    kept = matches_source(located.filter(F.col("_parts.scheme").isNotNull() & own), rules)
     distinct = kept.groupBy("page_id", "source_name", "url").agg(F.min("ordinal").alias("ordinal"))
     order = Window.partitionBy("page_id").orderBy("ordinal")
     return (
