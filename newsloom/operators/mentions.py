@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,12 @@ def _check_chunking(max_words: int, overlap: int) -> None:
         raise ValueError("chunk word limits are invalid")
 
 
+def _column_batch(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+    )
+
+
 def word_chunks(
     articles: DataFrame,
     *,
@@ -58,18 +65,23 @@ def word_chunks(
     """Overlapping word chunks of whole texts with character offsets."""
     _check_chunking(max_words, overlap)
     schema = keyed_schema(articles, CHUNKS + (", chunk_text STRING" if keep_text else ""))
-    names = ["id", "chunk", "chunk_start", "chunk_end"] + (["chunk_text"] if keep_text else [])
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, value in zip(batch["id"], batch[text_column], strict=True):
+            keys = batch.column(0)
+            fields = [("id", keys.type), ("chunk", pa.int32()), ("chunk_start", pa.int32()),
+                      ("chunk_end", pa.int32())]
+            if keep_text:
+                fields.append(("chunk_text", pa.string()))
+            columns: list[list] = [[] for _ in fields]
+            for key, value in zip(keys.to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for number, (start, end) in enumerate(chunk_bounds(value or "", max_words, overlap)):
-                    row = (key, number, start, end)
-                    rows.append((*row, value[start:end]) if keep_text else row)
-            yield pd.DataFrame(rows, columns=names)
+                    row = (key, number, start, end, (value or "")[start:end])
+                    for column, cell in zip(columns, row, strict=False):
+                        column.append(cell)
+            yield _column_batch(pa.schema(fields), columns)
 
-    return spread(articles.select("id", text_column)).mapInPandas(split, schema)
+    return spread(articles.select("id", text_column)).mapInArrow(split, schema)
 
 
 def chunk_limit_problem(
@@ -91,11 +103,14 @@ def chunk_limit_problem(
 
 def catalog_extractor(rules: list[tuple[str, str]]) -> EntityExtractor:
     """Extractor of (alias, label) rules: whole words, any case, score 1."""
-    index = matching.PhraseIndex(alias for alias, _ in rules)
+    distinct = {(matching.fold(alias), label): (alias, label) for alias, label in rules}
+    kept = list(distinct.values())
+    index = matching.PhraseIndex(alias for alias, _ in kept)
+    labels = [label for _, label in kept]
 
     def extract(value: str) -> list[Span]:
         return [
-            (value[start:end], rules[number][1], 1.0, start, end)
+            (value[start:end], labels[number], 1.0, start, end)
             for start, end, number in matching.spans(value, index)
         ]
 
@@ -129,32 +144,44 @@ def extract_spans(
 
     The extractor sees one chunk at a time; offsets are shifted to the article.
     An article is one row, so the best of its overlapping chunks is chosen right
-    there and no shuffle is needed.
+    there and no shuffle is needed. ``name_key`` and ``slug`` of the span text,
+    which resolution needs, are made in the same pass.
     """
     _check_chunking(max_words, overlap)
-    schema = keyed_schema(articles, SPANS)
-    names = ["id", "label", "text", "score", "start", "end"]
+    schema = keyed_schema(articles, SPANS + ", name_key STRING, slug STRING")
     wanted = frozenset(labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup_forms = lru_cache(maxsize=100_000)(text.lookup_forms)
         for batch in batches:
-            rows = []
-            for key, value in zip(batch["id"], batch[text_column], strict=True):
+            keys = batch.column(0)
+            out = pa.schema(
+                [("id", keys.type), ("label", pa.string()), ("text", pa.string()),
+                 ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32()),
+                 ("name_key", pa.string()), ("slug", pa.string())]
+            )
+            for key, value in zip(keys.to_pylist(), batch.column(1).to_pylist(), strict=True):
                 best: dict[tuple[str, int, int], tuple[str, float]] = {}
                 for at, stop in chunk_bounds(value or "", max_words, overlap):
                     for piece, label, score, start, end in extractor(value[at:stop]):
-                        span = (label, at + start, at + end)
-                        if label not in wanted or score < threshold:
+                        if score < threshold or label not in wanted:
                             continue
-                        if span not in best or score > best[span][1]:
+                        span = (label, at + start, at + end)
+                        known = best.get(span)
+                        if known is None or score > known[1]:
                             best[span] = (piece, score)
-                rows.extend(
-                    (key, label, piece, score, start, end)
-                    for (label, start, end), (piece, score) in best.items()
+                if not best:
+                    continue
+                pieces = [piece for piece, _ in best.values()]
+                forms = [lookup_forms(piece) for piece in pieces]
+                yield _column_batch(
+                    out,
+                    [[key] * len(best), [k[0] for k in best], pieces,
+                     [score for _, score in best.values()], [k[1] for k in best],
+                     [k[2] for k in best], [f[0] for f in forms], [f[1] for f in forms]],
                 )
-            yield pd.DataFrame(rows, columns=names)
 
-    return spread(articles.select("id", text_column)).mapInPandas(run, schema)
+    return spread(articles.select("id", text_column)).mapInArrow(run, schema)
 
 
 def best_predictions(spans: DataFrame, *, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -191,12 +218,17 @@ def resolve(spans: DataFrame, entities: DataFrame) -> DataFrame:
 
     By (label, name), else by name in any type, else a deterministic id of the
     mention itself. The lookup joins are plain equi-joins: Spark broadcasts the
-    catalog while its size allows and splits skewed names otherwise.
+    catalog while its size allows and splits skewed names otherwise. Spans that
+    do not carry ``name_key`` and ``slug`` get them here.
     """
     by_label, by_any = catalogs.lookup(entities)
-    keyed = spans.withColumn("label", F.upper("label")).withColumn(
-        "name_key", text.name_key(F.col("text"))
-    )
+    own_name = text.strip(F.col("text"))
+    columns = [c for c in spans.columns if c not in ("name_key", "slug")]
+    keyed = spans.withColumn("label", F.upper("label"))
+    if "name_key" not in spans.columns:
+        keyed = keyed.withColumn("name_key", text.name_key(F.col("text")))
+    if "slug" not in spans.columns:
+        keyed = keyed.withColumn("slug", text.slugify(own_name))
     joined = keyed.join(
         by_label.select(
             "label", "name_key", F.struct("id", "canonical_name").alias("_typed")
@@ -208,11 +240,10 @@ def resolve(spans: DataFrame, entities: DataFrame) -> DataFrame:
         "name_key",
         "left",
     )
-    own_name = text.strip(F.col("text"))
-    own_id = identity.entity_id(identity.canonical_key(F.col("label"), own_name))
+    own_id = identity.entity_id(F.concat(F.col("label"), F.lit(":"), F.col("slug")))
     found = F.coalesce("_typed", "_any")
     return joined.select(
-        *[c for c in spans.columns],
+        *columns,
         F.coalesce(found["id"], own_id).alias("canonical_entity_id"),
         F.coalesce(found["canonical_name"], own_name).alias("canonical_name"),
     )

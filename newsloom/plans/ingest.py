@@ -48,7 +48,8 @@ def extract_pages(
     """Title and text of pages (id, url, html) with status and diagnostics.
 
     ``primary`` is the caller's extractor and gives SUCCESS; the built-in rules
-    are the fallback and give PARTIAL. One pass over the pages, no shuffle.
+    are the fallback and give PARTIAL. One pass over the pages, no shuffle; the
+    raw texts leave it with entities resolved and NFC composed.
     """
     schema = keyed_schema(pages, _EXTRACTION)
     names = [
@@ -81,7 +82,7 @@ def extract_pages(
                     found = attempt(fallback, "fallback", page, url, notes)
                     status, used = ("PARTIAL", FALLBACK) if found else ("FAILED", None)
                 title, body = found or (None, None)
-                rows.append((key, status, used, title, body, notes))
+                rows.append((key, status, used, text.decoded(title), text.decoded(body), notes))
             yield pd.DataFrame(rows, columns=names)
 
     return spread(pages.select("id", "url", "html")).mapInPandas(run, schema)
@@ -94,8 +95,8 @@ def process_pages(pages: DataFrame, **extractors) -> DataFrame:
         "id",
         "extraction_status",
         "extractor",
-        text.present(text.article_text(F.col("raw_title"))).alias("title"),
-        text.present(text.article_text(F.col("raw_text"))).alias("text"),
+        text.present(text.article_text(F.col("raw_title"), decoded=True)).alias("title"),
+        text.present(text.article_text(F.col("raw_text"), decoded=True)).alias("text"),
         "diagnostics",
     )
     emptied = (F.col("extraction_status") != "FAILED") & F.isnull("text")

@@ -21,7 +21,7 @@ from newsloom.plans import publish as publishing
 from newsloom.plans import timeline
 from newsloom.plans.publish import ReadModel
 from newsloom.queries.sql import LONG_WORD, SECOND_WORD
-from newsloom.session import shared_folder
+from newsloom.session import shared_folder, spread
 
 FIRST_DAY = datetime(2024, 1, 1, tzinfo=UTC)
 LAST_DAY = datetime(2024, 1, 31, tzinfo=UTC)
@@ -30,6 +30,8 @@ NOW = datetime(2024, 1, 20, 7, 45, tzinfo=UTC)
 RUN_TIME = datetime(2024, 1, 31, 1, 30, tzinfo=UTC)
 SPLIT = datetime(2024, 1, 16, tzinfo=UTC)
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -41,7 +43,9 @@ class Newsroom:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Text work is heavy per byte and the local file of a table is one split.
+        return spread(table) if name in TEXT_TABLES else table
 
     def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.folder, name)

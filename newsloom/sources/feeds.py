@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom import settings
 from newsloom.functions import html, text, urls
+from newsloom.session import spread
 
 _LINK = "STRUCT<_href: STRING, _rel: STRING>"
 _MEDIA = "ARRAY<STRUCT<_url: STRING>>"
@@ -109,7 +110,7 @@ def feed_entries(feeds: DataFrame, *, max_entries: int, atom: bool = False) -> D
 
 
 def _all_entries(feeds: DataFrame, atom: bool) -> DataFrame:
-    rows = _atom_rows(feeds) if atom else _rss_rows(feeds)
+    rows = _atom_rows(spread(feeds)) if atom else _rss_rows(spread(feeds))
     return rows.withColumn("url", urls.entry_url(F.col("link"), F.col("allowed_domains"))).withColumn(
         "title", text.strip(F.coalesce("title", F.lit("")))
     )
@@ -159,7 +160,7 @@ def sitemap_entries(maps: DataFrame, rules: DataFrame, *, now: datetime, limit:
 
     ``rules`` are the article patterns of :func:`matches_source`.
     """
-    parsed = maps.withColumn("_map", F.from_xml("payload", SITEMAP))
+    parsed = spread(maps).withColumn("_map", F.from_xml("payload", SITEMAP))
     rows = parsed.select(
         "source_name", "map_ordinal", F.posexplode("_map.url").alias("position", "e")
     ).select(
@@ -189,7 +190,7 @@ def sitemap_entries(maps: DataFrame, rules: DataFrame, *, now: datetime, limit:
 
 def sitemap_children(maps: DataFrame) -> DataFrame:
     """Child sitemaps named by index documents, the first ten of each."""
-    parsed = maps.withColumn("_map", F.from_xml("payload", SITEMAP))
+    parsed = spread(maps).withColumn("_map", F.from_xml("payload", SITEMAP))
     return (
         parsed.select("source_name", F.posexplode("_map.sitemap").alias("map_ordinal", "e"))
         .filter(F.col("map_ordinal") < SITEMAP_CHILDREN)
@@ -221,7 +222,7 @@ def page_links(pages: DataFrame) -> DataFrame:
         anchors,
         lambda h: F.when(F.startswith(h, F.lit("/")), F.concat(base, h)).otherwise(h),
     )
-    rows = pages.withColumn(
+    rows = spread(pages).withColumn(
         "_links", F.concat(F.transform(locs, lambda v: text.strip(v)), absolute)
     )
     return rows.select(
