@@ -5,6 +5,7 @@ from newsloom.queries import (  # noqa: F401
     ingest_queries,
     publishing,
     serving_queries,
+    streams,
     texts,
     timelines,
 )

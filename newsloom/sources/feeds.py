@@ -2,6 +2,9 @@
 
 Payload frames have one row per fetched document: source_name, payload and, for
 feeds, allowed_domains. Element order is kept in ``ordinal``.
+
+Lists are exploded with the outer form and filtered afterwards: from the inner
+form Spark infers a size filter below it, which would parse every payload twice.
 """
 
 from __future__ import annotations
@@ -51,8 +54,9 @@ def _first_url(media: Column) -> Column:
 def _rss_rows(feeds: DataFrame) -> DataFrame:
     parsed = feeds.withColumn("_feed", F.from_xml("payload", RSS))
     return parsed.select(
-        "source_name", "allowed_domains", "feed_id", F.posexplode("_feed.channel.item").alias("ordinal", "e")
-    ).select(
+        "source_name", "allowed_domains", "feed_id",
+        F.posexplode_outer("_feed.channel.item").alias("ordinal", "e"),
+    ).filter(F.col("e").isNotNull()).select(
         "source_name",
         "allowed_domains",
         "feed_id",
@@ -73,8 +77,9 @@ def _rss_rows(feeds: DataFrame) -> DataFrame:
 def _atom_rows(feeds: DataFrame) -> DataFrame:
     parsed = feeds.withColumn("_feed", F.from_xml("payload", ATOM))
     entries = parsed.select(
-        "source_name", "allowed_domains", "feed_id", F.posexplode("_feed.entry").alias("ordinal", "e")
-    )
+        "source_name", "allowed_domains", "feed_id",
+        F.posexplode_outer("_feed.entry").alias("ordinal", "e"),
+    ).filter(F.col("e").isNotNull())
     alternate = F.filter(
         "e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"
     )
@@ -162,8 +167,8 @@ def sitemap_entries(maps: DataFrame, rules: DataFrame, *, now: datetime, limit:
     """
     parsed = spread(maps).withColumn("_map", F.from_xml("payload", SITEMAP))
     rows = parsed.select(
-        "source_name", "map_ordinal", F.posexplode("_map.url").alias("position", "e")
-    ).select(
+        "source_name", "map_ordinal", F.posexplode_outer("_map.url").alias("position", "e")
+    ).filter(F.col("e").isNotNull()).select(
         "source_name",
         (F.col("map_ordinal") * 1_000_000 + F.col("position")).alias("ordinal"),
         text.strip(F.col("e.loc")).alias("url"),
@@ -192,7 +197,8 @@ def sitemap_children(maps: DataFrame) -> DataFrame:
     """Child sitemaps named by index documents, the first ten of each."""
     parsed = spread(maps).withColumn("_map", F.from_xml("payload", SITEMAP))
     return (
-        parsed.select("source_name", F.posexplode("_map.sitemap").alias("map_ordinal", "e"))
+        parsed.select("source_name", F.posexplode_outer("_map.sitemap").alias("map_ordinal", "e"))
+        .filter(F.col("e").isNotNull())
         .filter(F.col("map_ordinal") < SITEMAP_CHILDREN)
         .select("source_name", "map_ordinal", text.strip(F.col("e.loc")).alias("url"))
         .filter(F.col("url").isNotNull())
@@ -226,8 +232,9 @@ def page_links(pages: DataFrame) -> DataFrame:
         "_links", F.concat(F.transform(locs, lambda v: text.strip(v)), absolute)
     )
     return rows.select(
-        *[c for c in pages.columns if c != "html"], F.posexplode("_links").alias("ordinal", "raw_url")
-    ).withColumn(
+        *[c for c in pages.columns if c != "html"],
+        F.posexplode_outer("_links").alias("ordinal", "raw_url"),
+    ).filter(F.col("raw_url").isNotNull()).withColumn(
         "url", F.regexp_extract(F.replace("raw_url", F.lit("&amp;"), F.lit("&")), r"(?s)^([^#]*)", 1)
     ).drop("raw_url")
 
