@@ -67,3 +67,36 @@ def read_alias_catalog(spark: SparkSession, path: str) -> DataFrame:
 def load_alias_catalog(spark: SparkSession, path: str, now: Column) -> DataFrame:
     """Catalog documents of a file; conflicts are reported by ``alias_conflicts``."""
     return catalog.catalog_documents(read_alias_catalog(spark, path), source=path, now=now)
+
+
+_BBC = "https://feeds.bbci.co.uk/sport/football/{}rss.xml"
+_BBC_DOMAINS = ["bbci.co.uk", "bbc.co.uk", "bbc.com"]
+# The known sources (name, url, type, domains, on by default, article path only).
+KNOWN_SOURCES = [
+    ("BBC Sport - Premier League", _BBC.format("premier-league/"), "RSS", _BBC_DOMAINS, True, True),
+    ("BBC Sport - Champions League", _BBC.format("champions-league/"), "RSS", _BBC_DOMAINS, True, True),
+    ("BBC Sport - Europa League", _BBC.format("europa-league/"), "RSS", _BBC_DOMAINS, True, True),
+    ("BBC Sport - FA Cup", _BBC.format("fa-cup/"), "RSS", _BBC_DOMAINS, True, True),
+    ("BBC Sport - League Cup", _BBC.format("league-cup/"), "RSS", _BBC_DOMAINS, True, True),
+    ("BBC Sport - World Cup", _BBC.format("world-cup/"), "RSS", _BBC_DOMAINS, True, True),
+    ("BBC Sport - European", _BBC.format("european/"), "RSS", _BBC_DOMAINS, True, True),
+    ("BBC Sport - Football RSS", _BBC.format(""), "RSS", _BBC_DOMAINS, True, True),
+    ("The Guardian Football", "https://www.theguardian.com/football/rss", "RSS", ["theguardian.com"], True, False),
+    ("The Athletic Football", "https://www.nytimes.com/athletic/rss/football/", "RSS", ["nytimes.com"], True, False),
+    ("The Telegraph Football", "https://www.telegraph.co.uk/football/sitemap-0.xml", "SITEMAP", ["telegraph.co.uk"], True, False),
+    ("The Independent Football", "https://www.independent.co.uk/sport/football/rss", "RSS", ["independent.co.uk"], True, False),
+    ("Reuters Soccer", "https://www.reuters.com/sports/soccer/", "HTML", ["reuters.com"], False, False),
+    ("ESPN Soccer", "https://www.espn.com/soccer/", "HTML", ["espn.com"], False, False),
+    ("Sky Sports Football", "https://www.skysports.com/football", "HTML", ["skysports.com"], False, False),
+    ("Transfermarkt", "https://www.transfermarkt.co.uk/aktuell/newsarchiv", "HTML", ["transfermarkt.co.uk"], False, False),
+    ("Associated Press Soccer", "https://apnews.com/hub/soccer", "HTML", ["apnews.com"], False, False),
+    ("Premier League", "https://www.premierleague.com/en/news", "HTML", ["premierleague.com"], False, False),
+    ("UEFA News", "https://www.uefa.com/news-media/", "HTML", ["uefa.com"], False, False),
+    ("FIFA News", "https://www.fifa.com/sitemap", "SITEMAP", ["fifa.com"], False, False),
+    ("FIFA World Cup News", "https://www.fifa.com/sitemap?scope=worldcup2026", "SITEMAP", ["fifa.com"], False, False),
+]
+
+
+def default_sources(spark: SparkSession) -> DataFrame:
+    """The source catalog as rows of ``SOURCE_COLUMNS``."""
+    return spark.createDataFrame(KNOWN_SOURCES, SOURCE_COLUMNS)
