@@ -40,11 +40,18 @@ def sliding_counts(buckets: DataFrame) -> DataFrame:
     """Articles per entity key in every 24-hour window ending on a 3-hour mark.
 
     A 24-hour window is eight whole buckets, so the eight-fold expansion runs on
-    bucket counts and never on articles.
+    bucket counts and never on articles. ``window_articles`` counts the articles
+    of the last bucket, the 3-hour window itself.
     """
     span = F.window("bucket", f"{settings.POPULARITY_HOURS} hours", f"{settings.WINDOW_HOURS} hours")
-    return buckets.groupBy(span["end"].alias("window_end"), *KEY).agg(
-        F.sum("articles").alias("mention_count")
+    is_last = windows.window_end(F.col("bucket")) == F.col("span.end")
+    return (
+        buckets.withColumn("span", span)
+        .groupBy(F.col("span.end").alias("window_end"), *KEY)
+        .agg(
+            F.sum("articles").alias("mention_count"),
+            F.coalesce(F.sum(F.when(is_last, F.col("articles"))), F.lit(0)).alias("window_articles"),
+        )
     )
 
 

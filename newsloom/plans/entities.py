@@ -117,11 +117,13 @@ def process_backlog(
 
 def reprocess_totals(found: DataFrame, contents: DataFrame) -> DataFrame:
     """Documents, entities and entities per document of a full reprocess."""
-    documents = contents.filter(F.col("content").isNotNull()).agg(F.count("*").alias("documents"))
-    spans = found.agg(F.count("*").alias("entities"))
-    # Two one-row frames.
-    return documents.join(spans).select(
-        "documents",
-        "entities",
-        (F.col("entities") / F.nullif("documents", F.lit(0))).alias("entities_per_document"),
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    documents = contents.filter(F.col("content").isNotNull()).select(
+        one.alias("documents"), none.alias("entities")
+    )
+    counted = documents.unionByName(found.select(none.alias("documents"), one.alias("entities")))
+    return counted.agg(
+        F.sum("documents").alias("documents"), F.sum("entities").alias("entities")
+    ).withColumn(
+        "entities_per_document", F.col("entities") / F.nullif("documents", F.lit(0))
     )

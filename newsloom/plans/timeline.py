@@ -81,18 +81,13 @@ def window_pairs(dated: DataFrame, start: datetime, end: datetime) -> DataFrame:
         "window_start", windows.floor_window(F.col("crawl_date"))
     )
     pairs = inside.withColumn("window_end", windows.window_end(F.col("window_start")))
-    tops = top_entities(dated).select("window_end", *ranking.KEY, "mention_count")
-    seen = pairs.select("window_end", *ranking.KEY).distinct()
+    tops = top_entities(dated).filter(F.col("window_articles") > 0)
     order = F.struct(
         (-F.col("mention_count")).alias("n"), "entity_type", "canonical_name"
     )
-    chosen = (
-        tops.join(seen, ["window_end", *ranking.KEY], "left_semi")
-        .groupBy("window_end", "entity_id")
-        .agg(
-            F.min_by("entity_type", order).alias("entity_type"),
-            F.min_by("canonical_name", order).alias("canonical_name"),
-        )
+    chosen = tops.groupBy("window_end", "entity_id").agg(
+        F.min_by("entity_type", order).alias("entity_type"),
+        F.min_by("canonical_name", order).alias("canonical_name"),
     )
     return pairs.join(chosen, ["window_end", *ranking.KEY], "left_semi")
 

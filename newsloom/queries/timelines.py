@@ -55,7 +55,8 @@ def _dated(room: Newsroom) -> DataFrame:
         FROM window_counts"""),
 )
 def window_entity_counts(room: Newsroom) -> DataFrame:
-    return ranking.sliding_counts(ranking.bucket_counts(_dated(room)))
+    counts = ranking.sliding_counts(ranking.bucket_counts(_dated(room)))
+    return counts.drop("window_articles")
 
 
 @register(

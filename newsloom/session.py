@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -38,6 +39,9 @@ def local_session(name: str = "newsloom", cpus: int | str = "*") -> SparkSession
     return prepare(spark)
 
 
+# A full file split; Spark's default for spark.sql.files.maxPartitionBytes.
+SPLIT_BYTES = 128 * 1024 * 1024
+
 _folders: dict[str, str] = {}
 
 
@@ -58,6 +62,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders[application]
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Hint a broadcast only after counting that ``df`` has few rows.
+
+    For small configuration frames whose size Spark cannot estimate. A larger
+    frame is returned as it is and joined by shuffling.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and forget its lineage."""
     context = df.sparkSession.sparkContext
@@ -69,10 +82,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work at least one partition per core.
 
-    At scale a scan has far more splits than cores and this returns ``df``
-    unchanged; only an input of few files is redistributed.
+    Only an input too small to fill the cores with full splits is redistributed,
+    judged by the plan's own size estimate (nothing runs for it). At scale the
+    estimate is far above that and ``df`` is returned unchanged.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from newsloom import settings
 from newsloom.functions import html, text, urls
-from newsloom.session import spread
+from newsloom.functions.binding import let
+from newsloom.session import broadcast_if_small, spread
 
 _LINK = "STRUCT<_href: STRING, _rel: STRING>"
 _MEDIA = "ARRAY<STRUCT<_url: STRING>>"
@@ -51,111 +52,110 @@ def _first_url(media: Column) -> Column:
     return text.strip(F.try_element_at(media, F.lit(1))["_url"])
 
 
-def _rss_rows(feeds: DataFrame) -> DataFrame:
-    parsed = feeds.withColumn("_feed", F.from_xml("payload", RSS))
-    return parsed.select(
-        "source_name", "allowed_domains", "feed_id",
-        F.posexplode_outer("_feed.channel.item").alias("ordinal", "e"),
-    ).filter(F.col("e").isNotNull()).select(
-        "source_name",
-        "allowed_domains",
-        "feed_id",
-        "ordinal",
-        F.col("e.link").alias("link"),
-        F.col("e.title").alias("title"),
-        F.col("e.guid._VALUE").alias("guid"),
-        F.coalesce("e.pubDate", "e.updated").alias("published"),
-        F.col("e.description").alias("description"),
-        F.coalesce(
-            _first_url(F.col("e.media:thumbnail")),
-            _first_url(F.col("e.media:content")),
-            _first_url(F.col("e.enclosure")),
-        ).alias("image_url"),
-    )
+def _rss_entry(e: Column) -> dict[str, Column]:
+    return {
+        "link": e["link"],
+        "title": e["title"],
+        "guid": e["guid"]["_VALUE"],
+        "published": F.coalesce(e["pubDate"], e["updated"]),
+        "description": e["description"],
+        "image_url": F.coalesce(
+            _first_url(e["media:thumbnail"]), _first_url(e["media:content"]), _first_url(e["enclosure"])
+        ),
+    }
 
 
-def _atom_rows(feeds: DataFrame) -> DataFrame:
-    parsed = feeds.withColumn("_feed", F.from_xml("payload", ATOM))
-    entries = parsed.select(
-        "source_name", "allowed_domains", "feed_id",
-        F.posexplode_outer("_feed.entry").alias("ordinal", "e"),
-    ).filter(F.col("e").isNotNull())
+def _atom_entry(e: Column) -> dict[str, Column]:
     alternate = F.filter(
-        "e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"
+        e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"
     )
-    enclosed = F.filter("e.link", lambda x: x["_rel"] == "enclosure")
-    return entries.select(
-        "source_name",
-        "allowed_domains",
-        "feed_id",
-        "ordinal",
-        F.try_element_at(alternate, F.lit(1))["_href"].alias("link"),
-        F.col("e.title").alias("title"),
-        F.col("e.id").alias("guid"),
-        F.coalesce("e.published", "e.updated").alias("published"),
-        F.coalesce("e.summary", "e.content").alias("description"),
-        F.coalesce(
-            _first_url(F.col("e.media:thumbnail")),
-            _first_url(F.col("e.media:content")),
+    enclosed = F.filter(e["link"], lambda x: x["_rel"] == "enclosure")
+    return {
+        "link": F.try_element_at(alternate, F.lit(1))["_href"],
+        "title": e["title"],
+        "guid": e["id"],
+        "published": F.coalesce(e["published"], e["updated"]),
+        "description": F.coalesce(e["summary"], e["content"]),
+        "image_url": F.coalesce(
+            _first_url(e["media:thumbnail"]),
+            _first_url(e["media:content"]),
             text.strip(F.try_element_at(enclosed, F.lit(1))["_href"]),
-        ).alias("image_url"),
-    )
+        ),
+    }
+
+
+def _parsed(feeds: DataFrame, atom: bool) -> DataFrame:
+    """Feeds with the array of all entries and that of the usable ones, in order.
+
+    A feed is one row, so its entries are judged, ordered and cut inside the row
+    and no entry is shuffled.
+    """
+    schema, path, entry = (ATOM, "entry", _atom_entry) if atom else (RSS, "channel.item", _rss_entry)
+    parsed = spread(feeds).withColumn("_feed", F.from_xml("payload", schema)).drop("payload")
+
+    def judged(e: Column, i: Column) -> Column:
+        fields = entry(e)
+        return F.struct(
+            i.cast("bigint").alias("ordinal"),
+            urls.entry_url(fields.pop("link"), F.col("allowed_domains")).alias("url"),
+            text.strip(F.coalesce(fields.pop("title"), F.lit(""))).alias("title"),
+            *[value.alias(name) for name, value in fields.items()],
+        )
+
+    judged_entries = parsed.withColumn("_entries", F.transform(f"_feed.{path}", judged)).drop("_feed")
+    usable = F.filter("_entries", lambda e: e["url"].isNotNull() & (e["title"] != ""))
+    return judged_entries.withColumn("_usable", usable)
 
 
 def feed_entries(feeds: DataFrame, *, max_entries: int, atom: bool = False) -> DataFrame:
     """Usable entries of RSS (or Atom) feeds, at most ``max_entries`` per feed.
 
     ``feeds`` has feed_id, source_name, allowed_domains and payload. The limit is
-    the feed policy; rows beyond it are kept out and reported by
-    :func:`feed_report`.
+    the feed policy; what lies beyond it is reported by :func:`feed_report`.
     """
     if max_entries < 1:
         raise ValueError("max_entries must be positive")
-    return _usable_entries(feeds, atom).filter(F.col("position") <= max_entries)
-
-
-def _all_entries(feeds: DataFrame, atom: bool) -> DataFrame:
-    rows = _atom_rows(spread(feeds)) if atom else _rss_rows(spread(feeds))
-    return rows.withColumn("url", urls.entry_url(F.col("link"), F.col("allowed_domains"))).withColumn(
-        "title", text.strip(F.coalesce("title", F.lit("")))
+    entries = (
+        _parsed(feeds, atom)
+        .select(
+            "feed_id",
+            "source_name",
+            F.posexplode_outer(F.slice("_usable", 1, max_entries)).alias("position", "e"),
+        )
+        .filter(F.col("e").isNotNull())
     )
-
-
-def _usable_entries(feeds: DataFrame, atom: bool) -> DataFrame:
-    usable = _all_entries(feeds, atom).filter(F.col("url").isNotNull() & (F.col("title") != ""))
-    position = Window.partitionBy("feed_id").orderBy("ordinal")
     description = text.present(
-        F.left(html.html_text(text.present(F.col("description"))), F.lit(1000))
+        F.left(html.html_text(text.present(F.col("e.description"))), F.lit(1000))
     )
-    return usable.select(
+    return entries.select(
         "feed_id",
         "source_name",
-        F.col("ordinal").cast("bigint").alias("ordinal"),
-        F.row_number().over(position).alias("position"),
-        F.left(text.strip(F.coalesce(text.present(F.col("guid")), "url")), F.lit(1000)).alias("guid"),
-        F.left("title", F.lit(500)).alias("title"),
-        "url",
-        feed_time(F.col("published")).alias("published_at"),
+        F.col("e.ordinal").alias("ordinal"),
+        (F.col("position") + 1).alias("position"),
+        F.left(text.strip(F.coalesce(text.present(F.col("e.guid")), "e.url")), F.lit(1000)).alias("guid"),
+        F.left("e.title", F.lit(500)).alias("title"),
+        F.col("e.url").alias("url"),
+        feed_time(F.col("e.published")).alias("published_at"),
         description.alias("description"),
-        text.present(F.col("image_url")).alias("image_url"),
+        text.present(F.col("e.image_url")).alias("image_url"),
     )
 
 
 def feed_report(feeds: DataFrame, *, max_entries: int, atom: bool = False) -> DataFrame:
     """Per feed: usable and skipped entries, truncation, and feeds without any."""
-    usable = F.col("url").isNotNull() & (F.col("title") != "")
-    counted = _all_entries(feeds, atom).groupBy("feed_id").agg(
-        F.count_if(usable).alias("usable"), F.count_if(~usable).alias("skipped")
+    def count(name: str) -> Column:
+        return F.coalesce(F.array_size(name), F.lit(0)).cast("bigint")
+
+    counted = _parsed(feeds, atom).select(
+        "feed_id", "source_name", count("_entries").alias("found"), count("_usable").alias("usable")
     )
-    joined = feeds.select("feed_id", "source_name").join(counted, "feed_id", "left")
-    found = F.coalesce("usable", F.lit(0))
-    return joined.select(
+    return counted.select(
         "feed_id",
         "source_name",
-        F.least(found, F.lit(max_entries)).alias("entries"),
-        F.coalesce("skipped", F.lit(0)).alias("skipped"),
-        (found > max_entries).alias("truncated"),
-        (found == 0).alias("unusable"),
+        F.least("usable", F.lit(max_entries).cast("bigint")).alias("entries"),
+        (F.col("found") - F.col("usable")).alias("skipped"),
+        (F.col("usable") > max_entries).alias("truncated"),
+        (F.col("usable") == 0).alias("unusable"),
     )
 
 
@@ -209,61 +209,87 @@ _LOC = r"(?is)<loc\b[^>]*>(.*?)</loc>"
 _HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """All links of listing pages: ``loc`` elements first, then anchors, in order.
+def _with_links(pages: DataFrame) -> DataFrame:
+    """Pages with ``_links``: ``loc`` elements first, then anchors, in order.
 
-    ``pages``: page_id, base_url, html. Root-relative anchors become absolute and
-    fragments are cut. No filter is applied here.
+    Root-relative anchors become absolute and fragments are cut.
     """
     base = F.regexp_extract("base_url", r"^([A-Za-z]+://[^/?#]*)", 1)
     # Comments and script text hold no elements.
     markup = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
-    locs = F.regexp_extract_all(markup, F.lit(_LOC), F.lit(1))
-    quoted = F.regexp_extract_all(markup, F.lit(_HREF), F.lit(0))
-    anchors = F.transform(
-        quoted,
-        lambda a: F.regexp_replace(F.regexp_extract(a, r"(?is)\shref\s*=\s*(.*)$", 1), "^[\"']|[\"']$", ""),
-    )
-    absolute = F.transform(
-        anchors,
-        lambda h: F.when(F.startswith(h, F.lit("/")), F.concat(base, h)).otherwise(h),
-    )
-    rows = spread(pages).withColumn(
-        "_links", F.concat(F.transform(locs, lambda v: text.strip(v)), absolute)
-    )
+    bare = spread(pages).withColumn("_markup", markup).withColumn("_base", base).drop("html")
+    locs = F.regexp_extract_all("_markup", F.lit(_LOC), F.lit(1))
+    anchors = F.regexp_extract_all("_markup", F.lit(_HREF), F.lit(0))
+
+    def target(anchor: Column) -> Column:
+        value = F.regexp_extract(anchor, r"(?is)\shref\s*=\s*(.*)$", 1)
+        return let(
+            F.regexp_replace(value, "^[\"']|[\"']$", ""),
+            lambda h: F.when(F.startswith(h, F.lit("/")), F.concat("_base", h)).otherwise(h),
+        )
+
+    def plain(link: Column) -> Column:
+        return F.substring_index(F.replace(link, F.lit("&amp;"), F.lit("&")), "#", 1)
+
+    links = F.concat(F.transform(locs, lambda v: text.strip(v)), F.transform(anchors, target))
+    return bare.withColumn("_links", F.transform(links, plain)).drop("_markup", "_base")
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """All links of listing pages (page_id, base_url, html), unfiltered, in order."""
+    rows = _with_links(pages)
     return rows.select(
-        *[c for c in pages.columns if c != "html"],
-        F.posexplode_outer("_links").alias("ordinal", "raw_url"),
-    ).filter(F.col("raw_url").isNotNull()).withColumn(
-        "url", F.regexp_extract(F.replace("raw_url", F.lit("&amp;"), F.lit("&")), r"(?s)^([^#]*)", 1)
-    ).drop("raw_url")
+        *[c for c in rows.columns if c != "_links"],
+        F.posexplode_outer("_links").alias("ordinal", "url"),
+    ).filter(F.col("url").isNotNull())
 
 
 def listing_entries(pages: DataFrame, rules: DataFrame, *, limit: int) -> DataFrame:
     """Links of listing pages on the page's own domain, first seen, up to ``limit``.
 
-    ``pages``: page_id, source_name, base_url, domain, html.
+    ``pages``: page_id, source_name, base_url, domain, html. A page is one row:
+    its links are filtered, made distinct and cut inside it, without a shuffle.
     """
-    links = page_links(pages)
-    located = links.withColumn("_parts", urls.url_parts(F.col("url")))
-    host = F.rtrim("_parts.host", F.lit("."))
-    own = (host == F.col("domain")) | F.endswith(host, F.concat(F.lit("."), F.col("domain")))
-    kept = matches_source(located.filter(F.col("_parts.scheme").isNotNull() & own), rules)
-    distinct = kept.groupBy("page_id", "source_name", "url").agg(F.min("ordinal").alias("ordinal"))
-    order = Window.partitionBy("page_id").orderBy("ordinal")
-    return (
-        distinct.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= limit)
-        .select(
-            "page_id",
-            "source_name",
-            F.col("ordinal").cast("bigint").alias("ordinal"),
-            "url",
-            text.title_from_url(F.col("url")).alias("title"),
-            F.lit(None).cast("timestamp").alias("published_at"),
-            F.lit(None).cast("string").alias("description"),
-            F.lit(None).cast("string").alias("image_url"),
-        )
+    rows = _with_links(pages).join(_patterns(rules), "source_name", "left")
+
+    def wanted(url: Column) -> Column:
+        def own(parts: Column) -> Column:
+            host = F.rtrim(parts["host"], F.lit("."))
+            below = F.endswith(host, F.concat(F.lit("."), F.col("domain")))
+            return parts["scheme"].isNotNull() & ((host == F.col("domain")) | below)
+
+        return let(urls.url_parts(url), own) & _fits(url)
+
+    kept = F.slice(F.filter(F.array_distinct("_links"), wanted), 1, limit)
+    entries = rows.withColumn("_kept", kept).select(
+        "page_id",
+        "source_name",
+        "_links",
+        F.explode_outer("_kept").alias("url"),
+    ).filter(F.col("url").isNotNull())
+    return entries.select(
+        "page_id",
+        "source_name",
+        (F.array_position("_links", F.col("url")) - 1).alias("ordinal"),
+        "url",
+        text.title_from_url(F.col("url")).alias("title"),
+        F.lit(None).cast("timestamp").alias("published_at"),
+        F.lit(None).cast("string").alias("description"),
+        F.lit(None).cast("string").alias("image_url"),
+    )
+
+
+def _patterns(rules: DataFrame) -> DataFrame:
+    """Rules per source; a source may hold most rows, so candidates should not move."""
+    return broadcast_if_small(rules.select("source_name", "include", "exclude"))
+
+
+def _fits(url: Column) -> Column:
+    """The path fits the article pattern in ``include`` and ``exclude``."""
+    return let(
+        urls.url_path(url),
+        lambda path: (F.isnull("include") | F.regexp(path, F.col("include")))
+        & ~F.coalesce(F.regexp(path, F.col("exclude")), F.lit(False)),
     )
 
 
@@ -271,14 +297,10 @@ def matches_source(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     """Candidates whose path fits their source's article pattern.
 
     ``rules``: source_name, include, exclude (regular expressions over the
-    lower-case path; either may be null). A source without a rule keeps all. The
-    source catalog is small, so Spark broadcasts it by its own size check.
+    lower-case path; either may be null). A source without a rule keeps all.
     """
-    joined = candidates.join(rules.select("source_name", "include", "exclude"), "source_name", "left")
-    path = urls.url_path(F.col("url"))
-    wanted = F.col("include").isNull() | F.regexp(path, F.col("include"))
-    unwanted = F.coalesce(F.regexp(path, F.col("exclude")), F.lit(False))
-    return joined.filter(wanted & ~unwanted).drop("include", "exclude")
+    joined = candidates.join(_patterns(rules), "source_name", "left")
+    return joined.filter(_fits(F.col("url"))).drop("include", "exclude")
 
 
 def fresh_feed_candidates(
