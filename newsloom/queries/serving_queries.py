@@ -110,9 +110,12 @@ def entity_by_slug(room: Newsroom) -> DataFrame:
 
 @register(
     "entity_client_lookup",
-    sql.query(f"""SELECT {_ENTITY_COLUMNS} FROM entities WHERE id = {_TOP_ENTITY}"""),
+    sql.query(f"""SELECT {_ENTITY_COLUMNS} FROM entities WHERE id = {_TOP_ENTITY}
+        AND (canonical_name ILIKE '%' || slug || '%'
+            OR len(list_filter(aliases, lambda a: a ILIKE '%' || slug || '%')) > 0)"""),
 )
 def entity_client_lookup(room: Newsroom) -> DataFrame:
+    """Found only where the name or an alias spells the slug: an accent hides it."""
     row = serving.top_entities(room.model.entities, 1).first()
     return _entities(serving.find_entity(room.model.entities, row["entity_type"], row["slug"]))
 
