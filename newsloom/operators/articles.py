@@ -47,16 +47,17 @@ def identify(candidates: DataFrame, *, idna: bool = True) -> DataFrame:
 
 
 def first_seen(identified: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """The earliest row (lowest ``ordinal``) of each article id.
+    """The earliest row of each article id: lowest ``ordinal``, then source and url.
 
     A grouped minimum, so copies of one article collapse before the shuffle.
     """
     others = [c for c in identified.columns if c not in ("id", *by)]
     row = F.struct("ordinal", *[c for c in others if c != "ordinal"])
+    order = F.struct("ordinal", *[c for c in ("source_name", "url") if c in others])
     return (
         identified.filter(F.col("id").isNotNull())
         .groupBy(*by, "id")
-        .agg(F.min_by(row, F.col("ordinal")).alias("_row"))
+        .agg(F.min_by(row, order).alias("_row"))
         .select(*by, "id", "_row.*")
     )
 

@@ -145,7 +145,8 @@ def source_articles(old: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
     Text columns keep what is there where the change has nothing; the first slug
     stays; identity columns are never updated.
     """
-    folded = changes.groupBy("canonical_url").agg(
+    ordered = changes.withColumn("seq", F.struct("seq", "id"))
+    folded = ordered.groupBy("canonical_url").agg(
         F.min_by("id", "seq").alias("id"),
         *[
             F.min_by(c, "seq").alias(c)
@@ -203,7 +204,7 @@ def popularity(old: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]
     """
     one = active.groupBy("id").agg(
         *[
-            F.max_by(c, F.struct("mention_count_24h", "canonical_name")).alias(c)
+            F.max_by(c, F.struct("mention_count_24h", "canonical_name", "entity_type")).alias(c)
             for c in ("entity_type", "canonical_name", "slug", "aliases")
         ],
         F.max("mention_count_24h").alias("mention_count_24h"),

@@ -205,10 +205,10 @@ _CTES: dict[str, str] = {
                 AND m.crawl_date >= {NOW} - INTERVAL 24 HOURS AND m.crawl_date < {NOW})
         GROUP BY ALL""",
     "active": f"""
-        SELECT p.entity_id AS id, arg_max(p.entity_type, row(p.mention_count_24h, p.canonical_name))
+        SELECT p.entity_id AS id, arg_max(p.entity_type, row(p.mention_count_24h, p.canonical_name, p.entity_type))
                 AS entity_type,
-            arg_max(p.canonical_name, row(p.mention_count_24h, p.canonical_name)) AS canonical_name,
-            arg_max({public_slug('p.canonical_name')}, row(p.mention_count_24h, p.canonical_name))
+            arg_max(p.canonical_name, row(p.mention_count_24h, p.canonical_name, p.entity_type)) AS canonical_name,
+            arg_max({public_slug('p.canonical_name')}, row(p.mention_count_24h, p.canonical_name, p.entity_type))
                 AS slug,
             coalesce(any_value(c.aliases), []) AS aliases,
             max(p.mention_count_24h) AS mention_count_24h, max(p.last_seen_at) AS last_seen_at
