@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontamination
+from newsloom.llm import bpe, chat, decontamination, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_sharding": sharding.op3_sharding,
+    "op4_bpe": bpe.op4_bpe,
 }
 
 SQL: dict[str, str] = {
+    "op1_chat_formatting": chat.OP1_SQL,
     "op2_decontamination": decontamination.OP2_SQL,
 }
