@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, chat, decontamination, pii, secret_scan, sharding
+from newsloom.llm import bpe, chat, decontamination, jaccard_join, pii, secret_scan, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_sharding": sharding.op3_sharding,
     "op4_bpe": bpe.op4_bpe,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_pii": pii.op10_pii,
 }
@@ -22,5 +23,6 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op2_decontamination": decontamination.OP2_SQL,
+    "op8_jaccard_join": jaccard_join.OP8_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
 }
