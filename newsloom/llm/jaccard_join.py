@@ -185,11 +185,11 @@ def _inside(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
-def _across(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+def _across(rows: pd.DataFrame) -> pd.DataFrame:
     """An edge for each query that links with a member of the group (which is connected already)."""
+    members, queries = rows[~rows["asks"]].sort_values("doc_id"), rows[rows["asks"]]
     pairs = []
     if len(members) and len(queries):
-        members = members.sort_values("doc_id")
         group = OpenGroup(_sets(members))
         ids = members["doc_id"].to_numpy()
         for name, query in zip(queries["doc_id"].tolist(), _sets(queries), strict=True):
@@ -298,17 +298,18 @@ def _last_links(docs: DataFrame, sets: DataFrame, matrix: DataFrame) -> DataFram
     pairs = one.join(two, (F.col("q.token") == F.col("g.token")) & (F.col("q.part") > F.col("g.part")) & (low * 100 >= high * THRESHOLD))
     asked = keep(pairs.select(F.col("q.doc_id").alias("doc_id"), F.col("g.group").alias("group")).distinct())
     known = sets.select("doc_id", "n", "columns")
-    most = members.join(known, "doc_id").select("group", "columns").groupBy("group").applyInPandas(_largest, "group bigint, most binary")
+    counted = keep(members.join(known, "doc_id").select("group", "columns"))
+    several = counted.groupBy("group").agg(F.count("*").alias("size")).where("size > 1").select("group")
+    largest = counted.join(several, "group").groupBy("group").applyInPandas(_largest, "group bigint, most binary")
+    most = counted.join(several, "group", "left_anti").withColumnRenamed("columns", "most").union(largest)
     asked = asked.join(known, "doc_id").join(most, "group").select("doc_id", "group", "n", "columns", "most")
     asked = keep(asked.mapInArrow(_may_reach, "doc_id bigint, group bigint"))
     asked = keep(_buckets(asked, "group", QUERIES).select("doc_id", "group", "bucket"))
     opened = asked.select("group", "bucket").distinct()
     held = members.drop("bucket").join(opened, "group").select("doc_id", "group", "bucket")
-    needed = keep(asked.select("doc_id").union(held.select("doc_id")).distinct())
-    tokens = keep(_token_rows(docs, needed, "doc_id"))
-    left, right = keep(tokens.join(held, "doc_id")), keep(tokens.join(asked, "doc_id"))
-    both = left.groupBy("group", "bucket").cogroup(right.groupBy("group", "bucket"))
-    return both.applyInPandas(_across, "a bigint, b bigint")
+    roles = keep(held.withColumn("asks", F.lit(False)).union(asked.withColumn("asks", F.lit(True))))
+    rows = _token_rows(docs, roles, "doc_id").join(roles, "doc_id")
+    return rows.groupBy("group", "bucket").applyInPandas(_across, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
