@@ -4,8 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.llm.bpe import digests, vocabulary_path
 from newsloom.llm.common import keep, table
 from newsloom.llm.decontamination import decontaminate
+from newsloom.llm.jaccard_join import drop_near_copies
+from newsloom.llm.quality import keep_good
+from newsloom.llm.secret_scan import mask_secrets
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those that the quality scorer, trained on them, rejects."""
+    return keep_good(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of near copies."""
+    return drop_near_copies(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +27,25 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", benchmark_decontamination)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every secret masked."""
+    return mask_secrets(docs)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their tokens, and digests of the tokens and of what they decode to."""
+    return digests(docs, vocabulary_path(), keep_ids=True)[0]
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scan),
+    ("BPE encoding and decoding", bpe_tokens),
+]
 
+#: The quality scorer is trained, and SQL cannot express that.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, chat, decontamination, jaccard_join, pii, quality, secret_scan, sharding
+from newsloom.llm import bpe, chat, decontamination, embedding_dedup, html_text, jaccard_join, pii, quality, secret_scan, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_sharding": sharding.op3_sharding,
     "op4_bpe": bpe.op4_bpe,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_quality": quality.op7_quality,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_secret_scan": secret_scan.op9_secret_scan,
