@@ -56,6 +56,8 @@ def shared_folder(spark: SparkSession) -> str:
     )
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _folders:
         _folders[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
