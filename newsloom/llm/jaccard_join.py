@@ -10,10 +10,11 @@ inside a group all are compared, and linked ones become one part. Then the rest
 must be found: two sets that link share a token among their rarest few (the
 prefix that the threshold leaves open), so the matrix is kept for prefixes. Rows
 of tokens that only one part holds say nothing and go; the others name, for each
-set, the groups of other parts that may qualify. The bound is first taken with
-tokens counted by columns (a group keeps the largest count of its members), then,
-for pairs that pass, with the union of whole sets; groups that still qualify are
-opened.
+set, how many of its prefix tokens each group of other parts holds. Two sets that
+link share not one but many prefix tokens unless their sizes differ much: what is
+not in the shorter-reaching prefix is at most the rest of that set. Groups that
+hold too few say so before any set is fetched; for the others the bound is taken
+again with the union of whole sets, and groups that still qualify are opened.
 
 The order "rarest first" only has to be the same everywhere for the result to be
 exact; it is taken from counts of tokens that are frequent in some slice.
@@ -33,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import keep, slices, table, utf8
@@ -43,8 +44,6 @@ from newsloom.llm.graph import components, filter_places, may_hold, member_filte
 SHINGLE, THRESHOLD = 4, 85
 #: Sets of a group, and queries that meet a group at a time.
 GROUP, QUERIES = 256, 512
-#: Columns of tokens whose counts bound overlaps before whole sets are fetched.
-COLUMNS = 256
 #: Tokens whose frequency is known for ordering (8 bytes each, twice).
 FREQUENT = 1 << 18
 
@@ -76,23 +75,17 @@ def prefix_length(size: int, threshold: int = THRESHOLD) -> int:
     return size - -(-threshold * size // 100) + 1
 
 
-def column_counts(tokens: np.ndarray) -> bytes:
-    """How many tokens fall into each of ``COLUMNS`` columns of the matrix; empty if a count has no room."""
-    counts = np.bincount((tokens >> np.uint64(24)) % np.uint64(COLUMNS), minlength=COLUMNS)
-    return counts.astype(np.uint16).tobytes() if counts.max(initial=0) < 1 << 16 else b""
-
-
 def _signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
 
 def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per row its set in brief (kind 0); per slice the tokens that are frequent there (kind 1)."""
-    names = ["kind", "doc_id", "n", "k1", "k2", "token", "columns"]
+    names = ["kind", "doc_id", "n", "k1", "k2", "token"]
     for batch in batches:
         for part in slices(batch, "text"):
             rows: list[list] = [[], [], [], []]
-            every, columns = [], []
+            every = []
             for text in utf8(part, "text"):
                 tokens = shingles(text)
                 key = xxhash.xxh3_128_intdigest(tokens.tobytes())
@@ -102,22 +95,21 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows[2].append(int(halves[1]))
                 rows[3].append(int(_signed(tokens)[0]) if len(tokens) else 0)
                 every.append(tokens)
-                columns.append(column_counts(tokens))
             size = len(every)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * size, pa.int32()), part.column(0).cast(pa.int64()), *[pa.array(r, pa.int64()) for r in rows], pa.array(columns, pa.binary())], names=names
+                [pa.array([0] * size, pa.int32()), part.column(0).cast(pa.int64()), *[pa.array(r, pa.int64()) for r in rows]], names=names
             )
             found, counts = np.unique(np.concatenate(every), return_counts=True)
             often = counts >= max(3, size // 500)
             none = pa.nulls(int(often.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(none), np.int32)), none, pa.array(counts[often].astype(np.int64)), none, none, pa.array(_signed(found[often])), pa.nulls(len(none), pa.binary())],
+                [pa.array(np.ones(len(none), np.int32)), none, pa.array(counts[often].astype(np.int64)), none, none, pa.array(_signed(found[often]))],
                 names=names,
             )
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    return keep(docs.mapInArrow(_surveyed, "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint, token bigint, columns binary"))
+    return keep(docs.mapInArrow(_surveyed, "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint, token bigint"))
 
 
 def _token_rows(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -269,41 +261,34 @@ def _matrix(prefixes: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame
     return rows.join(several.select("token"), "token")
 
 
-def _largest(frame: pd.DataFrame) -> pd.DataFrame:
-    """For a group, the largest count of each column among its members."""
-    counts = [np.frombuffer(c, dtype=np.uint16) for c in frame["columns"]]
-    most = b"" if any(len(c) == 0 for c in counts) else np.maximum.reduce(counts).tobytes()
-    return pd.DataFrame({"group": frame["group"].iloc[:1], "most": [most]})
+def may_link(shared: Column, n: Column, m: Column, threshold: int = THRESHOLD) -> Column:
+    """Whether sets of sizes ``n`` and ``m`` may link if their prefixes share so many tokens.
 
-
-def _may_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep pairs of a query and a group whose overlap by columns can suffice."""
-    for batch in batches:
-        good = []
-        for n, one, two in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-            bound = n
-            if one and two:
-                bound = int(np.minimum(np.frombuffer(one, np.uint16), np.frombuffer(two, np.uint16)).sum(dtype=np.int64))
-            good.append(100 * bound >= THRESHOLD * n)
-        yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
+    The set whose prefix ends first has all its other shared tokens behind that
+    prefix, so the overlap is below ``shared + threshold * size / 100`` of the larger.
+    As a function of ``m`` the needed count rises up to ``n`` and falls beyond it.
+    """
+    whole = 100 + threshold
+    return 100 * whole * shared > 100 * threshold * (n + m) - threshold * whole * F.greatest(n, m)
 
 
-def _last_links(docs: DataFrame, sets: DataFrame, matrix: DataFrame) -> DataFrame:
+def _last_links(docs: DataFrame, matrix: DataFrame) -> DataFrame:
     """Edges between sets of different parts: matrix rows name groups to be opened."""
     members = _buckets(matrix.select("doc_id", "part").distinct(), "part", GROUP).select("doc_id", "part", "bucket")
     members = keep(members.withColumn("group", F.xxhash64("part", "bucket")))
     rows = matrix.join(members.select("doc_id", "group"), "doc_id")
-    one, two = rows.alias("q"), rows.alias("g")
-    low, high = F.least("q.n", "g.n"), F.greatest("q.n", "g.n")
-    pairs = one.join(two, (F.col("q.token") == F.col("g.token")) & (F.col("q.part") > F.col("g.part")) & (low * 100 >= high * THRESHOLD))
-    asked = keep(pairs.select(F.col("q.doc_id").alias("doc_id"), F.col("g.group").alias("group")).distinct())
-    known = sets.select("doc_id", "n", "columns")
-    counted = keep(members.join(known, "doc_id").select("group", "columns"))
-    several = counted.groupBy("group").agg(F.count("*").alias("size")).where("size > 1").select("group")
-    largest = counted.join(several, "group").groupBy("group").applyInPandas(_largest, "group bigint, most binary")
-    most = counted.join(several, "group", "left_anti").withColumnRenamed("columns", "most").union(largest)
-    asked = asked.join(known, "doc_id").join(most, "group").select("doc_id", "group", "n", "columns", "most")
-    asked = keep(asked.mapInArrow(_may_reach, "doc_id bigint, group bigint"))
+    union = rows.groupBy("token", "part", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one, two = matrix.alias("q"), union.alias("g")
+    near = (F.col("g.low") * THRESHOLD <= F.col("q.n") * 100) & (F.col("g.high") * 100 >= F.col("q.n") * THRESHOLD)
+    pairs = one.join(two, (F.col("q.token") == F.col("g.token")) & (F.col("q.part") > F.col("g.part")) & near)
+    bounds = pairs.groupBy(F.col("q.doc_id").alias("doc_id"), F.col("g.group").alias("group")).agg(
+        F.first("q.n").alias("n"), F.count("*").alias("shared"), F.min("g.low").alias("low"), F.max("g.high").alias("high")
+    )
+    # Among the sizes in reach the needed count is least at the smallest or the largest.
+    least = F.greatest("low", F.ceil(F.col("n") * THRESHOLD / 100))
+    most = F.least("high", F.floor(F.col("n") * 100 / THRESHOLD))
+    enough = may_link(F.col("shared"), F.col("n"), least) | may_link(F.col("shared"), F.col("n"), most)
+    asked = keep(bounds.where(enough).select("doc_id", "group"))
     asked = keep(_buckets(asked, "group", QUERIES).select("doc_id", "group", "bucket"))
     opened = asked.select("group", "bucket").distinct()
     held = members.drop("bucket").join(opened, "group").select("doc_id", "group", "bucket")
@@ -318,20 +303,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     survey = _survey(docs)
     rows = survey.where("kind = 0").drop("kind")
     linkable = rows.where("n > 0 AND doc_id IS NOT NULL")
-    sets = keep(linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("token").alias("token"), F.first("columns").alias("columns")))
+    sets = keep(linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("token").alias("token")))
     same_id = linkable.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
     edges = keep(_first_links(docs, sets))
     parts = components(edges)
     matrix = keep(_matrix(keep(_prefixes(docs, survey)), sets, parts))
     if not matrix.isEmpty():
-        edges = edges.union(_last_links(docs, sets, matrix))
+        edges = edges.union(_last_links(docs, matrix))
     # A document id with several texts ties their sets together.
     named = sets.select("k1", "k2", "n", F.col("doc_id").alias("rep"))
-    tied = linkable.drop("columns").join(same_id.select("doc_id"), "doc_id", "left_semi").join(named, ["k1", "k2", "n"])
+    tied = linkable.join(same_id.select("doc_id"), "doc_id", "left_semi").join(named, ["k1", "k2", "n"])
     edges = edges.union(tied.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = components(edges).select(F.col("vertex").alias("rep"), "component")
     reps = named.join(found, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.drop("columns").join(reps, ["k1", "k2", "n"], "left")
+    out = rows.join(reps, ["k1", "k2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
