@@ -21,6 +21,13 @@ def backlog(metadata: DataFrame, done: DataFrame, limit: int | None = None) -> D
     return open_rows.orderBy(F.col("crawl_date").desc(), "id").limit(limit)
 
 
+def with_filtered(contents: DataFrame, filtered: DataFrame) -> DataFrame:
+    """Contents with the rewritten texts of ``filtered`` (``id``, ``filtered_content``) put in."""
+    newer = filtered.select("id", F.col("filtered_content").alias("_newer"))
+    text_in = F.coalesce("_newer", "filtered_content")
+    return contents.join(newer, "id", "left").withColumn("filtered_content", text_in).drop("_newer")
+
+
 def with_text(metadata: DataFrame, contents: DataFrame) -> DataFrame:
     """Articles with their texts: content falls back to the title, filtered to content."""
     texts = contents.select("id", "content", "filtered_content")

@@ -105,17 +105,18 @@ def entity_by_slug(entities: DataFrame, entity_type: str, slug: str) -> DataFram
 def find_entity(entities: DataFrame, entity_type: str, slug: str) -> DataFrame:
     """Client lookup: the directory searched by slug text, then by its words.
 
-    The row must have exactly the slug; the slug-text search goes first.
+    The row must have exactly the slug; the slug-text search goes first. All
+    matches count, however unpopular, so the slug is compared before anything is cut.
     """
     wanted = slug.lower()
     words = slug.replace("-", " ").strip()
     queries = [slug] if not words or words == slug else [slug, words]
     chosen = None
     for number, query in enumerate(queries):
-        page = list_entities(entities, entity_type=entity_type, query=query, limit=100)
-        hit = page.filter(F.lower("slug") == wanted).withColumn("_order", F.lit(number))
+        matches = _directory(entities.filter(F.lower("slug") == wanted), entity_type, query)
+        hit = entity_view(matches).withColumn("_order", F.lit(number))
         chosen = hit if chosen is None else chosen.unionByName(hit)
-    return chosen.orderBy("_order").limit(1).drop("_order")
+    return chosen.orderBy("_order", "id").limit(1).drop("_order")
 
 
 def _check_limit(limit: int) -> None:

@@ -72,6 +72,7 @@ _ARTIFACT_SQL = problem_list(
         "content_type": "page_id % 5 = 0",
         "length_mismatch": "page_id % 3 = 0",
         "hash_mismatch": "page_id % 7 = 0",
+        "text_length": f"NOT length(html) BETWEEN 1 AND {quality.MAX_TEXT}",
         "failed_with_content": "page_id % 11 = 0",
         "incomplete_projection": "page_id % 11 <> 0 AND page_id % 13 = 0",
     }
@@ -92,7 +93,7 @@ def artifact_problems(room: Newsroom) -> DataFrame:
         F.when(n % 3 == 0, size + 1).otherwise(size).alias("content_length"),
         F.when(n % 7 == 0, F.lit("0" * 64)).otherwise(F.sha2("html", 256)).alias("content_sha256"),
         F.when(n % 13 != 0, F.lit("Title")).when(n % 11 == 0, F.lit("T")).alias("title"),
-        F.left("html", F.lit(1000)).alias("cleaned_text"),
+        F.col("html").alias("cleaned_text"),
         F.when(n % 11 == 0, "FAILED").otherwise("SUCCESS").alias("status"),
         F.lit("TRAFILATURA").alias("extractor"),
         F.array(F.lit("note")).alias("diagnostics"),

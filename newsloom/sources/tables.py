@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import upsert
 
+#: Partitions of a table that is keyed by a hash.
+BUCKETS = 64
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,9 +40,10 @@ def replace_rows(
 ) -> None:
     """Replace rows by ``key`` inside the days the changes belong to.
 
-    A row's day never changes (it comes from its own creation time), so other
-    days cannot hold the key and are neither read nor written. Running it twice
-    with the same changes gives the same table.
+    Only for rows whose day never changes (it comes from their own creation time):
+    other days cannot hold the key then and are neither read nor written. Where a
+    row can come again with another time, use :func:`replace_keyed`. Running it
+    twice with the same changes gives the same table.
     """
     dated = changes.withColumn("day", F.to_date(day_of))
     if not exists(spark, path):
@@ -59,6 +63,34 @@ def replace_rows(
     )
 
 
+def replace_keyed(
+    spark: SparkSession, path: str, changes: DataFrame, schema: str, *, key: str, buckets: int = BUCKETS
+) -> None:
+    """Replace rows by ``key`` in a table partitioned by a hash of the key.
+
+    A key always has the same bucket, whenever its row is written, so only the
+    buckets of the changes are read and rewritten. ``changes`` holds one row per
+    key and is read several times: pass a stored or checkpointed frame. All
+    writers of a table use the same number of buckets.
+    """
+    placed = changes.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    merged = placed
+    if exists(spark, path):
+        # At most ``buckets`` values.
+        touched = [r["bucket"] for r in placed.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        stored = spark.read.schema(f"{schema}, bucket INT").parquet(path)
+        merged = upsert.replace_by_key(stored.filter(F.col("bucket").isin(touched)), placed, [key])
+    (
+        merged.repartition("bucket")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(path)
+    )
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
     location = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = location.getFileSystem(spark._jsc.hadoopConfiguration())

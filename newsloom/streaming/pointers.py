@@ -11,11 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 from newsloom import schemas, settings
 from newsloom.operators import quality
 from newsloom.plans import entities as entity_plan
+from newsloom.session import cut_lineage
 from newsloom.sources import tables
 
 # How long the id of a pointer is remembered for deduplication.
 DEDUPE_DELAY = "1 day"
 
+#: The table of rewritten texts.
+FILTERED = "id STRING, filtered_content STRING"
+
 
 def read_kafka(spark: SparkSession, brokers: str, *, max_offsets: int = 1_000_000) -> DataFrame:
     """The topic from its earliest offset; needs the Kafka package on the cluster."""
@@ -62,6 +66,18 @@ def quarantined(decoded: DataFrame) -> DataFrame:
     return decoded.filter(F.size("problems") > 0).select("value", "problems")
 
 
+def store_quarantined(decoded: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep rejected payloads with their problems; stops when all available ones are stored."""
+    return (
+        quarantined(decoded)
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def first_pointers(pointers: DataFrame, delay: str = DEDUPE_DELAY) -> DataFrame:
     """Each article once within the watermark; its state is dropped after it."""
     return pointers.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(
@@ -70,25 +86,33 @@ def first_pointers(pointers: DataFrame, delay: str = DEDUPE_DELAY) -> DataFrame:
 
 
 def article_processor(
-    spark: SparkSession, *, content_path: str, entities_path: str, catalog: DataFrame
+    spark: SparkSession,
+    *,
+    content_path: str,
+    entities_path: str,
+    filtered_path: str,
+    catalog: DataFrame,
 ) -> Callable[[DataFrame, int], None]:
     """Batch function: process the articles of a micro-batch and replace their rows.
 
-    Replacing by article id makes a replayed batch harmless, so at-least-once
-    delivery gives exactly-once tables.
+    Rewritten texts go to ``filtered_path`` (``id``, ``filtered_content``) before
+    the mentions. Both tables are keyed by article id, so a replayed batch, or a
+    pointer that comes again on another day, replaces its rows: at-least-once
+    delivery gives exactly-once tables. A pointer whose content is not stored
+    yet gets no row; the article stays in the backlog.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        wanted = batch.select(F.col("article_id").alias("id"), "occurred_at")
-        articles = wanted.groupBy("id").agg(F.min("occurred_at").alias("first_seen"))
-        contents = tables.read(batch.sparkSession, content_path, schemas.NEWS_CONTENT)
-        now = F.current_timestamp()
-        rows, _ = entity_plan.process(articles, contents, catalog, now)
-        dated = rows.join(articles, "id").withColumn("processed_at", F.col("first_seen"))
-        tables.replace_rows(
-            spark, entities_path, dated.drop("first_seen"), schemas.NEWS_ENTITIES,
-            key="id", day_of="processed_at",
-        )
+        session = batch.sparkSession
+        pointed = cut_lineage(batch.select(F.col("article_id").alias("id")).distinct())
+        contents = tables.read(session, content_path, schemas.NEWS_CONTENT)
+        stored = contents.filter(F.col("content").isNotNull()).join(pointed, "id", "left_semi")
+        filtered = cut_lineage(entity_plan.filtered_contents(stored, catalog))
+        tables.replace_keyed(session, filtered_path, filtered, FILTERED, key="id")
+        found = entity_plan.extract_mentions(filtered, catalog)
+        ready = filtered.select("id", F.col("filtered_content").alias("content"))
+        rows = entity_plan.news_entities(filtered, found, ready, F.current_timestamp())
+        tables.replace_keyed(session, entities_path, cut_lineage(rows), schemas.NEWS_ENTITIES, key="id")
 
     return process
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom import schemas
 from newsloom.operators import articles, quality
-from newsloom.plans import catalog_import, ingest
+from newsloom.plans import catalog_import, ingest, serving
 from newsloom.sources import artifacts, catalog, events, feeds, tables
 from newsloom.streaming import pointers
 
@@ -246,14 +246,41 @@ def test_pointer_stream_equals_batch(spark, folder):
     rows = spark.createDataFrame(
         [(ARTICLE, "https://x.org/a", "X"), (missing, "https://x.org/b", "X")],
         "id string, canonical_url string, source_name string")
-    published = events.crawled_events(rows, moment())
     process = pointers.article_processor(
-        spark, content_path=f"{folder}/content", entities_path=f"{folder}/entities", catalog=catalog_rows)
-    for _ in range(2):
+        spark, content_path=f"{folder}/content", entities_path=f"{folder}/entities",
+        filtered_path=f"{folder}/filtered", catalog=catalog_rows)
+    # The same articles on two days: one row each, and none while the content is missing.
+    for day in (0, 1):
+        published = events.crawled_events(rows, moment() + F.make_dt_interval(F.lit(day)))
         events.publish(published, path=f"{folder}/topic")
         stream = pointers.accepted(pointers.decode(pointers.read_files(spark, f"{folder}/topic")))
         pointers.drain(stream, process, f"{folder}/checkpoint").awaitTermination()
-    found = {r["id"]: r for r in tables.read(spark, f"{folder}/entities", schemas.NEWS_ENTITIES).collect()}
-    assert [e["canonical_entity_id"] for e in found[ARTICLE]["entities"]] == ["e1"]
-    assert found[missing]["error"] == "article_content_not_found"
-    assert len(found) == 2
+    done = tables.read(spark, f"{folder}/entities", schemas.NEWS_ENTITIES)
+    found = done.collect()
+    assert [r["id"] for r in found] == [ARTICLE] and found[0]["error"] is None
+    assert [e["canonical_entity_id"] for e in found[0]["entities"]] == ["e1"]
+    assert [r["id"] for r in articles.backlog(rows, done).collect()] == [missing]
+    filtered = tables.read(spark, f"{folder}/filtered", pointers.FILTERED)
+    assert [tuple(r) for r in articles.with_filtered(contents, filtered).select("content", "filtered_content").collect()] == [
+        ("The Gunners won", "The Arsenal FC won")]
+
+
+def test_rejected_pointers_are_kept(spark, folder):
+    topic = f"{folder}/topic"
+    spark.createDataFrame([("no json",), ("{}",)], "value string").write.text(topic)
+    decoded = pointers.decode(pointers.read_files(spark, topic))
+    pointers.store_quarantined(decoded, f"{folder}/kept", f"{folder}/checkpoint").awaitTermination()
+    kept = spark.read.parquet(f"{folder}/kept").collect()
+    assert sorted(r["value"] for r in kept) == ["no json", "{}"] and all(r["problems"] for r in kept)
+
+
+def test_client_lookup_has_no_page_limit(spark):
+    names = [(f"e{i}", "CLUB", f"United {i}", f"united-{i}", 1000 - i) for i in range(150)]
+    names.append(("last", "CLUB", "United", "united", 0))
+    rows = spark.createDataFrame(names, "id string, entity_type string, canonical_name string, slug string, mention_count_24h int")
+    empty = spark.createDataFrame([], schemas.ENTITIES)
+    table = empty.unionByName(rows.select(*[
+        (F.col(f.name).cast(f.dataType) if f.name in rows.columns
+         else F.array().cast(f.dataType) if f.name == "aliases" else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in empty.schema]))
+    assert [r["id"] for r in serving.find_entity(table, "club", "united").collect()] == ["last"]
