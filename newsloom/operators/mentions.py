@@ -31,16 +31,19 @@ def keyed_schema(df: DataFrame, columns: str) -> str:
 _NON_SPACE = re.compile(r"\S+")
 
 
-def chunk_bounds(value: str, max_words: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of overlapping runs of ``max_words`` words."""
-    words = [m.span() for m in _NON_SPACE.finditer(value)]
-    first = 0
-    while first < len(words):
-        last = min(first + max_words, len(words))
-        yield words[first][0], words[last - 1][1]
-        if last == len(words):
-            return
-        first = last - overlap
+def chunk_bounds(value: str, max_words: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of chunks: chunk ``i`` holds up to ``max_words`` words from word ``i * step`` on.
+
+    ``step`` is ``max_words - overlap``; the first chunk that reaches the last word is the last.
+    """
+    starts, ends = [], []
+    for word in _NON_SPACE.finditer(value):
+        starts.append(word.start())
+        ends.append(word.end())
+    step = max_words - overlap
+    beyond = max(0, len(starts) - max_words)
+    chunks = 1 + -(-beyond // step) if starts else 0
+    return [(starts[i * step], ends[i * step : i * step + max_words][-1]) for i in range(chunks)]
 
 
 def _check_chunking(max_words: int, overlap: int) -> None:
