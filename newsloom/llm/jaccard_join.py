@@ -6,8 +6,9 @@ many tokens with any member of a group as with the group's union, so only groups
 that reach the needed overlap are opened, where each member is then compared.
 
 Steps: sets that are equal become one. Sets of one smallest hash form groups;
-inside a group all are compared, and linked ones become one part. Then the rest
-must be found: two sets that link share a token among their rarest few (the
+inside a group all are compared. A copy whose smallest hash differs meets up to
+GROUP sets of the most frequent smallest hash among those that share another
+extreme hash with it. Linked sets become one part. Then the rest must be found: two sets that link share a token among their rarest few (the
 prefix that the threshold leaves open), so the matrix is kept for prefixes. Rows
 of tokens that only one part holds say nothing and go; the others name, for each
 set, how many of its prefix tokens each group of other parts holds. Two sets that
@@ -46,6 +47,8 @@ SHINGLE, THRESHOLD = 4, 85
 GROUP, QUERIES = 256, 512
 #: Tokens whose frequency is known for ordering (8 bytes each, twice).
 FREQUENT = 1 << 18
+#: An odd factor that puts hashes into another order.
+MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -81,10 +84,10 @@ def _signed(tokens: np.ndarray) -> np.ndarray:
 
 def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per row its set in brief (kind 0); per slice the tokens that are frequent there (kind 1)."""
-    names = ["kind", "doc_id", "n", "k1", "k2", "token"]
+    names = ["kind", "doc_id", "n", "k1", "k2", "token", "far", "mixed"]
     for batch in batches:
         for part in slices(batch, "text"):
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             every = []
             for text in utf8(part, "text"):
                 tokens = shingles(text)
@@ -93,7 +96,9 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows[0].append(len(tokens))
                 rows[1].append(int(halves[0]))
                 rows[2].append(int(halves[1]))
-                rows[3].append(int(_signed(tokens)[0]) if len(tokens) else 0)
+                extremes = np.array([tokens[0], tokens[-1], (tokens * MIX).min()]).view(np.int64) if len(tokens) else np.zeros(3, np.int64)
+                for k, value in enumerate(extremes.tolist(), 3):
+                    rows[k].append(value)
                 every.append(tokens)
             size = len(every)
             yield pa.RecordBatch.from_arrays(
@@ -103,13 +108,13 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             often = counts >= max(3, size // 500)
             none = pa.nulls(int(often.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(none), np.int32)), none, pa.array(counts[often].astype(np.int64)), none, none, pa.array(_signed(found[often]))],
+                [pa.array(np.ones(len(none), np.int32)), none, pa.array(counts[often].astype(np.int64)), none, none, pa.array(_signed(found[often])), none, none],
                 names=names,
             )
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    return keep(docs.mapInArrow(_surveyed, "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint, token bigint"))
+    return keep(docs.mapInArrow(_surveyed, "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint, token bigint, far bigint, mixed bigint"))
 
 
 def _token_rows(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -209,6 +214,31 @@ def _first_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("token", "bucket", "deal").applyInPandas(_inside, "a bigint, b bigint")
 
 
+def _open(docs: DataFrame, members: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Edges between the sets that ask for a group and its members; all rows are (doc_id, ``key``)."""
+    asked = keep(_buckets(asked, key, QUERIES).select("doc_id", key, "bucket"))
+    opened = asked.select(key, "bucket").distinct()
+    held = members.join(opened, key).select("doc_id", key, "bucket")
+    roles = keep(held.withColumn("asks", F.lit(False)).union(asked.withColumn("asks", F.lit(True))))
+    rows = _token_rows(docs, roles, "doc_id").join(roles, "doc_id")
+    return rows.groupBy(key, "bucket").applyInPandas(_across, "a bigint, b bigint")
+
+
+def _further_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges between sets of other smallest hashes that share their largest hash, or the smallest in another order.
+
+    Of the most frequent smallest hash, about GROUP sets are members and the other
+    sets ask for them. What this misses is left to the matrix.
+    """
+    looks = sets.select("doc_id", "token", F.explode(F.array("far", "mixed")).alias("key"))
+    sizes = looks.groupBy("key", "token").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("size", "token")).alias("most"), F.count("*").alias("kinds"))
+    most = most.where("kinds > 1").select("key", F.col("most.token").alias("chief"), F.ceil(F.col("most.size") / GROUP).alias("deals"))
+    rows = keep(looks.join(most, "key").select("doc_id", "key", "deals", (F.col("token") != F.col("chief")).alias("asks")))
+    members = rows.where(~F.col("asks") & (F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.col("deals")) == 0))
+    return _open(docs, members.select("doc_id", "key"), rows.where("asks").select("doc_id", "key"), "key")
+
+
 def _prefixes(docs: DataFrame, survey: DataFrame) -> DataFrame:
     """Rows (doc_id, n, k1, token): each document's rarest tokens, one of which every partner shares."""
     often = survey.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
@@ -289,12 +319,7 @@ def _last_links(docs: DataFrame, matrix: DataFrame) -> DataFrame:
     most = F.least("high", F.floor(F.col("n") * 100 / THRESHOLD))
     enough = may_link(F.col("shared"), F.col("n"), least) | may_link(F.col("shared"), F.col("n"), most)
     asked = keep(bounds.where(enough).select("doc_id", "group"))
-    asked = keep(_buckets(asked, "group", QUERIES).select("doc_id", "group", "bucket"))
-    opened = asked.select("group", "bucket").distinct()
-    held = members.drop("bucket").join(opened, "group").select("doc_id", "group", "bucket")
-    roles = keep(held.withColumn("asks", F.lit(False)).union(asked.withColumn("asks", F.lit(True))))
-    rows = _token_rows(docs, roles, "doc_id").join(roles, "doc_id")
-    return rows.groupBy("group", "bucket").applyInPandas(_across, "a bigint, b bigint")
+    return _open(docs, members.select("doc_id", "group"), asked, "group")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,9 +328,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     survey = _survey(docs)
     rows = survey.where("kind = 0").drop("kind")
     linkable = rows.where("n > 0 AND doc_id IS NOT NULL")
-    sets = keep(linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("token").alias("token")))
+    sets = keep(linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("token", "far", "mixed")]))
     same_id = linkable.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
-    edges = keep(_first_links(docs, sets))
+    edges = keep(_first_links(docs, sets).union(_further_links(docs, sets)))
     parts = components(edges)
     matrix = keep(_matrix(keep(_prefixes(docs, survey)), sets, parts))
     if not matrix.isEmpty():
