@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import sys
@@ -208,6 +209,18 @@ def test_embedding_links(spark):
         assert (got[i].n_links, got[i].component_id) == (0, i)
 
 
+def test_embedding_recall_of_large_tables():
+    """Pairs at the threshold meet, with the directions that a million and ten million vectors need."""
+    rng = np.random.default_rng(6)
+    x, other = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 1500, 64)))
+    other -= (x * other).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.9 * x + math.sqrt(1 - 0.9**2) * other
+    for per_table in (12, 20, 24):
+        one, two = (embedding_dedup.bucket_keys(v, per_table) for v in (x, near))
+        assert (one == two).any(axis=1).mean() >= 0.98
+
+
 def test_quality_on_given_labels(spark, odd, none):
     if not Path(SF).exists():
         pytest.skip("driver tables are not here")
