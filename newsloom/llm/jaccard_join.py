@@ -53,7 +53,7 @@ def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(words) <= width:
+    if len(words) < width:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words))], dtype=np.uint64)
     each = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
     size = len(words) - width + 1

@@ -240,6 +240,13 @@ def test_jaccard_cases(spark, odd, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_jaccard_text_of_one_shingle(spark):
+    texts = ["a a a a", "A a a a a", "b c d", "b c d e", "b c d e"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame).collect())
+    assert got == [(0, 1, 0), (1, 1, 0), (2, 1, 2), (3, 1, 3), (4, 1, 3)]
+
+
 def test_jaccard_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "GROUP", 4)
     rng = random.Random(6)
