@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import keep, slices, table, utf8
 from newsloom.llm.graph import components, filter_places, may_hold, member_filter
 
-#: Words of a shingle, and the similarity at which sets link, in hundredths.
+#: Words of a shingle, and the similarity at which sets link, in hundredths, unless the caller says otherwise.
 SHINGLE, THRESHOLD = 4, 85
 #: Sets of a group, and queries that meet a group at a time.
 GROUP, QUERIES = 256, 512
@@ -79,7 +79,7 @@ def _signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
 
-def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _surveyed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Per row its set in brief (kind 0); per slice the tokens that are frequent there (kind 1)."""
     names = ["kind", "doc_id", "n", "k1", "k2", "token"]
     for batch in batches:
@@ -87,7 +87,7 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[list] = [[], [], [], []]
             every = []
             for text in utf8(part, "text"):
-                tokens = shingles(text)
+                tokens = shingles(text, width)
                 key = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 halves = np.array([key >> 64, key & (2**64 - 1)], dtype=np.uint64).view(np.int64)
                 rows[0].append(len(tokens))
@@ -108,11 +108,11 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _survey(docs: DataFrame) -> DataFrame:
-    return keep(docs.mapInArrow(_surveyed, "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint, token bigint"))
+def _survey(docs: DataFrame, width: int) -> DataFrame:
+    return keep(docs.mapInArrow(lambda batches: _surveyed(batches, width), "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint, token bigint"))
 
 
-def _token_rows(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+def _token_rows(docs: DataFrame, ids: DataFrame, column: str, width: int) -> DataFrame:
     """Rows (doc_id, tokens) of the documents in ``ids``; only those leave their tasks."""
     held = member_filter(ids, column)
 
@@ -121,7 +121,7 @@ def _token_rows(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
             places = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
             chosen = batch.filter(pa.array(may_hold(held, places) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
             for part in slices(chosen, "text"):
-                packed = [shingles(t).tobytes() for t in utf8(part, "text")]
+                packed = [shingles(t, width).tobytes() for t in utf8(part, "text")]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "tokens"])
 
     placed = docs.select("doc_id", "text", *[p.alias(f"p{k}") for k, p in enumerate(filter_places("doc_id"))])
@@ -133,7 +133,8 @@ def _token_rows(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 class OpenGroup:
     """A group of sets: its token union and, for each token, the members that hold it."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], threshold: int):
+        self.threshold = threshold
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         self.flat = np.concatenate(sets)
         self.union, self.where = np.unique(self.flat, return_inverse=True)
@@ -143,7 +144,7 @@ class OpenGroup:
         """How many tokens each member shares with the query; None if the union shows that none can link."""
         at = np.minimum(np.searchsorted(self.union, query), len(self.union) - 1)
         shared = at[self.union[at] == query]
-        if 100 * len(shared) < THRESHOLD * len(query):
+        if 100 * len(shared) < self.threshold * len(query):
             return None
         mark = np.zeros(len(self.union), dtype=np.int32)
         mark[shared] = 1
@@ -154,12 +155,12 @@ def _sets(frame: pd.DataFrame, column: str = "tokens") -> list[np.ndarray]:
     return [np.frombuffer(b, dtype=np.uint64) for b in frame[column]]
 
 
-def _inside(frame: pd.DataFrame) -> pd.DataFrame:
+def _inside(frame: pd.DataFrame, threshold: int) -> pd.DataFrame:
     """Edges that span the linked sets of one group."""
     frame = frame.sort_values("doc_id")
     ids = frame["doc_id"].tolist()
     sets = _sets(frame)
-    group = OpenGroup(sets)
+    group = OpenGroup(sets, threshold)
     root = list(range(len(ids)))
 
     def find(i: int) -> int:
@@ -170,23 +171,23 @@ def _inside(frame: pd.DataFrame) -> pd.DataFrame:
 
     for i, query in enumerate(sets):
         shared = group.overlaps(query)
-        for j in np.flatnonzero(links(shared, group.sizes, len(query))).tolist():
+        for j in np.flatnonzero(links(shared, group.sizes, len(query), threshold)).tolist():
             one, two = sorted((find(i), find(j)))
             root[two] = one
     pairs = [(ids[i], ids[find(i)]) for i in range(len(ids)) if find(i) != i]
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
+def _across(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
     """An edge for each query that links with a member of the group (which is connected already)."""
     members, queries = rows[~rows["asks"]].sort_values("doc_id"), rows[rows["asks"]]
     pairs = []
     if len(members) and len(queries):
-        group = OpenGroup(_sets(members))
+        group = OpenGroup(_sets(members), threshold)
         ids = members["doc_id"].to_numpy()
         for name, query in zip(queries["doc_id"].tolist(), _sets(queries), strict=True):
             shared = group.overlaps(query)
-            if shared is not None and (hit := links(shared, group.sizes, len(query))).any():
+            if shared is not None and (hit := links(shared, group.sizes, len(query), threshold)).any():
                 pairs.append((name, int(ids[hit.argmax()])))
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
@@ -198,18 +199,18 @@ def _buckets(frame: DataFrame, key: str, size: int, value: str = "doc_id", seed:
     return frame.join(counts, key, "left").withColumn("bucket", dealt)
 
 
-def _first_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def _first_links(docs: DataFrame, sets: DataFrame, width: int, threshold: int) -> DataFrame:
     """Edges among sets of one smallest hash. Large groups are dealt out twice, in two ways."""
     several = sets.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     members = keep(sets.join(several, "token").select("doc_id", "token", "size"))
     one = _buckets(members, "token", GROUP).withColumn("deal", F.lit(0))
     two = _buckets(members.where(F.col("size") > GROUP), "token", GROUP, seed=1).withColumn("deal", F.lit(1))
     dealt = one.unionByName(two).select("doc_id", "token", "bucket", "deal")
-    rows = _token_rows(docs, members, "doc_id").join(dealt, "doc_id")
-    return rows.groupBy("token", "bucket", "deal").applyInPandas(_inside, "a bigint, b bigint")
+    rows = _token_rows(docs, members, "doc_id", width).join(dealt, "doc_id")
+    return rows.groupBy("token", "bucket", "deal").applyInPandas(lambda frame: _inside(frame, threshold), "a bigint, b bigint")
 
 
-def _prefixes(docs: DataFrame, survey: DataFrame) -> DataFrame:
+def _prefixes(docs: DataFrame, survey: DataFrame, width: int, threshold: int) -> DataFrame:
     """Rows (doc_id, n, k1, token): each document's rarest tokens, one of which every partner shares."""
     often = survey.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     known = np.array([r.token for r in often], dtype=np.int64).view(np.uint64)
@@ -220,7 +221,7 @@ def _prefixes(docs: DataFrame, survey: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.filter(batch.column(0).is_valid()), "text"):
-                found = [shingles(t) for t in utf8(part, "text")]
+                found = [shingles(t, width) for t in utf8(part, "text")]
                 keys = [xxhash.xxh3_128_intdigest(t.tobytes()) >> 64 for t in found]
                 if len(known):
                     for i, tokens in enumerate(found):
@@ -228,7 +229,7 @@ def _prefixes(docs: DataFrame, survey: DataFrame) -> DataFrame:
                         count = np.where(known[at] == tokens, counts[at], 0)
                         found[i] = tokens[np.argsort(count, kind="stable")]
                 sizes = np.array([len(t) for t in found])
-                took = [t[: prefix_length(len(t))] if len(t) else t for t in found]
+                took = [t[: prefix_length(len(t), threshold)] if len(t) else t for t in found]
                 repeat = np.array([len(t) for t in took])
                 ids = part.column(0).cast(pa.int64()).to_numpy()
                 columns = [
@@ -272,44 +273,46 @@ def may_link(shared: Column, n: Column, m: Column, threshold: int = THRESHOLD) -
     return 100 * whole * shared > 100 * threshold * (n + m) - threshold * whole * F.greatest(n, m)
 
 
-def _last_links(docs: DataFrame, matrix: DataFrame) -> DataFrame:
+def _last_links(docs: DataFrame, matrix: DataFrame, width: int, threshold: int) -> DataFrame:
     """Edges between sets of different parts: matrix rows name groups to be opened."""
     members = _buckets(matrix.select("doc_id", "part").distinct(), "part", GROUP).select("doc_id", "part", "bucket")
     members = keep(members.withColumn("group", F.xxhash64("part", "bucket")))
     rows = matrix.join(members.select("doc_id", "group"), "doc_id")
     union = rows.groupBy("token", "part", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     one, two = matrix.alias("q"), union.alias("g")
-    near = (F.col("g.low") * THRESHOLD <= F.col("q.n") * 100) & (F.col("g.high") * 100 >= F.col("q.n") * THRESHOLD)
+    near = (F.col("g.low") * threshold <= F.col("q.n") * 100) & (F.col("g.high") * 100 >= F.col("q.n") * threshold)
     pairs = one.join(two, (F.col("q.token") == F.col("g.token")) & (F.col("q.part") > F.col("g.part")) & near)
     bounds = pairs.groupBy(F.col("q.doc_id").alias("doc_id"), F.col("g.group").alias("group")).agg(
         F.first("q.n").alias("n"), F.count("*").alias("shared"), F.min("g.low").alias("low"), F.max("g.high").alias("high")
     )
     # Among the sizes in reach the needed count is least at the smallest or the largest.
-    least = F.greatest("low", F.ceil(F.col("n") * THRESHOLD / 100))
-    most = F.least("high", F.floor(F.col("n") * 100 / THRESHOLD))
-    enough = may_link(F.col("shared"), F.col("n"), least) | may_link(F.col("shared"), F.col("n"), most)
+    least = F.greatest("low", F.ceil(F.col("n") * threshold / 100))
+    most = F.least("high", F.floor(F.col("n") * 100 / threshold))
+    enough = may_link(F.col("shared"), F.col("n"), least, threshold) | may_link(F.col("shared"), F.col("n"), most, threshold)
     asked = keep(bounds.where(enough).select("doc_id", "group"))
     asked = keep(_buckets(asked, "group", QUERIES).select("doc_id", "group", "bucket"))
     opened = asked.select("group", "bucket").distinct()
     held = members.drop("bucket").join(opened, "group").select("doc_id", "group", "bucket")
     roles = keep(held.withColumn("asks", F.lit(False)).union(asked.withColumn("asks", F.lit(True))))
-    rows = _token_rows(docs, roles, "doc_id").join(roles, "doc_id")
-    return rows.groupBy("group", "bucket").applyInPandas(_across, "a bigint, b bigint")
+    rows = _token_rows(docs, roles, "doc_id", width).join(roles, "doc_id")
+    return rows.groupBy("group", "bucket").applyInPandas(lambda rows: _across(rows, threshold), "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one per row of ``docs``."""
+def jaccard_components(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD
+) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one per row of ``docs``: shingles of ``width`` words, links from ``threshold`` hundredths."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    survey = _survey(docs)
+    survey = _survey(docs, width)
     rows = survey.where("kind = 0").drop("kind")
     linkable = rows.where("n > 0 AND doc_id IS NOT NULL")
     sets = keep(linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("token").alias("token")))
     same_id = linkable.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
-    edges = keep(_first_links(docs, sets))
+    edges = keep(_first_links(docs, sets, width, threshold))
     parts = components(edges)
-    matrix = keep(_matrix(keep(_prefixes(docs, survey)), sets, parts))
+    matrix = keep(_matrix(keep(_prefixes(docs, survey, width, threshold)), sets, parts))
     if not matrix.isEmpty():
-        edges = edges.union(_last_links(docs, matrix))
+        edges = edges.union(_last_links(docs, matrix, width, threshold))
     # A document id with several texts ties their sets together.
     named = sets.select("k1", "k2", "n", F.col("doc_id").alias("rep"))
     tied = linkable.join(same_id.select("doc_id"), "doc_id", "left_semi").join(named, ["k1", "k2", "n"])
@@ -320,16 +323,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD
+) -> DataFrame:
     """``docs`` with one document of each component: the one of the smallest id."""
-    found = jaccard_components(docs, doc_id, text)
+    found = jaccard_components(docs, doc_id, text, width, threshold)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(keep(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near copies among all documents."""
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, threshold=85)
 
 
 OP8_SQL = r"""

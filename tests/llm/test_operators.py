@@ -272,6 +272,33 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     assert got == {i: find(i) for i in range(120)}
 
 
+def test_jaccard_width_and_threshold(spark):
+    """Near copies at 5-word Jaccard from 0.80 on go in the pipeline's stage; op8 keeps 4 words and 0.85."""
+    import corpus_pipeline
+
+    def jaccard(one, two, width):
+        one, two = ({tuple(w[p : p + width]) for p in range(len(w) - width + 1)} for w in (one, two))
+        return len(one & two) / len(one | two)
+
+    rows, near = [], 0
+    for i in range(40):
+        words = [f"d{i}w{k}" for k in range(100 + i)]
+        other = list(words)
+        for at in (20, 50, 80)[: 1 + i % 3]:
+            other[at] = f"new{at}"
+        if i % 2:
+            other[0] = "new0"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        near += jaccard(words, other, 5) >= 0.8 and jaccard(words, other, 4) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = {i: t.split() for i, t in rows}
+    for width, threshold in ((4, 85), (5, 80), (3, 60)):
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, width=width, threshold=threshold).collect()}
+        assert got == {i: i - i % 2 if jaccard(texts[i - i % 2], texts[i | 1], width) >= threshold / 100 else i for i in texts}
+    kept = {r.doc_id for r in corpus_pipeline.jaccard_join(spark, docs, "").collect()}
+    assert near and kept == {i for i in texts if i % 2 == 0 or jaccard(texts[i - 1], texts[i], 5) < 0.8}
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]{16,}") is None
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
