@@ -30,16 +30,26 @@ from pyspark.sql import types as T
 
 from newsloom.llm.common import add_columns, fresh, table
 
-#: A comment, declaration, or tag. Quoted attribute values may hold ``>``.
+#: A comment, declaration, or tag. Attribute values that are quoted directly after ``=`` may hold ``>``.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>])*+)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)>", re.S
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 # How HTML elements behave.
 HIDDEN = {"script", "style", "template", "noscript", "svg", "iframe", "object", "math", "title", "head"}
-RAW = {"script", "style", "noscript", "iframe", "title", "template", "svg", "math", "object"}
+RAW = {"script", "style", "noscript", "iframe", "title"}
+#: Foreign elements, which ``/>`` closes, and the HTML elements that end them if they are open.
+FOREIGN = {"svg", "math"}
+BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre"
+    " ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Where HTML is at home within foreign elements.
+INTEGRATION = {"foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+#: What a head may hold; any other element closes it.
+HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "noframes", "template", "head", "html"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure"
@@ -47,15 +57,17 @@ BLOCKS = set(
     " summary table tbody td textarea tfoot th thead tr ul label".split()
 )
 CLOSES_P = BLOCKS - {"html", "body", "button", "option", "select", "td", "th", "tr", "tbody", "tfoot", "thead", "caption", "label", "legend", "textarea"}
+#: What is in these ends nothing around them.
+INERT = {"template", "object"}
 #: What a new element ends if it is open, and where the search for it stops.
 SIBLINGS = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
+    "li": ({"li"}, {"ul", "ol", "menu", "dir", *INERT}),
+    "dt": ({"dt", "dd"}, {"dl", *INERT}),
+    "dd": ({"dt", "dd"}, {"dl", *INERT}),
+    "tr": ({"tr", "td", "th"}, {"table", *INERT}),
+    "td": ({"td", "th"}, {"tr", "table", *INERT}),
+    "th": ({"td", "th"}, {"tr", "table", *INERT}),
+    "option": ({"option"}, {"select", *INERT}),
 }
 
 
@@ -79,12 +91,14 @@ class Page:
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = []  # open elements and the node at each
         block: list[tuple[int, str]] = []
-        node, links, hidden, place = 0, 0, 0, 0
+        node, links, hidden, foreign, place = 0, 0, 0, 0, 0
         lower = None
+        objects_end = -1  # where the last object ends
 
         def close(to: int) -> None:
-            nonlocal links, hidden
+            nonlocal links, hidden, foreign
             for name, _ in stack[to:]:
+                foreign -= name in FOREIGN
                 links -= name == "a"
                 hidden -= name in HIDDEN
             del stack[to:]
@@ -97,10 +111,19 @@ class Page:
                     break
             return -1
 
+        def lowered() -> str:
+            nonlocal lower
+            lower = source.lower() if lower is None else lower
+            if len(lower) != size:  # some letters change their number in lower case
+                lower = re.sub("[A-Z]", lambda m: m[0].lower(), source)
+            return lower
+
         size = len(source)
         while place <= size:
             found = _MARKUP.search(source, place)
             end = found.start() if found else size
+            if stack and stack[-1][0] == "head" and not source[place:end].isspace() and end > place:
+                close(len(stack) - 1)
             if end > place and not hidden:
                 text = html.unescape(source[place:end])
                 block.append((node, text))
@@ -119,23 +142,28 @@ class Page:
                     self.blocks.append(block)
                     block = []
             if found[1]:
-                i = find({tag}, set())
+                i = find({tag}, {"template"})
                 if i >= 0:
                     close(i)
                     node = stack[-1][1] if stack else 0
                 continue
-            if tag in VOID:
+            if tag not in HEAD and stack and stack[-1][0] == "head":
+                close(len(stack) - 1)
+            while foreign and tag in BREAKOUT and (i := find(FOREIGN, INTEGRATION | INERT)) >= 0:
+                close(i)
+            if tag in VOID or (foreign or tag in FOREIGN) and found[3].endswith("/"):
                 continue
-            if tag in CLOSES_P and (i := find({"p"}, {"button", "table", "td", "th"})) >= 0:
+            if tag == "object":
+                objects_end = lowered().rfind("</object") if objects_end < 0 else objects_end
+                if objects_end < place:  # never closed: it hides nothing
+                    continue
+            if tag in CLOSES_P and (i := find({"p"}, {"button", "table", "td", "th", *INERT})) >= 0:
                 close(i)
             if tag in SIBLINGS and (i := find(*SIBLINGS[tag])) >= 0:
                 close(i)
             node = stack[-1][1] if stack else 0
             if tag in RAW:
-                lower = source.lower() if lower is None else lower
-                if len(lower) != size:  # some letters change their number in lower case
-                    lower = re.sub("[A-Z]", lambda m: m[0].lower(), source)
-                stop = lower.find("</" + tag, place)
+                stop = lowered().find("</" + tag, place)
                 place = size if stop < 0 else stop
                 if stop < 0:
                     break
@@ -143,11 +171,12 @@ class Page:
             if found[3]:
                 named = " ".join(" ".join(x for x in m[1:] if x) for m in _ATTRIBUTE.findall(found[3]))
                 words = tuple(dict.fromkeys(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())))
-            if tag in BLOCKS and tag not in ("html",) or words and tag not in HIDDEN:
+            if not hidden and (tag in BLOCKS and tag not in ("html",) or words and tag not in HIDDEN):
                 node = self._open(tag, node, words)
             stack.append((tag, node))
             links += tag == "a"
             hidden += tag in HIDDEN
+            foreign += tag in FOREIGN
         if block:
             self.blocks.append(block)
 

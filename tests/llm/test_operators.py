@@ -175,6 +175,28 @@ def test_html_model():
     assert np.mean(right) > 0.95
 
 
+def test_html_pages_of_usual_faults():
+    """Open heads, self-closed and open foreign elements, and stray quotes lose no text."""
+    tree = html_text.model()
+    story = "<article><h1>Head</h1><p>One word.<p>Two <b>words</b> more.</article>"
+    pages = [
+        f"<html><head><meta charset=utf-8><title>t</title><body>{story}",
+        f"<head><title>t</title><script>x</script>{story}",
+        f"<head><template><div><p>hidden</p></div></template>{story}",
+        f"<body><svg/><math/>{story}",
+        f"<body><svg class=icon viewBox='0 0 1 1'><path d='M0'/><g><title/><div>{story}</div>",
+        f"<body><p>Lead <svg><g class=x><text>no</text></g></svg>in.</p><math><mi>x</math>{story}",
+        f"<body><object data=x>{story}",
+        f"<body><object data=x><p>no</p></object>{story}",
+        f"<body><p title=don't>Lead</p><img alt=\"5\"\">{story}<p>it's \"so\"</p>",
+        f"<body><a title='a > b' href=/?q=\"x>Lead</a>{story}",
+    ]
+    for page in pages:
+        assert "Head One word. Two words more." in tree.text(page), page
+        assert "no" not in tree.text(page).split() and "hidden" not in tree.text(page), page
+    assert [t for b in html_text.Page("<head><title>t</title>Bare text").blocks for _, t in b] == ["Bare text"]
+
+
 def test_html_marginals_are_exact():
     """Sum-product equals the sum over all labellings of a small tree."""
     import itertools
