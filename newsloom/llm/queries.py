@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, chat, decontamination, embedding_dedup, html_text, jaccard_join, pii, quality, secret_scan, sharding
+from newsloom.llm import (
+    bpe,
+    chat,
+    decontamination,
+    embedding_dedup,
+    html_text,
+    jaccard_join,
+    lexical_search,
+    pii,
+    quality,
+    secret_scan,
+    sharding,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +33,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_pii": pii.op10_pii,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +41,5 @@ SQL: dict[str, str] = {
     "op2_decontamination": decontamination.OP2_SQL,
     "op8_jaccard_join": jaccard_join.OP8_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
 }
