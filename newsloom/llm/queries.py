@@ -14,6 +14,7 @@ from newsloom.llm import (
     html_text,
     jaccard_join,
     lexical_search,
+    license_scan,
     pii,
     quality,
     secret_scan,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Query] = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_pii": pii.op10_pii,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_license_scan": license_scan.op12_license_scan,
 }
 
 SQL: dict[str, str] = {
