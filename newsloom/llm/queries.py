@@ -19,6 +19,7 @@ from newsloom.llm import (
     quality,
     secret_scan,
     sharding,
+    token_alignment,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,7 @@ QUERIES: dict[str, Query] = {
     "op10_pii": pii.op10_pii,
     "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_license_scan": license_scan.op12_license_scan,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
