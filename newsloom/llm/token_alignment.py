@@ -24,16 +24,18 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.bpe import ByteBPE, OffsetTable, vocabulary_path
+from newsloom.llm.bpe import PATTERN, OffsetTable, byte_letters, vocabulary_path
 from newsloom.llm.common import add_columns, fresh, keep, slices, table, utf8
 
 #: The vocabularies of the registered query, by their public names.
@@ -42,6 +44,8 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_BYTES = 4 << 20
 #: Characters of a text that are encoded at a time where it can be cut.
 LONG_TEXT = 1 << 20
+#: Characters of white space that are a piece of their own without a look at the pattern.
+LONG_BLANK = 10_000
 
 CHUNKS = T.StructType(
     [
@@ -63,28 +67,37 @@ class SpacedBytes:
     """The byte-level vocabulary: a text behind one space, special tokens as plain text."""
 
     def __init__(self, path: str):
-        self.bpe = ByteBPE(path)
-        self.bytes = self.bpe.table
-        self.blank = re.compile(r"\s")
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        letters = byte_letters()
+        ids = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
+        merged = [ids[bytes(letters[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in model["merges"]]
+        if merged != sorted(merged):
+            raise ValueError("ids must rise in the order of the merges")
+        pieces = [b""] * (1 + max(ids.values()))
+        for piece, i in ids.items():
+            pieces[i] = piece
+        known = {*merged}
+        ranks = {piece: i for piece, i in ids.items() if len(piece) == 1 or i in known}
+        self.model = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = OffsetTable(pieces)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(self._parts(t)), dtype=np.int32) for t in texts]
-
-    def _parts(self, text: str) -> list[bytes]:
-        bpe = self.bpe
-        if bpe.bad.search(text) or self.blank.match(text):  # white space that a word-wise cut would tear apart
-            text = " " + text
-            return [bpe._word(text)] if len(text) < 4096 else [bpe._word(p) for p in re.split(r"(?<=\S)(?= \S)", text)]
-        get, new, out, lead = bpe.words.get, bpe._word, [], " "
-        for line in text.split("\n"):
-            if not lead:
-                out.append(new("\n"))
-            for word in line.split(" "):
-                word = lead + word
-                out.append(get(word) or new(word))
-                lead = " "
-            lead = ""
-        return out
+        return [np.array(self._ids(" " + t), dtype=np.int32) for t in texts]
+
+    def _ids(self, text: str) -> list[int]:
+        """The ids of a text; long white space, on which the library's matcher would run out of stack, goes as one piece."""
+        if len(text) < LONG_BLANK:
+            return self.model.encode_ordinary(text)
+        out, at = [], 0
+        for run in regex.finditer(rf"\s{{{LONG_BLANK},}}", text):
+            end = run.end() - (run.end() < len(text))  # the last one may belong to the next word
+            out += self.model.encode_ordinary(text[at : run.start()])
+            out += self.model._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + self.model.encode_ordinary(text[at:])
 
 
 class SentencePieces:

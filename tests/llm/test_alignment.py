@@ -122,6 +122,19 @@ def test_long_texts_are_cut_without_a_trace(paths, monkeypatch):
         assert ids.tolist() == side.model.encode(text)
 
 
+def test_long_white_space(paths, monkeypatch):
+    side = token_alignment.load_pair(*paths)[0]
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "é", ".", "'s", " ", "\n", "\x1c", " " * 7, "\u3000\n "]) for _ in range(25))
+        monkeypatch.setattr(token_alignment, "LONG_BLANK", 10_000)
+        whole = side.encode([text])[0].tolist()
+        monkeypatch.setattr(token_alignment, "LONG_BLANK", 2)
+        assert side.encode([text])[0].tolist() == whole
+    monkeypatch.setattr(token_alignment, "LONG_BLANK", 10_000)
+    assert len(side.encode([" " * 3_000_000 + "a"])[0]) == 3_000_001
+
+
 def test_groups_column(spark, paths):
     docs = spark.createDataFrame([("hello world", 1), (None, 2)], "text string, groups int")
     rows = token_alignment.align_groups(docs, *paths).collect()
