@@ -112,12 +112,21 @@ def html_text(markup: Column) -> Column:
 
 
 class _Pieces(HTMLParser):
+    """Text pieces of a snippet; code of scripts and styles is none."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.pieces: list[str] = []
+        self.code = False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.code = tag in ("script", "style")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.code = False
 
     def handle_data(self, data: str) -> None:
-        if data.strip():
+        if not self.code and data.strip():
             self.pieces.append(data.strip())
 
 

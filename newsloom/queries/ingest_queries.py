@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom import settings
 from newsloom.functions import identity, urls
+from newsloom.functions.dates import feed_time
 from newsloom.operators import articles
 from newsloom.plans import ingest
 from newsloom.queries import sql
@@ -300,14 +301,13 @@ def page_links(room: Newsroom) -> DataFrame:
                 THEN base || link ELSE link END, '&amp;', '&'), '^([^#]*)', 1) AS url, base
             FROM ({_LINKS_SQL}))
         WHERE starts_with(url, base) GROUP BY page_id, tld, url),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ordinal) AS n
-        FROM (SELECT *, {_PATH_SQL} AS path FROM l) WHERE {_PATTERN_SQL})
+    ranked AS (SELECT * FROM (SELECT *, {_PATH_SQL} AS path FROM l) WHERE {_PATTERN_SQL})
     SELECT page_id, tld AS source_name, ordinal, url,
         coalesce(nullif(left(replace(string_split(url, '/')[-1], '-', ' '), 500), ''), url) AS title
-    FROM ranked WHERE n <= 4""",
+    FROM ranked""",
 )
 def listing_entries(room: Newsroom) -> DataFrame:
-    found = feeds.listing_entries(_listing_pages(room), _rules(room), limit=4)
+    found = feeds.listing_entries(_listing_pages(room), _rules(room))
     return found.select("page_id", "source_name", "ordinal", "url", "title")
 
 
@@ -350,7 +350,8 @@ def extraction_backlog(room: Newsroom) -> DataFrame:
     return rows.select("id", F.sha2("content", 256).alias("content_hash"), "extraction_status")
 
 
-# Feeds: every document is a feed and its lines are the entries.
+# Feeds: every document is a feed and its lines are the entries. One feed in five is clean RSS; the others
+# have bare ampersands and HTML entities, are cut off, are Atom, or are RDF.
 _LINE_SQL = r"""
     SELECT doc_id, source, lang, unnest(range(len(lines))) AS ordinal, unnest(lines) AS line
     FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS lines FROM documents)"""
@@ -362,26 +363,48 @@ def feed_documents(room: Newsroom) -> DataFrame:
             value = F.replace(value, F.lit(mark), F.lit(entity))
         return F.regexp_replace(value, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
 
-    link = F.concat(
-        F.lit("https://feed."), "source", F.lit(".example.com/"), "lang", F.lit("/"),
-        F.col("doc_id").cast("string"), F.lit("/"),
-    )
-    items = F.transform(
-        F.split("text", "\n", -1),
-        lambda line, i: F.concat(
-            F.lit("<item><title>"), escaped(line),
-            F.lit("</title><link>"),
-            F.when(i % 7 == 3, F.lit("mailto:x")).otherwise(F.concat(link, i.cast("string"), F.lit("?a=1&amp;b=2#top"))),
-            F.lit("</link><guid isPermaLink='false'>"), F.concat_ws("-", F.col("doc_id"), i),
-            F.lit("</guid><pubDate>Sat, 20 Jan 2024 0"), (i % 10).cast("string"),
-            F.lit(":30:00 GMT</pubDate><description>&lt;p&gt;Line "), i.cast("string"),
-            F.lit("&lt;/p&gt; of &lt;b&gt;feed&lt;/b&gt;</description><enclosure url=' https://img.example.com/"),
-            i.cast("string"), F.lit(".png ' type='image/png'/></item>"),
-        ),
-    )
-    payload = F.concat(
-        F.lit("<rss version='2.0'><channel><title>Feed</title>"), F.array_join(items, ""),
-        F.lit("</channel></rss>"),
+    def said(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    link = said("https://feed.", F.col("source"), ".example.com/", F.col("lang"), "/", F.col("doc_id").cast("string"), "/")
+    form = F.pmod("doc_id", F.lit(5))
+
+    def entry(line, i):
+        number, hour = i.cast("string"), (i % 10).cast("string")
+        title = F.when(form == 1, said(escaped(line), " R&D&nbsp;caf&eacute;")).otherwise(escaped(line))
+        target = F.when(i % 7 == 3, "mailto:x").otherwise(said(link, number, "?a=1&amp;b=2#top"))
+        guid = F.concat_ws("-", F.col("doc_id"), i)
+        story = said(
+            "&lt;p&gt;Line ", number, "&lt;/p&gt; of &lt;b&gt;feed&lt;/b&gt;&lt;script&gt;if (a) { b(); }&lt;/script&gt;"
+        )
+        image = said(" https://img.example.com/", number, ".png ")
+        time = (
+            F.when(form == 1, said("Saturday, 20 January 2024 0", hour, ":30 EST"))
+            .when(form == 2, said("20 Jan 24 0", hour, ":30:00 BST"))
+            .otherwise(said("Sat, 20 Jan 2024 0", hour, ":30:00 GMT"))
+        )
+        rss = said(
+            "<item><title>", title, "</title><link>", target, "</link><guid isPermaLink='false'>", guid, "</guid><pubDate>",
+            time, "</pubDate><description>", story, "</description><enclosure url='", image, "' type='image/png'/></item>",
+        )
+        atom = said(
+            "<entry><title>", title, "</title><link rel='enclosure' href='", image, "'/><link href='", target, "'/><id>", guid,
+            "</id><updated>2024-01-20T0", hour, ":30:00Z</updated><summary>", story, "</summary></entry>",
+        )
+        rdf = said(
+            "<item rdf:about='", guid, "'><title>", title, "</title><link>", target, "</link><dc:date>2024-01-20T0", hour,
+            ":30:00+02:00</dc:date><description><![CDATA[<p>Line ", number, "</p> of <b>feed</b>]]></description><media:content url='",
+            image, "'/></item>",
+        )
+        return F.when(form == 3, atom).when(form == 4, rdf).otherwise(rss)
+
+    items = F.array_join(F.transform(F.split("text", "\n", -1), entry), "")
+    payload = (
+        F.when(form == 1, said("<rss><channel><image><title>Logo</title></image><title>Feed & Co</title>", items, "</channel></rss>"))
+        .when(form == 2, said("<rss><channel><title>Feed</title>", F.regexp_replace(items, "</item>$", "<comments>cut o")))
+        .when(form == 3, said("<feed xmlns='http://www.w3.org/2005/Atom'><title>Feed</title>", items, "</feed>"))
+        .when(form == 4, said("<rdf:RDF><channel rdf:about='f'><title>Feed</title></channel>", items, "</rdf:RDF>"))
+        .otherwise(said("<rss version='2.0'><channel><title>Feed</title>", items, "</channel></rss>"))
     )
     return room.table("documents").select(
         F.col("doc_id").alias("feed_id"), F.col("source").alias("source_name"),
@@ -390,7 +413,8 @@ def feed_documents(room: Newsroom) -> DataFrame:
 
 
 _CLEAN_LINE = (
-    r"regexp_replace(regexp_replace(line, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'),"
+    r"regexp_replace(regexp_replace(line, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')"
+    r" || CASE WHEN doc_id % 5 = 1 THEN ' R&D' || chr(160) || 'café' ELSE '' END,"
     r" '^[\s\x{00a0}]+|[\s\x{00a0}]+$', '', 'g')"
 )
 
@@ -401,37 +425,62 @@ _CLEAN_LINE = (
         left(title, 500) AS title,
         'https://feed.' || source || '.example.com/' || lang || '/' || doc_id || '/' || ordinal
             || '?a=1&b=2' AS url,
-        TIMESTAMP '2024-01-20 00:30:00' + to_hours(ordinal % 10) AS published_at,
+        TIMESTAMP '2024-01-20 00:30:00' + to_hours(ordinal % 10)
+            + to_hours(CASE doc_id % 5 WHEN 1 THEN 5 WHEN 2 THEN -1 WHEN 4 THEN -2 ELSE 0 END) AS published_at,
         'Line ' || ordinal || ' of feed' AS description,
         'https://img.example.com/' || ordinal || '.png' AS image_url
-    FROM (
-        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n
-        FROM (SELECT *, {_CLEAN_LINE} AS title FROM ({_LINE_SQL}))
-        WHERE title <> '' AND ordinal % 7 <> 3)
-    WHERE n <= 500""",
+    FROM (SELECT *, {_CLEAN_LINE} AS title FROM ({_LINE_SQL}))
+    WHERE title <> '' AND ordinal % 7 <> 3""",
 )
 def feed_entries(room: Newsroom) -> DataFrame:
-    found = feeds.feed_entries(feed_documents(room), max_entries=settings.CANDIDATE_LIMIT)
-    return found.select(
+    """Entries of clean, damaged and cut-off feeds in three formats."""
+    return feeds.feed_entries(feed_documents(room)).select(
         "feed_id", "ordinal", "guid", "title", "url", "published_at", "description", "image_url"
     )
 
 
 @register(
     "feed_report",
-    rf"""SELECT doc_id AS feed_id, least(count(*) FILTER (ok), 10) AS entries,
-        count(*) FILTER (NOT ok) AS skipped, count(*) FILTER (ok) > 10 AS truncated,
+    rf"""SELECT doc_id AS feed_id, CASE doc_id % 5 WHEN 1 THEN 'Feed & Co' ELSE 'Feed' END AS feed_title,
+        CASE doc_id % 5 WHEN 1 THEN 'references' WHEN 2 THEN 'unclosed entries, damaged entries, open document' END AS parse_warning,
+        least(count(*) FILTER (ok), 10) AS entries, count(*) FILTER (NOT ok) AS skipped,
+        greatest(count(*) FILTER (ok) - 10, 0) AS cut, count(*) FILTER (ok) > 10 AS truncated,
         count(*) FILTER (ok) = 0 AS unusable
     FROM (SELECT doc_id, {_CLEAN_LINE} <> '' AND ordinal % 7 <> 3 AS ok FROM ({_LINE_SQL}))
     GROUP BY doc_id""",
 )
 def feed_report(room: Newsroom) -> DataFrame:
-    report = feeds.feed_report(feed_documents(room), max_entries=10)
-    return report.select("feed_id", "entries", "skipped", "truncated", "unusable")
+    """The same feeds under a policy of ten entries: what is kept, skipped, cut and damaged."""
+    return feeds.feed_report(feed_documents(room), max_entries=10).drop("source_name")
+
+
+@register(
+    "feed_dates",
+    """SELECT event_id, CASE event_id % 8 WHEN 2 THEN date_trunc('minute', CAST(ts AS TIMESTAMP))
+            WHEN 5 THEN date_trunc('day', CAST(ts AS TIMESTAMP)) WHEN 7 THEN NULL
+            ELSE date_trunc('second', CAST(ts AS TIMESTAMP)) END AS published_at
+        FROM events""",
+)
+def feed_dates(room: Newsroom) -> DataFrame:
+    """Event times written in the ways of feeds, and read back."""
+    ts, way = F.col("ts").cast("timestamp"), F.pmod("event_id", F.lit(8))
+    ways = {
+        0: ("EEE, dd MMM yyyy HH:mm:ss", " GMT", 0), 1: ("EEEE, d MMMM yyyy HH:mm:ss", " EST", -300),
+        2: ("d MMM yy HH:mm", " +0530", 330), 3: ("yyyy-MM-dd'T'HH:mm:ss", "Z", 0), 4: ("EEE MMM d HH:mm:ss yyyy", "", 0),
+        5: ("yyyy-MM-dd", "", 0), 6: ("dd-MMM-yyyy HH:mm:ss", " BST", 60),
+    }
+    written = F.lit("sometime")
+    for number, (pattern, zone, minutes) in ways.items():
+        local = F.timestamp_add("MINUTE", F.lit(minutes), ts)
+        written = F.when(way == number, F.concat(F.date_format(local, pattern), F.lit(zone))).otherwise(written)
+    return room.table("events").select("event_id", feed_time(written).alias("published_at"))
+
+
+_MAP_BASE = "regexp_replace(url, '[?#].*$', '')"
 
 
 def sitemap_documents(room: Newsroom) -> DataFrame:
-    """A sitemap per page: three article URLs below it, and three child maps."""
+    """A sitemap per page: three article URLs below it (every seventh map is cut off in the third), and twelve child maps."""
     base = F.regexp_replace("url", "[?#].*$", "")
 
     def entry(i: int):
@@ -442,69 +491,119 @@ def sitemap_documents(room: Newsroom) -> DataFrame:
         )
 
     tld = F.regexp_extract("url", r"^https?://[^/?#]*\.([a-z]+)", 1)
+    last = F.when(F.col("page_id") % 7 == 0, F.lit("<url><loc>https://cut")).otherwise(F.concat(entry(2), F.lit("</urlset>")))
     return room.table("pages").select(
-        tld.alias("source_name"), F.col("page_id").alias("map_ordinal"),
-        F.concat(
-            F.lit("<urlset>"), entry(0), entry(1), entry(2), F.lit("</urlset>")
-        ).alias("payload"),
+        tld.alias("source_name"), F.col("page_id").alias("map_ordinal"), base.alias("base"),
+        F.concat(F.lit("<urlset>"), entry(0), entry(1), last).alias("payload"),
         F.concat(
             F.lit("<sitemapindex>"),
-            *[
-                F.concat(F.lit("<sitemap><loc>"), base, F.lit(f"/{i}.xml</loc></sitemap>"))
-                for i in range(12)
-            ],
+            *[F.concat(F.lit("<sitemap><loc>"), base, F.lit(f"/{i}.xml</loc></sitemap>")) for i in range(12)],
             F.lit("</sitemapindex>"),
         ).alias("index_payload"),
     )
 
 
-@register(
-    "sitemap_entries",
-    rf"""WITH e AS (
-        SELECT page_id * 1000000 + i AS ordinal, {_TLD_SQL} AS tld,
-            regexp_replace(url, '[?#].*$', '') || '/a-story-' || i AS url,
-            TIMESTAMP '2024-01-20' - to_days(CAST(page_id % 20 * i AS INTEGER)) AS published_at
-        FROM pages, range(3) r(i)),
-    kept AS (SELECT * FROM (SELECT *, {_PATH_SQL} AS path FROM e)
-        WHERE {_PATTERN_SQL.replace("'/[0-9]+$'", "'/[0-9]+'")}
-        AND published_at >= {sql.NOW} - INTERVAL 30 DAYS
-        AND published_at <= {sql.NOW} + INTERVAL 1 DAY)
-    SELECT source_name, ordinal, url, title, published_at FROM (
-        SELECT tld AS source_name, ordinal, url, 'a story ' || right(url, 1) AS title, published_at,
-            row_number() OVER (PARTITION BY tld ORDER BY ordinal) AS n FROM kept)
-    WHERE n <= 500""",
-)
+def _map_rules(room: Newsroom) -> DataFrame:
+    return _rules(room).withColumn("include", F.replace("include", F.lit("+$"), F.lit("+")))
+
+
+_MAP_ENTRIES_SQL = rf"""SELECT * FROM (SELECT *, {_PATH_SQL} AS path FROM (
+        SELECT page_id, page_id * 1000000 + i AS ordinal, {_TLD_SQL} AS tld, {_MAP_BASE} || '/a-story-' || i AS url,
+            'a story ' || i AS title, TIMESTAMP '2024-01-20' - to_days(CAST(page_id % 20 * i AS INTEGER)) AS published_at
+        FROM pages, range(3) r(i) WHERE page_id % 7 <> 0 OR i < 2))
+    WHERE {_PATTERN_SQL.replace("'/[0-9]+$'", "'/[0-9]+'")}
+        AND published_at >= {sql.NOW} - INTERVAL 30 DAYS AND published_at <= {sql.NOW} + INTERVAL 1 DAY"""
+
+
+@register("sitemap_entries", f"SELECT tld AS source_name, ordinal, url, title, published_at FROM ({_MAP_ENTRIES_SQL})")
 def sitemap_entries(room: Newsroom) -> DataFrame:
-    rules = _rules(room).withColumn("include", F.replace("include", F.lit("+$"), F.lit("+")))
-    found = feeds.sitemap_entries(
-        sitemap_documents(room), rules, now=NOW, limit=settings.CANDIDATE_LIMIT
-    )
+    found = feeds.sitemap_entries(sitemap_documents(room), _map_rules(room), now=NOW)
     return found.select("source_name", "ordinal", "url", "title", "published_at")
 
 
 @register(
     "sitemap_children",
-    f"""SELECT {_TLD_SQL} AS source_name, regexp_replace(url, '[?#].*$', '') || '/' || i || '.xml' AS url
-        FROM pages, range(10) r(i)""",
+    f"SELECT {_TLD_SQL} AS source_name, {_MAP_BASE} || '/' || i || '.xml' AS url FROM pages, range(12) r(i)",
 )
 def sitemap_children(room: Newsroom) -> DataFrame:
     maps = sitemap_documents(room).withColumn("payload", F.col("index_payload"))
     return feeds.sitemap_children(maps).select("source_name", "url")
 
 
-@register("source_candidates")
+def map_forest(room: Newsroom) -> tuple[DataFrame, DataFrame]:
+    """Roots and documents: an index per source and twelve pages, which names half of their maps, itself and a second
+    index; that one names the other half, the first index, and a map that is not there."""
+    maps = sitemap_documents(room).withColumn("group", F.floor(F.col("map_ordinal") / 12))
+    maps = maps.withColumn("url", F.concat("base", F.lit("/map-"), F.col("map_ordinal").cast("string"), F.lit(".xml")))
+    place = F.concat(F.lit("https://index.example/"), "source_name", F.lit("/"), F.col("group").cast("string"))
+
+    def index(groups: DataFrame, odd: int, name: str, more: tuple[str, ...]) -> DataFrame:
+        named = F.transform(F.array_sort(F.collect_set(F.when(F.col("map_ordinal") % 2 == odd, F.col("url")))), lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>")))
+        others = [F.concat(F.lit("<sitemap><loc>"), place, F.lit(f"{m}</loc></sitemap>")) for m in more]
+        return groups.agg(F.concat(F.lit("<sitemapindex>"), *others, F.array_join(named, ""), F.lit("</sitemapindex>")).alias("payload")).select(
+            "source_name", F.concat(place, F.lit(name)).alias("url"), "payload"
+        )
+
+    groups = maps.groupBy("source_name", "group")
+    first = index(groups, 0, "", ("", "/b.xml"))
+    second = index(groups, 1, "/b.xml", ("", "/gone.xml"))
+    documents = maps.select("url", "payload").unionByName(first.select("url", "payload")).unionByName(second.select("url", "payload"))
+    return first.select("source_name", "url"), documents
+
+
+@register("sitemap_flow", f"SELECT tld AS source_name, url, title, published_at FROM ({_MAP_ENTRIES_SQL})")
+def sitemap_flow(room: Newsroom) -> DataFrame:
+    """Two levels of indexes with cycles, missing and cut-off maps: every reachable article URL once per map."""
+    roots, documents = map_forest(room)
+    entries, _ = feeds.sitemap_flow(roots, documents, _map_rules(room), now=NOW)
+    return entries.select("source_name", "url", "title", "published_at")
+
+
+@register(
+    "sitemap_report",
+    f"""WITH g AS (SELECT {_TLD_SQL} AS source_name, count(DISTINCT page_id // 12) AS n, count(*) AS pages,
+            sum(CASE WHEN page_id % 7 = 0 THEN 2 ELSE 3 END)::BIGINT AS urls FROM pages GROUP BY 1),
+        f AS (SELECT tld AS source_name, count(*) AS fitting FROM ({_MAP_ENTRIES_SQL}) GROUP BY 1)
+        SELECT source_name, pages + 3 * n AS maps, n AS missing, CAST(0 AS BIGINT) AS empty, CAST(0 AS BIGINT) AS cut_children,
+            urls, coalesce(fitting, 0) AS fitting, greatest(coalesce(fitting, 0) - 50, 0) AS cut
+        FROM g LEFT JOIN f USING (source_name)""",
+)
+def sitemap_report(room: Newsroom) -> DataFrame:
+    """The same maps under a policy of fifty candidates per source: maps read, missing ones, URLs, and what is cut."""
+    roots, documents = map_forest(room)
+    return feeds.sitemap_flow(roots, documents, _map_rules(room), now=NOW, limit=50)[1]
+
+
+@register(
+    "source_candidates",
+    rf"""SELECT source_name, count(*) AS candidates, count(title) AS titles FROM (
+        SELECT source AS source_name, title FROM (SELECT *, {_CLEAN_LINE} AS title FROM ({_LINE_SQL}))
+            WHERE title <> '' AND ordinal % 7 <> 3
+        UNION ALL SELECT tld, title FROM ({_MAP_ENTRIES_SQL})
+        UNION ALL SELECT tld, url FROM (SELECT DISTINCT page_id, tld, url, {_PATH_SQL} AS path FROM (
+            SELECT page_id, tld, regexp_extract(replace(CASE WHEN starts_with(link, '/') THEN base || link ELSE link END,
+                '&amp;', '&'), '^([^#]*)', 1) AS url, base FROM ({_LINKS_SQL})) WHERE starts_with(url, base))
+            WHERE {_PATTERN_SQL.replace("'/[0-9]+$'", "'/[0-9]+'")})
+    GROUP BY source_name""",
+)
 def source_candidates(room: Newsroom) -> DataFrame:
-    """Feed, sitemap and listing candidates in one shape, counted per source."""
-    rules = _rules(room)
-    feed = feeds.fresh_feed_candidates(
-        feed_documents(room), rules, now=NOW, limit=settings.CANDIDATE_LIMIT
+    """Feeds, sitemap indexes and listing pages, each read by its source's type, counted per source."""
+    feed = feed_documents(room).withColumn("url", F.concat(F.lit("https://feeds.example/"), F.col("feed_id").cast("string")))
+    roots, maps = map_forest(room)
+    pages = _listing_pages(room)
+    none = F.lit(None).cast("array<string>")
+    sources = (
+        feed.select("source_name", F.lit("rss").alias("source_type"), "url", "allowed_domains")
+        .unionByName(roots.select("source_name", F.lit("SITEMAP").alias("source_type"), "url", none.alias("allowed_domains")))
+        .unionByName(pages.select("source_name", F.lit("HTML").alias("source_type"), F.col("base_url").alias("url"), none.alias("allowed_domains")))
     )
-    site = feeds.sitemap_entries(
-        sitemap_documents(room), rules, now=NOW, limit=settings.CANDIDATE_LIMIT
+    documents = (
+        feed.select("url", "payload")
+        .unionByName(maps)
+        .unionByName(pages.select(F.col("base_url").alias("url"), F.col("html").alias("payload")))
     )
-    listing = feeds.listing_entries(_listing_pages(room), rules, limit=settings.CANDIDATE_LIMIT)
-    rows = feeds.union_candidates(feed, site, listing)
-    return rows.groupBy("source_name").agg(F.count("*").alias("candidates"))
+    rows = feeds.source_candidates(sources, documents, _map_rules(room), now=NOW)
+    return rows.groupBy("source_name").agg(F.count("*").alias("candidates"), F.count("title").alias("titles"))
 
 
 @register(

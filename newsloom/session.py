@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -64,15 +63,6 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders[application]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has few rows.
-
-    For small configuration frames whose size Spark cannot estimate. A larger
-    frame is returned as it is and joined by shuffling.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and forget its lineage."""
     context = df.sparkSession.sparkContext

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import schemas
+from newsloom.functions.dates import feed_time
 from newsloom.operators import articles, quality
 from newsloom.plans import catalog_import, ingest, serving
 from newsloom.sources import artifacts, catalog, events, feeds, tables
@@ -58,11 +59,94 @@ def test_rss(spark):
 
 
 def test_atom(spark):
-    row = feeds.feed_entries(feed_frame(spark, ATOM), max_entries=5, atom=True).first()
+    row = feeds.feed_entries(feed_frame(spark, ATOM), max_entries=5).first()
     assert (row["guid"], row["url"], row["description"]) == ("urn:1", "https://example.com/x", "S & s")
     assert row["published_at"] == datetime(2026, 8, 20, 9) and row["image_url"] == "https://i.example.com/p.png"
 
 
+def test_damaged_feeds_keep_their_entries(spark):
+    link = "<link>https://example.com/{}</link>"
+    payloads = [
+        "<rss><channel><item><title>One</title>" + link.format(1),
+        "<rss><channel><title>R&D &copy; news</title><item><title>A & B&nbsp;&eacute;</title>" + link.format("a?x=1&y=2")
+        + "</item><item><title>bad <b>mark-up</title>" + link.format(2) + "<guid foo=bar>g</guid></item>"
+        + "<item><title>No end</title>" + link.format(3) + "<item><title>1 < 2 &#0;&unknown;</title>" + link.format(4) + "</item></channel></rss>",
+        "<rdf:RDF><channel><title>Old</title></channel><item rdf:about='id-1'><title>R</title>" + link.format(5)
+        + "<dc:date>2026-08-20T09:00+02:00</dc:date></item></rdf:RDF>",
+        "<rss><channel><item><title><![CDATA[<item> & more]]></title><guid>https://example.com/6</guid>"
+        "<description><![CDATA[<style>p {}</style><p>Text</p><script>x()</script>]]></description></item></channel></rss>",
+        "not a feed", "", None,
+    ]
+    feed = feed_frame(spark, *payloads)
+    rows = [(r.feed_id, r.title, r.url) for r in feeds.feed_entries(feed).orderBy("feed_id", "ordinal").collect()]
+    at = "https://example.com/"
+    assert rows == [
+        (0, "One", at + "1"), (1, "A & B\u00a0é", at + "a?x=1&y=2"), (1, "bad <b>mark-up", at + "2"), (1, "No end", at + "3"),
+        (1, "1 < 2 &unknown;", at + "4"), (2, "R", at + "5"), (3, "<item> & more", at + "6"),
+    ]
+    found = {r.feed_id: r for r in feeds.feed_entries(feed).filter("ordinal = 0").collect()}
+    assert (found[2].guid, found[2].published_at, found[3].description) == ("id-1", datetime(2026, 8, 20, 7), "Text")
+    report = {r.feed_id: r for r in feeds.feed_report(feed, max_entries=3).collect()}
+    assert [report[i].parse_warning for i in range(7)] == [
+        "unclosed entries, open document", "references, unclosed entries, damaged entries", None, None,
+        *["open document, no entries"] * 3,
+    ]
+    assert [report[i].feed_title for i in (0, 1, 2)] == [None, "R&D © news", "Old"]
+    assert (report[1].entries, report[1].cut, report[1].truncated, report[5].unusable) == (3, 1, True, True)
+    with pytest.raises(ValueError):
+        feeds.feed_entries(feed, max_entries=0)
+
+
+@pytest.mark.parametrize(
+    "written, instant",
+    [
+        ("Thu, 20 Aug 2026 07:00:00 GMT", (2026, 8, 20, 7)), ("Thursday, 20 August 2026 07:00:00 EST", (2026, 8, 20, 12)),
+        ("20 Aug 26 07:00 EDT", (2026, 8, 20, 11)), ("20 Aug 95 07:00 BST", (1995, 8, 20, 6)), ("2026-08", (2026, 8, 1)),
+        ("2026-08-20T07:00Z", (2026, 8, 20, 7)), ("2026-08-20T07:00:01.5+02:00", (2026, 8, 20, 5, 0, 1, 500_000)),
+        ("Sat Jan 20 02:30:00 EST 2024", (2024, 1, 20, 7, 30)), ("Thu, 20 Aug 2026 07:00:00 +0530 (IST)", (2026, 8, 20, 1, 30)),
+        ("20-Aug-2026 07:00:00 GMT-2", (2026, 8, 20, 9)), ("31 Feb 2024 00:00:00 GMT", None), ("1 Xyz 2026", None), ("", None), (None, None),
+    ],
+)
+def test_feed_dates(spark, written, instant):
+    row = spark.createDataFrame([(written,)], "v string").select(feed_time(F.col("v")).alias("t")).first()
+    assert row.t == (datetime(*instant) if instant else None)
+
+
+def test_sitemap_flow(spark):
+    def index(*urls):
+        return "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in urls) + "</sitemapindex>"
+
+    pages = [("r", index("a", "b", "r", "gone", "bad")), ("a", "<urlset><url><loc>https://x.org/1</loc></url>"),
+             ("b", index("a", "c")), ("c", "<urlset><url><loc>https://x.org/2</loc><lastmod>2020-01-01</lastmod></url>"
+                                          "<url><loc>https://x.org/3</loc><lastmod>never</lastmod></url></urlset>"), ("bad", "oops")]
+    documents = spark.createDataFrame(pages, "url string, payload string")
+    roots = spark.createDataFrame([("S", "r"), ("S", "r"), ("E", "none")], "source_name string, url string")
+    rules = spark.createDataFrame([], "source_name string, include string, exclude string")
+    entries, report = feeds.sitemap_flow(roots, documents, rules, now=NOW)
+    assert [(r.source_name, r.url) for r in entries.orderBy("path").collect()] == [("S", "https://x.org/1"), ("S", "https://x.org/3")]
+    counts = {r.source_name: tuple(r)[1:] for r in report.collect()}
+    assert counts == {"S": (6, 1, 1, 0, 3, 2, 0), "E": (1, 1, 0, 0, 0, 0, 0)}
+    entries, report = feeds.sitemap_flow(roots, documents, rules, now=NOW, children=1, limit=1)
+    assert [r.url for r in entries.collect()] == ["https://x.org/1"]
+    assert {r.source_name: (r.maps, r.cut_children, r.cut) for r in report.collect()}["S"] == (2, 4, 0)
+    empty, report = feeds.sitemap_flow(roots.limit(0), documents, rules, now=NOW)
+    assert (empty.count(), report.count()) == (0, 0)
+
+
+def test_sources_are_read_by_their_type(spark):
+    sources = spark.createDataFrame(
+        [("F", " rss", "f", ["example.com"]), ("M", "SITEMAP", "m", None), ("H", "HTML", "https://x.org/", None), ("N", None, "gone", None)],
+        "source_name string, source_type string, url string, allowed_domains array<string>")
+    documents = spark.createDataFrame(
+        [("f", RSS), ("m", "<urlset><url><loc>https://x.org/1</loc></url></urlset>"), ("https://x.org/", "<a href='/q'>q</a>")],
+        "url string, payload string")
+    rules = spark.createDataFrame([], "source_name string, include string, exclude string")
+    rows = feeds.source_candidates(sources, documents, rules, now=NOW).orderBy("source_name", "ordinal").collect()
+    assert [(r.source_name, r.url) for r in rows] == [
+        ("F", "https://news.example.com/a"), ("F", "https://example.com/c"), ("F", "https://example.com/e"),
+        ("H", "https://x.org/q"), ("M", "https://x.org/1")]
+
+
 def test_sitemap_and_patterns(spark):
     payload = ("<urlset><url><loc>https://x.org/news/one-two</loc><lastmod>2026-08-19T00:00:00+00:00</lastmod></url>"
                "<url><loc>https://x.org/news/old</loc><lastmod>2020-01-01</lastmod></url>"
