@@ -1,10 +1,11 @@
 """Records of XML documents that may be damaged, cut out before anything is parsed.
 
-A document is split where a record's tag opens. Each piece is mended and parsed
-for itself, so an error costs the fields it touches and nothing else: bare
-ampersands, HTML entities and forbidden characters are mended in place, and what
-still doesn't parse is rebuilt from its complete fields. All of it is column
-expressions; a document stays one row.
+A document is split where a record's tag opens, and each piece is mended and
+closed: bare ampersands, HTML entities and forbidden characters are mended in
+place. If the mended pieces don't parse together, each is parsed for itself, and
+one that still fails is rebuilt from its complete fields, so an error costs the
+fields it touches and nothing else. All of it is column expressions; a document
+stays one row.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.binding import let
 
 #: The field that holds a piece's text when it can't be parsed.
 DAMAGED = "_damaged"
+#: The tag that every piece gets.
+_PIECE = "piece__"
 _XML_NAMES = ("amp", "lt", "gt", "quot", "apos")
 
 
@@ -62,7 +66,8 @@ def mended(xml: Column) -> Column:
         return let(F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});", 1), known)
 
     resolved = F.array_join(F.transform(F.split(xml, "&", -1), reference), "")
-    bare = F.regexp_replace(F.when(F.contains(xml, F.lit("&")), resolved).otherwise(xml), r"<(?![A-Za-z_/!?])", "&lt;")
+    odd = xml.rlike(rf"&(?!(?:{'|'.join(_XML_NAMES)});)")  # most texts have none
+    bare = F.regexp_replace(F.when(odd, resolved).otherwise(xml), r"<(?![A-Za-z_/!?])", "&lt;")
     return F.regexp_replace(bare, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]", "")
 
 
@@ -91,55 +96,79 @@ def records(payload: Column, names: tuple[str, ...], roots: tuple[str, ...], sch
     ``damaged``.
     """
     tags, parents = "|".join(names), "|".join(roots)
-    parsed_by = f"{schema}, {DAMAGED} STRING"
-    parse = lambda xml: F.from_xml(xml, parsed_by, {"columnNameOfCorruptRecord": DAMAGED})
+    fields_of = T.StructType.fromDDL(f"{schema}, {DAMAGED} STRING")
+    whole_of = T.StructType().add(_PIECE, T.ArrayType(fields_of)).add(DAMAGED, T.StringType())
+    said = {"columnNameOfCorruptRecord": DAMAGED}
 
-    def record(piece: Column) -> Column:
+    def mend(piece: Column) -> Column:
+        """A piece under one tag name, closed and mended, with what was wrong with it."""
         name = F.regexp_extract(piece, r"^<([\w:.-]+)", 1)
-        cut = F.split(piece, rf"(?i)</(?:{tags})\s*>", 2)
+        empty = piece.rlike(r"^<[^<>]*/>")
 
         def read(cut: Column) -> Column:
-            empty = piece.rlike(r"^<[^<>]*/>")
             body = F.regexp_replace(F.regexp_replace(cut[0], rf"(?is)</(?:{parents})\s*>.*$", ""), r"<[^<>]*$", "")
 
-            def value(xml: Column) -> Column:
-                whole = F.concat(xml, F.when(empty, "").otherwise(F.concat(F.lit("</"), name, F.lit(">"))))
-
-                def settled(first: Column) -> Column:
-                    damaged = first.isNull() | first[DAMAGED].isNotNull()
+            def value(body: Column) -> Column:
+                def said_of(xml: Column) -> Column:
+                    renamed = F.concat(F.lit(f"<{_PIECE}"), F.substring(xml, F.length(name) + 2, F.length(xml)))
                     return F.struct(
                         name.alias("name"),
-                        F.when(damaged, parse(rebuilt(xml, name, fields))).otherwise(first).alias("value"),
+                        F.when(empty, F.lit(f"<{_PIECE}/>")).otherwise(F.concat(renamed, F.lit(f"</{_PIECE}>"))).alias("xml"),
                         (xml != body).alias("mended"),
                         ((F.size(cut) < 2) & ~empty).alias("unclosed"),
-                        damaged.alias("damaged"),
                         F.coalesce(F.get(cut, F.lit(1)), F.lit("")).alias("tail"),
                     )
 
-                return let(parse(whole), settled)
+                return let(mended(body), said_of)
+
+            return let(body, value)
+
+        return let(F.split(piece, rf"(?i)</(?:{tags})\s*>", 2), read)
+
+    def settled(piece: Column) -> Column:
+        """The value of one piece parsed for itself, and whether it is damaged."""
+
+        def chosen(first: Column) -> Column:
+            damaged = first.isNull() | first[DAMAGED].isNotNull()
+            again = F.from_xml(rebuilt(piece["xml"], F.lit(_PIECE), fields), fields_of, said)
+            return F.struct(F.when(damaged, again).otherwise(first).alias("value"), damaged.alias("damaged"))
 
-            return let(mended(body), value)
+        return let(F.from_xml(piece["xml"], fields_of, said), chosen)
 
-        return let(cut, read)
+    def parsed(pieces: Column) -> Column:
+        """All values: from one document if it parses whole, else piece by piece."""
+        joined = F.concat(F.lit("<all>"), F.array_join(F.transform(pieces, lambda p: p["xml"]), ""), F.lit("</all>"))
+
+        def chosen(whole: Column) -> Column:
+            fine = whole[DAMAGED].isNull() & (F.size(whole[_PIECE]) == F.size(pieces))
+            together = F.transform(whole[_PIECE], lambda v: F.struct(v.alias("value"), F.lit(False).alias("damaged")))
+            return F.when(F.coalesce(fine, F.lit(False)), together).otherwise(F.transform(pieces, settled))
+
+        return let(F.from_xml(joined, whole_of, said), chosen)
 
     def laid_out(text: Column) -> Column:
-        pieces = F.split(text, rf"(?i)(?=<(?:{tags})[\s/>])", -1)
-        first = F.startswith(F.lower(text), F.lit("<")) & text.rlike(rf"^(?i)<(?:{tags})[\s/>]")
+        first = text.rlike(rf"^(?i)<(?:{tags})[\s/>]")
 
-        def split(pieces: Column) -> Column:
+        def split(parts: Column) -> Column:
             skip = F.when(first, 0).otherwise(1)
-            found = F.transform(F.slice(pieces, skip + 1, F.greatest(F.size(pieces) - skip, F.lit(0))), record)
+            pieces = F.transform(F.slice(parts, skip + 1, F.greatest(F.size(parts) - skip, F.lit(0))), mend)
+
+            def joined(pieces: Column) -> Column:
+                def record(values: Column) -> Column:
+                    def one(p: Column, i: Column) -> Column:
+                        return F.struct(p["name"], values[i]["value"].alias("value"), p["mended"], p["unclosed"], values[i]["damaged"].alias("damaged"))
+
+                    return F.transform(pieces, one)
 
-            def joined(found: Column) -> Column:
-                head = F.concat(F.when(first, "").otherwise(pieces[0]), F.array_join(F.transform(found, lambda r: r["tail"]), ""))
+                head = F.concat(F.when(first, "").otherwise(parts[0]), F.array_join(F.transform(pieces, lambda p: p["tail"]), ""))
                 return F.struct(
                     head.alias("head"),
                     (~text.rlike(rf"(?is)</(?:{parents})\s*>\s*$")).alias("open"),
-                    F.transform(found, lambda r: r.dropFields("tail")).alias("records"),
+                    let(parsed(pieces), record).alias("records"),
                 )
 
-            return let(found, joined)
+            return let(pieces, joined)
 
-        return let(pieces, split)
+        return let(F.split(text, rf"(?i)(?=<(?:{tags})[\s/>])", -1), split)
 
     return let(without_cdata(F.coalesce(payload, F.lit(""))), laid_out)
