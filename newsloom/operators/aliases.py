@@ -8,11 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom import settings
-from newsloom.functions.text import WORD
-from newsloom.operators import matching
+from newsloom.operators import matching, phrases
 from newsloom.operators.mentions import keyed_schema
-from newsloom.session import spread
 
 
 def rewrite_aliases(
@@ -21,69 +18,26 @@ def rewrite_aliases(
     *,
     text_column: str = "content",
     output: str = "filtered_content",
-    max_broadcast: int = settings.MAX_BROADCAST_ALIASES,
 ) -> DataFrame:
-    """(``id``, ``output``) of articles with a text column: longest alias first, whole words.
+    """(``id``, ``output``) of articles with a text column: leftmost, then longest alias first, whole words.
 
-    Up to ``max_broadcast`` rules are shipped to the workers and texts never
-    move. A larger catalog is not shipped: each article gets just the rules whose
-    first token it contains, found by an equi-join, and the result is the same.
+    The rules may be of any number: each text meets just those that it holds (see
+    :mod:`newsloom.operators.phrases`). Ids must be unique; of rules that differ in
+    case only, the smallest name holds.
     """
-    bounded = rules.select("alias", "canonical_name").limit(max_broadcast + 1).collect()
-    if len(bounded) <= max_broadcast:
-        return _rewrite_with_all(articles, bounded, text_column, output)
-    return _rewrite_with_candidates(articles, rules, text_column, output)
-
-
-def _rewrite_with_all(articles: DataFrame, rules: list, column: str, output: str) -> DataFrame:
-    shared = articles.sparkSession.sparkContext.broadcast(
-        [(r["alias"], r["canonical_name"]) for r in rules]
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = matching.PhraseIndex(alias for alias, _ in shared.value)
-        names = [name for _, name in shared.value]
-        for batch in batches:
-            rewritten = [
-                None if value is None else matching.rewrite(value, index, names)
-                for value in batch[column]
-            ]
-            yield pd.DataFrame({"id": batch["id"], output: rewritten})
-
-    texts = spread(articles.select("id", column))
-    return texts.mapInPandas(run, keyed_schema(articles, f"{output} STRING"))
-
-
-def _tokens(column: str):
-    folded = F.lower(F.col(column))
-    return F.regexp_extract_all(folded, F.lit(rf"({WORD}+|[^\s\p{{L}}\p{{N}}_])"), F.lit(1))
-
-
-def _rewrite_with_candidates(
-    articles: DataFrame, rules: DataFrame, column: str, output: str
-) -> DataFrame:
-    heads = rules.select(
-        F.try_element_at(_tokens("alias"), F.lit(1)).alias("token"), "alias", "canonical_name"
-    )
-    tokens = articles.select("id", F.explode(F.array_distinct(_tokens(column))).alias("token"))
-    # Bounded by the article's own distinct tokens and their rules.
-    found = (
-        tokens.join(heads, "token")
-        .groupBy("id")
-        .agg(F.collect_list(F.struct("alias", "canonical_name")).alias("_rules"))
-    )
-    joined = articles.select("id", column).join(found, "id", "left")
+    known = phrases.dictionary(rules.select("alias", "canonical_name"))
+    known = known.groupBy("folded", "first", "tokens").agg(F.min("canonical_name").alias("canonical_name"))
+    found = phrases.find(articles, known, text_column=text_column)
+    joined = phrases.with_found(articles, found, ["canonical_name"], text_column)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rewritten = []
-            for value, found_rules in zip(batch[column], batch["_rules"], strict=True):
-                if value is None or found_rules is None or not len(found_rules):
-                    rewritten.append(value)
-                    continue
-                index = matching.PhraseIndex(r["alias"] for r in found_rules)
-                names = [r["canonical_name"] for r in found_rules]
-                rewritten.append(matching.rewrite(value, index, names))
+            for value, places in zip(batch[text_column], batch["found"], strict=True):
+                if value is not None and places is not None:
+                    chosen = [(p["start"], p["start"] - p["less"], p["canonical_name"]) for p in phrases.apart(places)]
+                    value = matching.replaced(value, chosen)
+                rewritten.append(value)
             yield pd.DataFrame({"id": batch["id"], output: rewritten})
 
     return joined.mapInPandas(run, keyed_schema(articles, f"{output} STRING"))

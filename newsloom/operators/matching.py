@@ -10,7 +10,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def fold(text: str) -> str:
@@ -22,7 +22,7 @@ def fold(text: str) -> str:
 
 
 def first_token(phrase: str) -> str:
-    match = _TOKEN.search(fold(phrase))
+    match = TOKEN.search(fold(phrase))
     return match.group() if match else ""
 
 
@@ -41,25 +41,35 @@ class PhraseIndex:
         """(start, end, phrase number), by start, longest first."""
         folded = fold(text)
         length = len(folded)
-        for token in _TOKEN.finditer(folded):
+        for token in TOKEN.finditer(folded):
             candidates = self.by_token.get(token.group())
             if candidates is None:
                 continue
             start = token.start()
-            if start and _is_word(folded[start - 1]):
+            if start and is_word(folded[start - 1]):
                 continue
             for phrase, number in candidates:
                 end = start + len(phrase)
                 if folded.startswith(phrase, start) and not (
-                    end < length and _is_word(folded[end])
+                    end < length and is_word(folded[end])
                 ):
                     yield start, end, number
 
 
-def _is_word(char: str) -> bool:
+def is_word(char: str) -> bool:
     return char == "_" or char.isalnum()
 
 
+def replaced(text: str, places: Iterable[tuple[int, int, str]]) -> str:
+    """``text`` with each (start, end) replaced by its word; places are in order and apart."""
+    pieces: list[str] = []
+    done = 0
+    for start, end, word in places:
+        pieces += (text[done:start], word)
+        done = end
+    return "".join([*pieces, text[done:]])
+
+
 def rewrite(text: str, index: PhraseIndex, replacements: list[str]) -> str:
     """Replace leftmost-longest occurrences in one pass; no cascading."""
     pieces: list[str] = []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from newsloom import settings
 from newsloom.functions import identity, text
 from newsloom.operators import catalog as catalogs
-from newsloom.operators import matching
+from newsloom.operators import matching, phrases
 from newsloom.session import spread
 
 # One text in, spans out: (text, label, score, start, end).
@@ -120,6 +120,38 @@ def catalog_extractor(rules: list[tuple[str, str]]) -> EntityExtractor:
     return extract
 
 
+def catalog_spans(articles: DataFrame, rules: DataFrame, *, text_column: str = "filtered_content") -> DataFrame:
+    """The spans of a catalog of any size: rows as :func:`extract_spans` gives them, score 1.
+
+    ``rules``: alias and label. Spans of one alias don't overlap each other; those of
+    different aliases, such as a name inside a longer one, all count.
+    """
+    known = phrases.dictionary(rules.select("alias", "label").distinct())
+    found = phrases.find(articles, known, text_column=text_column).select("id", "folded", "starts", "label").distinct()
+    joined = phrases.with_found(articles, found, ["folded", "label"], text_column).filter(F.col("found").isNotNull())
+    schema = keyed_schema(articles, SPANS + ", name_key STRING, slug STRING")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup_forms = lru_cache(maxsize=100_000)(text.lookup_forms)
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(8)]
+            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for key, value, places in rows:
+                for p in phrases.apart(places, lambda p: (p["folded"], p["label"])):
+                    end = p["start"] - p["less"]
+                    piece = value[p["start"] : end]
+                    row = (key, p["label"], piece, 1.0, p["start"], end, *lookup_forms(piece))
+                    for column, cell in zip(columns, row, strict=True):
+                        column.append(cell)
+            out = pa.schema(
+                [("id", batch.schema.field(0).type), ("label", pa.string()), ("text", pa.string()), ("score", pa.float64()),
+                 ("start", pa.int32()), ("end", pa.int32()), ("name_key", pa.string()), ("slug", pa.string())]
+            )
+            yield _column_batch(out, columns)
+
+    return joined.mapInArrow(run, schema)
+
+
 def literal_extractor(rules: list[tuple[str, str, float]]) -> EntityExtractor:
     """Extractor of (text, label, score) rules: exact case, inside words too."""
 

@@ -11,19 +11,10 @@ from newsloom.operators import aliases, articles, catalog, mentions
 MODEL_NAME, MODEL_VERSION = "catalog-alias", "catalog-v1"
 
 
-def catalog_rules(entities: DataFrame, limit: int = settings.MAX_BROADCAST_ALIASES) -> list[tuple[str, str]]:
-    """(alias, label) rules for the default extractor, size-checked."""
-    rows = (
-        catalog.alias_rows(entities)
-        .filter(F.col("entity_type").isin(*settings.ENTITY_TYPES))
-        .select("alias", "entity_type")
-        .distinct()
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(rows) > limit:
-        raise ValueError("catalog is too large for an in-memory extractor; pass your own")
-    return sorted((r["alias"], r["entity_type"]) for r in rows)
+def catalog_rules(entities: DataFrame) -> DataFrame:
+    """(alias, label) rules of the default extraction."""
+    named = catalog.alias_rows(entities).filter(F.col("entity_type").isin(*settings.ENTITY_TYPES))
+    return named.select("alias", F.col("entity_type").alias("label")).distinct()
 
 
 def filtered_contents(contents: DataFrame, entities: DataFrame) -> DataFrame:
@@ -38,11 +29,14 @@ def extract_mentions(
 ) -> DataFrame:
     """Resolved mention rows (id, span, canonical id and name) above the threshold.
 
-    Offsets refer to the rewritten text.
+    Offsets refer to the rewritten text. Without an extractor the catalog's own
+    names and aliases are found, however many there are.
     """
     known = catalog.active(entities)
-    extractor = extractor or mentions.catalog_extractor(catalog_rules(known))
-    spans = mentions.extract_spans(filtered, extractor)
+    if extractor is None:
+        spans = mentions.catalog_spans(filtered, catalog_rules(known))
+    else:
+        spans = mentions.extract_spans(filtered, extractor)
     return mentions.resolve(mentions.persistable(spans), known)
 
 

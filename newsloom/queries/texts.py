@@ -81,9 +81,9 @@ def alias_rewrite(room: Newsroom) -> DataFrame:
         FROM ({_REWRITTEN_TOKENS}) GROUP BY id"""),
 )
 def alias_rewrite_large_catalog(room: Newsroom) -> DataFrame:
-    """The same result by the route for catalogs too large to broadcast."""
+    """The same rewriting; the route doesn't depend on the size of the catalog."""
     rules = catalog.rewrite_rules(catalog.active(room.catalog))
-    done = aliases.rewrite_aliases(room.contents, rules, max_broadcast=0)
+    done = aliases.rewrite_aliases(room.contents, rules)
     return done.select("id", F.sha2("filtered_content", 256).alias("filtered_hash"))
 
 
@@ -96,14 +96,47 @@ def alias_rewrite_large_catalog(room: Newsroom) -> DataFrame:
         JOIN ({_LABELLED}) l ON l.word = lower(t.token)"""),
 )
 def catalog_spans(room: Newsroom) -> DataFrame:
-    extractor = mentions.catalog_extractor(entity_plan.catalog_rules(catalog.active(room.catalog)))
-    spans = mentions.extract_spans(room.contents, extractor, text_column="content")
+    rules = entity_plan.catalog_rules(catalog.active(room.catalog))
+    spans = mentions.catalog_spans(room.contents, rules, text_column="content")
     return spans.select(
         "id", "label", "text", "score", F.col("start").cast("bigint").alias("start"),
         F.col("end").cast("bigint").alias("stop"),
     )
 
 
+# Phrases of two and four words at the start of every benchmark item, the shorter inside the longer.
+_PHRASES = r"""
+    SELECT DISTINCT lower(array_to_string(tokens[1 : n], '')) AS phrase, n, 'W' || n AS label FROM (
+        SELECT regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS tokens FROM benchmark), (VALUES (3), (7)) v(n)
+    WHERE len(tokens) >= n"""
+
+
+@register(
+    "phrase_spans",
+    rf"""WITH t AS ({_offsets(_TOKENS.format(text="text", source="(SELECT doc_id AS id, text FROM documents)"))}),
+        g AS (SELECT id, start, token || lead(token, 1) OVER w || lead(token, 2) OVER w AS three,
+            token || lead(token, 1) OVER w || lead(token, 2) OVER w || lead(token, 3) OVER w || lead(token, 4) OVER w
+                || lead(token, 5) OVER w || lead(token, 6) OVER w AS seven
+            FROM t WINDOW w AS (PARTITION BY id ORDER BY position))
+        SELECT id AS doc_id, label, text, CAST(start AS BIGINT) AS start FROM (
+            SELECT id, 'W3' AS label, three AS text, start FROM g UNION ALL SELECT id, 'W7', seven, start FROM g) s
+        JOIN ({_PHRASES}) f USING (label) WHERE f.phrase = lower(s.text)""",
+)
+def phrase_spans(room: Newsroom) -> DataFrame:
+    """Phrases of several words, one inside the other, found in whole documents."""
+    cut = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+    tokens = room.table("benchmark").select(F.regexp_extract_all("text", F.lit(cut), F.lit(0)).alias("t"))
+    rules = None
+    for n in (3, 7):
+        some = tokens.filter(F.size("t") >= n).select(
+            F.array_join(F.slice("t", 1, n), "").alias("alias"), F.lit(f"W{n}").alias("label")
+        )
+        rules = some if rules is None else rules.unionByName(some)
+    documents = room.table("documents").select(F.col("doc_id").alias("id"), "text")
+    spans = mentions.catalog_spans(documents, rules, text_column="text")
+    return spans.select(F.col("id").alias("doc_id"), "label", "text", F.col("start").cast("bigint").alias("start"))
+
+
 _LOOKUP = f"""
     SELECT entity_type AS label, {sql.name_key('alias')} AS name_key,
         row(canonical_key, ordinal) AS seq, id, canonical_name FROM ({_NAMES})"""

@@ -40,8 +40,3 @@ CRAWLED_TOPIC = "news.crawled.v1"
 CRAWLED_EVENT = "news.crawled"
 CRAWLED_PRODUCER = "crawler-service"
 CRAWLED_AGGREGATE = "news_article"
-
-# Broadcast rule: a catalog goes to Python workers whole only below this many
-# aliases (about 100 bytes each, so a few dozen MB); above it the matching
-# runs on per-article candidates found by a shuffled join.
-MAX_BROADCAST_ALIASES = 200_000

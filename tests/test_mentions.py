@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import settings
-from newsloom.operators import aliases, catalog, matching, mentions
+from newsloom.operators import aliases, catalog, matching, mentions, phrases
 from newsloom.plans import entities as plan
 
 CITY = "11111111-1111-4111-8111-111111111111"
@@ -41,9 +41,8 @@ def test_rewrite_is_longest_first_in_one_pass(spark, clubs):
         " Manchester United FC celebrated; Relic did not.",
         "b": None, "c": "",
     }
-    for bound in (1000, 0):
-        done = aliases.rewrite_aliases(articles, rules, max_broadcast=bound)
-        assert {r["id"]: r["filtered_content"] for r in done.collect()} == expected
+    done = aliases.rewrite_aliases(articles, rules)
+    assert {r["id"]: r["filtered_content"] for r in done.collect()} == expected
 
 
 def plain_rewrite(value, rules):
@@ -57,22 +56,48 @@ def test_matching_equals_the_regular_expressions():
     generator = random.Random(7)
     words = ["ab", "b", "a", "é", "a-b", "'x", "b.", "ab c"]
     for _ in range(400):
-        phrases = list({" ".join(generator.choices(words, k=generator.randint(1, 3))) for _ in range(6)})
-        phrases = list({matching.fold(p): p for p in phrases}.values())
+        known = list({" ".join(generator.choices(words, k=generator.randint(1, 3))) for _ in range(6)})
+        known = list({matching.fold(p): p for p in known}.values())
         value = generator.choice(["", " "]).join(
             generator.choice([w, w.upper(), w + " ", "_", ", "]) for w in generator.choices(words, k=25)
         )
-        rules = {p: f"<{i}>" for i, p in enumerate(phrases)}
-        index = matching.PhraseIndex(phrases)
+        rules = {p: f"<{i}>" for i, p in enumerate(known)}
+        index = matching.PhraseIndex(known)
         assert matching.rewrite(value, index, list(rules.values())) == plain_rewrite(value, rules)
         expected = sorted(
             (m.start(), m.end(), i)
-            for i, p in enumerate(phrases)
+            for i, p in enumerate(known)
             for m in re.finditer(rf"(?<!\w){re.escape(p)}(?!\w)", value, re.IGNORECASE)
         )
         assert sorted(matching.spans(value, index)) == expected
 
 
+def test_phrase_dictionary_equals_the_regular_expressions(spark, monkeypatch):
+    generator = random.Random(8)
+    words = ["ab", "b", "a", "é", "a-b", "'x", "b.", "ab c", "İ"]
+    known = list({matching.fold(" ".join(generator.choices(words, k=generator.randint(1, 3)))) for _ in range(12)})
+    values = [
+        generator.choice(["", " "]).join(
+            generator.choice([w, w.upper(), w + " ", "_", ", "]) for w in generator.choices(words, k=25)
+        )
+        for _ in range(60)
+    ]
+    articles = spark.createDataFrame([*enumerate(values), (100, None), (101, "")], "id int, content string")
+    rules = spark.createDataFrame([(p, f"<{i}>") for i, p in enumerate(known)] + [(" ", "none"), (None, "none")], "alias string, canonical_name string")
+    index = matching.PhraseIndex(known)
+    spans = [(i, p, *s[:2]) for i, v in enumerate(values) for s in matching.spans(v, index) for p in [known[s[2]]]]
+    for bits in (1 << 24, 1):  # a filter that lets all runs pass changes nothing
+        monkeypatch.setattr(phrases, "FILTER_BITS", bits)
+        done = {r.id: r.filtered_content for r in aliases.rewrite_aliases(articles, rules).collect()}
+        names = [f"<{i}>" for i in range(len(known))]
+        assert done == {i: matching.rewrite(v, index, names) for i, v in enumerate(values)} | {100: None, 101: ""}
+        found = mentions.catalog_spans(articles, rules.select("alias", F.lit("CLUB").alias("label")), text_column="content")
+        assert sorted((r.id, matching.fold(r.text), r.start, r.end) for r in found.collect()) == sorted(spans)
+    none = rules.limit(0)
+    assert {r.id: r.filtered_content for r in aliases.rewrite_aliases(articles, none).collect()} == dict(enumerate(values)) | {100: None, 101: ""}
+    assert aliases.rewrite_aliases(articles.limit(0), rules).count() == 0
+
+
 def test_resolution(spark, clubs):
     spans = spark.createDataFrame(
         [("gunners", "club"), ("Gunners", "player"), (" Bukayo Saka ", "player"), ("relic", "club")],
