@@ -11,27 +11,47 @@ from newsloom.operators import ranking
 from newsloom.queries import sql
 from newsloom.queries.bindings import Newsroom
 from newsloom.queries.registry import register
-from newsloom.session import shared_folder
+from newsloom.session import cut_lineage, shared_folder
 from newsloom.sources import events
-from newsloom.streaming import pointers, windows
+from newsloom.streaming import bucket_log, pointers, windows
 
 
 def _place(room: Newsroom, name: str) -> str:
     return f"{shared_folder(room.spark)}/newsloom/streams/{name}-{uuid.uuid4().hex}"
 
 
-def _mention_stream(room: Newsroom) -> DataFrame:
-    """Dated mentions written in time order and read back as a stream."""
-    folder = _place(room, "mentions")
+#: Slices of the mention stream, by time, and files of each.
+SLICES, SLICE_FILES = 6, 4
+
+
+def _mention_rows(room: Newsroom) -> DataFrame:
     dated = room.mentions.filter(F.col("canonical_entity_id").isNotNull()).join(
         room.articles.select(F.col("id").alias("article_id"), "crawl_date"), "article_id"
     )
-    rows = dated.select(
+    return dated.select(
         "article_id", F.col("canonical_entity_id").alias("entity_id"), "canonical_name",
         F.upper("label").alias("entity_type"), "crawl_date",
     )
-    rows.write.parquet(folder)
-    return room.spark.readStream.schema(rows.schema).parquet(folder)
+
+
+def _mention_stream(room: Newsroom, late: bool = False) -> DataFrame:
+    """Dated mentions as a stream of slices in time order, one slice per micro-batch.
+
+    With ``late``, the rows of articles whose id begins with 0 come two slices later.
+    """
+    folder = _place(room, "mentions")
+    rows = cut_lineage(_mention_rows(room))
+    first, last = rows.agg(F.min("crawl_date"), F.max("crawl_date")).first()
+    step = (F.lit(last).cast("double") - F.lit(first).cast("double") + 1) / SLICES
+    slice_ = F.floor((F.col("crawl_date").cast("double") - F.lit(first).cast("double")) / step)
+    if late:
+        slice_ += F.when(F.startswith("article_id", F.lit("0")), 2).otherwise(0)
+    placed = rows.withColumn("_slice", slice_)
+    for number in range(SLICES + 2 * late):  # one after the other, so that the files' times order them
+        some = placed.filter(F.col("_slice") == number).drop("_slice")
+        some.repartition(SLICE_FILES).write.parquet(f"{folder}/slice-{number}")
+    stream = room.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", SLICE_FILES)
+    return stream.parquet(f"{folder}/slice-*")
 
 
 # Windows that end later than the last event less the lateness stay open.
@@ -60,10 +80,53 @@ def stream_tumbling_counts(room: Newsroom) -> DataFrame:
         FROM window_counts WHERE window_end <= {_CLOSED}"""),
 )
 def stream_sliding_counts(room: Newsroom) -> DataFrame:
+    """Bucket counts kept across micro-batches; eight of them make a closed window."""
     path = _place(room, "sliding")
-    counts = windows.sliding_counts(_mention_stream(room))
-    windows.write_counts(counts, path, f"{path}-checkpoint").awaitTermination()
-    return room.spark.read.parquet(path)
+    bucket_log.run(_mention_stream(room), path, f"{path}-checkpoint").awaitTermination()
+    return bucket_log.closed_windows(room.spark, path)
+
+
+# The delayed stream: each row's micro-batch, and the bucket border that had closed before that batch.
+_DELAYED = f"""
+    SELECT *, {sql.floor3("crawl_date")} AS start FROM (
+        SELECT article_id, entity_id, canonical_name, entity_type, crawl_date,
+            CAST(floor((epoch(crawl_date) - epoch(first)) / ((epoch(last) - epoch(first) + 1) / 6)) AS INTEGER)
+                + CASE WHEN starts_with(article_id, '0') THEN 2 ELSE 0 END AS batch
+        FROM (SELECT m.article_id, m.canonical_entity_id AS entity_id, m.canonical_name, upper(m.label) AS entity_type,
+                a.crawl_date, min(a.crawl_date) OVER () AS first, max(a.crawl_date) OVER () AS last
+            FROM mentions m JOIN articles a ON a.id = m.article_id WHERE m.canonical_entity_id IS NOT NULL))"""
+_BORDERS = f"""
+    SELECT b.batch, (SELECT {sql.floor3("max(crawl_date) - INTERVAL 10 MINUTES")} FROM delayed d WHERE d.batch < b.batch) AS closed
+    FROM (SELECT DISTINCT batch FROM delayed) b"""
+
+
+@register(
+    "stream_late_rows",
+    sql.query(f"""SELECT * FROM (WITH delayed AS MATERIALIZED ({_DELAYED}), borders AS MATERIALIZED ({_BORDERS})
+        SELECT article_id, entity_id, canonical_name, entity_type, crawl_date, batch
+        FROM delayed JOIN borders USING (batch) WHERE start < closed)"""),
+)
+def stream_late_rows(room: Newsroom) -> DataFrame:
+    """Rows of a stream with delays whose bucket had closed: kept aside, all of them and no others."""
+    path = _place(room, "late")
+    bucket_log.run(_mention_stream(room, late=True), path, f"{path}-checkpoint").awaitTermination()
+    return bucket_log.late_rows(room.spark, path)
+
+
+@register(
+    "stream_delayed_counts",
+    sql.query(f"""SELECT * FROM (WITH delayed AS MATERIALIZED ({_DELAYED}), borders AS MATERIALIZED ({_BORDERS})
+        SELECT start AS window_start, entity_id, canonical_name, entity_type, count(DISTINCT article_id) AS mention_count
+        FROM delayed JOIN borders USING (batch)
+        WHERE (closed IS NULL OR start >= closed)
+            AND start < (SELECT {sql.floor3("max(crawl_date) - INTERVAL 10 MINUTES")} FROM delayed)
+        GROUP BY ALL)"""),
+)
+def stream_delayed_counts(room: Newsroom) -> DataFrame:
+    """Closed 3-hour windows of the same stream: every row that wasn't late is counted once."""
+    path = _place(room, "delayed")
+    bucket_log.run(_mention_stream(room, late=True), path, f"{path}-checkpoint").awaitTermination()
+    return bucket_log.closed_buckets(room.spark, path)
 
 
 @register(
@@ -72,6 +135,7 @@ def stream_sliding_counts(room: Newsroom) -> DataFrame:
         FROM window_tops WHERE window_end <= {_CLOSED}"""),
 )
 def stream_window_tops(room: Newsroom) -> DataFrame:
+    """Built-in windows, ranked batch by batch as they close."""
     path = _place(room, "tops")
     counts = windows.sliding_counts(_mention_stream(room))
     windows.rank_windows(counts, path, f"{path}-checkpoint").awaitTermination()
