@@ -1,12 +1,16 @@
+import random
+import tempfile
 from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom import schemas
-from newsloom.operators import quality, upsert
+from newsloom.operators import popularity as counts
+from newsloom.operators import popularity_log, quality, upsert
 from newsloom.plans import publish, serving
 from newsloom.plans.publish import ReadModel
+from newsloom.sources import tables
 
 START = datetime(2026, 8, 20, 6, tzinfo=UTC)
 NOW = START + timedelta(hours=6)
@@ -172,3 +176,42 @@ def test_versions_and_batches(spark):
     assert [r["id"] for r in serving.due_sources(due, NOW).collect()] == [1, 2]
     with pytest.raises(ValueError):
         serving.due_sources(due, NOW, limit=500)
+
+
+def test_stored_popularity_equals_a_full_run(spark, collections):
+    catalog, _, _ = collections
+    catalog = catalog.unionByName(catalog.limit(1).withColumn("id", F.lit("e2")).withColumn("entity_type", F.lit(None).cast("string")))
+    rng = random.Random(11)
+    dates = {f"a{i}": NOW - timedelta(minutes=rng.randrange(-200, 3500)) for i in range(80)} | {"edge": NOW - timedelta(hours=24), "end": NOW}
+    articles = spark.createDataFrame([*dates.items(), ("undated", None)], "id string, crawl_date timestamp")
+    rows = mentions(spark, [
+        (a, rng.choice(["club", "PLAYER", "league", None]), f"e{rng.randrange(5)}", rng.choice(["Arsenal", "Other", "x"]))
+        for a in [*dates, "undated"] for _ in range(3)
+    ] + [("a1", "CLUB", None, "x"), ("a1", "CLUB", "e8", "")])
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    number = F.pmod(F.xxhash64("id"), F.lit(3))
+
+    def told(frame):
+        return sorted(map(repr, (tuple(r) for r in frame.collect())))
+
+    def full(articles):
+        return told(counts.popularity(articles, rows, catalog, NOW))
+
+    for run in (0, 1, 1):
+        popularity_log.update(spark, root, articles.filter(number == run), rows)
+    assert told(popularity_log.popularity(spark, root, catalog, NOW)) == full(articles.filter(number < 2))
+    files = {r.f for r in tables.read(spark, f"{root}/counts", popularity_log.COUNTS).select(F.input_file_name().alias("f")).distinct().collect()}
+    today = articles.filter((number == 2) & (F.to_date("crawl_date") == F.lit(NOW.date())))
+    popularity_log.update(spark, root, today, rows)
+    again = {r.f for r in tables.read(spark, f"{root}/counts", popularity_log.COUNTS).select(F.input_file_name().alias("f")).distinct().collect()}
+    assert files & again and all(f"day={NOW.date()}" in f for f in files ^ again)  # other days keep their files
+    popularity_log.update(spark, root, articles.filter(number == 2), rows)
+    found = popularity_log.popularity(spark, root, catalog, NOW)
+    assert told(found) == full(articles)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == plan.count("PartitionFilters: [isnotnull(day") > 0
+    # An article whose mentions are gone loses its counts, also where its day is left empty.
+    popularity_log.update(spark, root, articles, rows.limit(0))
+    assert popularity_log.popularity(spark, root, catalog, NOW).count() == 0
+    popularity_log.update(spark, root, articles.limit(0), rows)
+    assert popularity_log.popularity(spark, f"{root}/none", catalog, NOW).count() == 0
