@@ -10,14 +10,15 @@ A suffix with fewer known words ahead than the shortest window cannot hold a
 match and is left out of the array; this loses nothing.
 
 Cases: a null or wordless text has 0 words and is never contaminated; an item
-without words matches nothing; items that share an id count once; rows of a
-repeated document are judged each for itself; an empty benchmark marks nothing.
+without words matches nothing; items that share an id count once; all items without
+an id are one, which counts as an item and in hits and has no name in the list; rows
+of a repeated document are judged each for itself; an empty benchmark marks nothing.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import add_columns, fresh, table, utf8
+from newsloom.llm.common import add_columns, fresh, keep, table, utf8
 
 #: Words of a window.
 WINDOW = 13
@@ -34,6 +35,8 @@ WINDOW = 13
 SHARE = 20
 #: Bytes of benchmark text that go to the workers at a time.
 BLOCK_BYTES = 4 << 20
+#: Blocks that the driver holds before what they found is written.
+BLOCKS_HELD = 16
 
 #: Lower-cases A-Z and turns every byte outside words into a space.
 LETTERS = bytes(
@@ -79,13 +82,13 @@ def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class TestSuffixes:
     """The windows of a block of test items, ready for look-up in suffix arrays."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         found = [(name, words_of(text)) for name, text in items]
         found = [(name, words) for name, words in found if words]
         self.window = window
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in found for w in words}), 1)}
         self.bits = max(1, len(self.vocabulary).bit_length())
-        self.names = sorted({name for name, _ in found})
+        self.names = sorted({name for name, _ in found}, key=_name_order)
         number = {name: i for i, name in enumerate(self.names)}
         places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for name, words in found:
@@ -234,13 +237,19 @@ def _union(one: list[int], two: list[int]) -> list[int]:
     return merged
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of about ``block_bytes``, each small enough for every worker."""
-    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+def _name_order(name: str | None) -> tuple[bool, str]:
+    """Names as strings, the missing one last."""
+    return name is None, name or ""
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The items in blocks of about ``block_bytes``, one at a time, each small enough for every worker."""
+    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     block = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[(r.i, r.t.encode()) for r in items.where(block == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r.i, r.t.encode()) for r in items.where(block == k).collect()]
 
 
 def find_overlaps(
@@ -256,13 +265,15 @@ def find_overlaps(
 
     The column holds ``n_words``, ``hits`` (merged word intervals, flat: start,
     end, ...), ``items`` (ids as strings, sorted) and ``matches`` (the longest
-    verbatim match per item with its places). The benchmark passes by in blocks;
-    the texts are never shuffled.
+    verbatim match per item with its places). The benchmark passes by in blocks,
+    of which the driver holds ``BLOCKS_HELD``; the texts are never shuffled.
     """
     name = fresh(docs, "overlap")
     out = docs
     for number, block in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
         tests = TestSuffixes(block, window)
+        if number and number % BLOCKS_HELD == 0:
+            out = keep(out)
 
         def make(batch: pa.RecordBatch, tests=tests, later=number > 0) -> list:
             found = tests.search(utf8(batch, text))
@@ -270,8 +281,8 @@ def find_overlaps(
                 earlier = batch.column(batch.schema.get_field_index(name)).to_pylist()
                 for row, old in zip(found, earlier, strict=True):
                     row["hits"] = _union(old["hits"], row["hits"])
-                    row["items"] = sorted({*old["items"], *row["items"]})
-                    row["matches"] = sorted(old["matches"] + row["matches"], key=lambda m: m["item_id"])
+                    row["items"] = sorted({*old["items"], *row["items"]}, key=_name_order)
+                    row["matches"] = sorted(old["matches"] + row["matches"], key=lambda m: _name_order(m["item_id"]))
             return [found]
 
         if number:
