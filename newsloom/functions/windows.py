@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,23 +28,12 @@ def covering_starts(first: Column, last: Column) -> Column:
     return F.filter(starts, lambda s: s < last)
 
 
-def to_utc(moment: datetime) -> datetime:
-    """A Python time as aware UTC; naive means UTC."""
-    return moment.replace(tzinfo=UTC) if moment.tzinfo is None else moment.astimezone(UTC)
+def window_at(now: datetime, *, back: int = 0) -> tuple[datetime, datetime]:
+    """Bounds of the window that holds ``now``, or of the one ``back`` windows earlier (1: the last closed one).
 
-
-def floor_time(moment: datetime) -> datetime:
-    moment = to_utc(moment)
-    return moment.replace(
-        hour=moment.hour - moment.hour % WINDOW_HOURS, minute=0, second=0, microsecond=0
-    )
-
-
-def current_window(now: datetime) -> tuple[datetime, datetime]:
-    start = floor_time(now)
-    return start, start + timedelta(hours=WINDOW_HOURS)
-
-
-def latest_closed_window(now: datetime) -> tuple[datetime, datetime]:
-    end = floor_time(now)
-    return end - timedelta(hours=WINDOW_HOURS), end
+    Windows are numbered from the epoch; a naive time is UTC.
+    """
+    aware = now if now.tzinfo else now.replace(tzinfo=UTC)
+    number = int(aware.timestamp() // WINDOW_SECONDS) - back
+    start, end = (datetime.fromtimestamp(n * WINDOW_SECONDS, UTC) for n in (number, number + 1))
+    return start, end

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -129,27 +128,31 @@ def catalog_spans(articles: DataFrame, rules: DataFrame, *, text_column: str = "
     known = phrases.dictionary(rules.select("alias", "label").distinct())
     found = phrases.find(articles, known, text_column=text_column).select("id", "folded", "starts", "label").distinct()
     joined = phrases.with_found(articles, found, ["folded", "label"], text_column).filter(F.col("found").isNotNull())
-    schema = keyed_schema(articles, SPANS + ", name_key STRING, slug STRING")
+    schema = keyed_schema(articles, SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup_forms = lru_cache(maxsize=100_000)(text.lookup_forms)
         for batch in batches:
-            columns: list[list] = [[] for _ in range(8)]
+            columns: list[list] = [[] for _ in range(6)]
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for key, value, places in rows:
                 for p in phrases.apart(places, lambda p: (p["folded"], p["label"])):
                     end = p["start"] - p["less"]
                     piece = value[p["start"] : end]
-                    row = (key, p["label"], piece, 1.0, p["start"], end, *lookup_forms(piece))
+                    row = (key, p["label"], piece, 1.0, p["start"], end)
                     for column, cell in zip(columns, row, strict=True):
                         column.append(cell)
             out = pa.schema(
                 [("id", batch.schema.field(0).type), ("label", pa.string()), ("text", pa.string()), ("score", pa.float64()),
-                 ("start", pa.int32()), ("end", pa.int32()), ("name_key", pa.string()), ("slug", pa.string())]
+                 ("start", pa.int32()), ("end", pa.int32())]
             )
             yield _column_batch(out, columns)
 
-    return joined.mapInArrow(run, schema)
+    return _with_forms(joined.mapInArrow(run, schema))
+
+
+def _with_forms(spans: DataFrame) -> DataFrame:
+    """Spans with the name key and slug of their text, which resolution needs."""
+    return spans.withColumns({"name_key": text.name_key(F.col("text")), "slug": text.slugify(F.col("text"))})
 
 
 def literal_extractor(rules: list[tuple[str, str, float]]) -> EntityExtractor:
@@ -179,21 +182,18 @@ def extract_spans(
 
     The extractor sees one chunk at a time; offsets are shifted to the article.
     An article is one row, so the best of its overlapping chunks is chosen right
-    there and no shuffle is needed. ``name_key`` and ``slug`` of the span text,
-    which resolution needs, are made in the same pass.
+    there and no shuffle is needed.
     """
     _check_chunking(max_words, overlap)
-    schema = keyed_schema(articles, SPANS + ", name_key STRING, slug STRING")
+    schema = keyed_schema(articles, SPANS)
     wanted = frozenset(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup_forms = lru_cache(maxsize=100_000)(text.lookup_forms)
         for batch in batches:
             keys = batch.column(0)
             out = pa.schema(
                 [("id", keys.type), ("label", pa.string()), ("text", pa.string()),
-                 ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32()),
-                 ("name_key", pa.string()), ("slug", pa.string())]
+                 ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]
             )
             for key, value in zip(keys.to_pylist(), batch.column(1).to_pylist(), strict=True):
                 best: dict[tuple[str, int, int], tuple[str, float]] = {}
@@ -207,16 +207,13 @@ def extract_spans(
                             best[span] = (piece, score)
                 if not best:
                     continue
-                pieces = [piece for piece, _ in best.values()]
-                forms = [lookup_forms(piece) for piece in pieces]
                 yield _column_batch(
                     out,
-                    [[key] * len(best), [k[0] for k in best], pieces,
-                     [score for _, score in best.values()], [k[1] for k in best],
-                     [k[2] for k in best], [f[0] for f in forms], [f[1] for f in forms]],
+                    [[key] * len(best), [k[0] for k in best], [piece for piece, _ in best.values()],
+                     [score for _, score in best.values()], [k[1] for k in best], [k[2] for k in best]],
                 )
 
-    return spread(articles.select("id", text_column)).mapInArrow(run, schema)
+    return _with_forms(spread(articles.select("id", text_column)).mapInArrow(run, schema))
 
 
 def best_predictions(spans: DataFrame, *, keys: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -69,18 +69,16 @@ def load_alias_catalog(spark: SparkSession, path: str, now: Column) -> DataFrame
     return catalog.catalog_documents(read_alias_catalog(spark, path), source=path, now=now)
 
 
-_BBC = "https://feeds.bbci.co.uk/sport/football/{}rss.xml"
-_BBC_DOMAINS = ["bbci.co.uk", "bbc.co.uk", "bbc.com"]
 # The known sources (name, url, type, domains, on by default, article path only).
 KNOWN_SOURCES = [
-    ("BBC Sport - Premier League", _BBC.format("premier-league/"), "RSS", _BBC_DOMAINS, True, True),
-    ("BBC Sport - Champions League", _BBC.format("champions-league/"), "RSS", _BBC_DOMAINS, True, True),
-    ("BBC Sport - Europa League", _BBC.format("europa-league/"), "RSS", _BBC_DOMAINS, True, True),
-    ("BBC Sport - FA Cup", _BBC.format("fa-cup/"), "RSS", _BBC_DOMAINS, True, True),
-    ("BBC Sport - League Cup", _BBC.format("league-cup/"), "RSS", _BBC_DOMAINS, True, True),
-    ("BBC Sport - World Cup", _BBC.format("world-cup/"), "RSS", _BBC_DOMAINS, True, True),
-    ("BBC Sport - European", _BBC.format("european/"), "RSS", _BBC_DOMAINS, True, True),
-    ("BBC Sport - Football RSS", _BBC.format(""), "RSS", _BBC_DOMAINS, True, True),
+    ("BBC Sport - Premier League", "https://feeds.bbci.co.uk/sport/football/premier-league/rss.xml", "RSS", ["bbci.co.uk", "bbc.co.uk", "bbc.com"], True, True),
+    ("BBC Sport - Champions League", "https://feeds.bbci.co.uk/sport/football/champions-league/rss.xml", "RSS", ["bbci.co.uk", "bbc.co.uk", "bbc.com"], True, True),
+    ("BBC Sport - Europa League", "https://feeds.bbci.co.uk/sport/football/europa-league/rss.xml", "RSS", ["bbci.co.uk", "bbc.co.uk", "bbc.com"], True, True),
+    ("BBC Sport - FA Cup", "https://feeds.bbci.co.uk/sport/football/fa-cup/rss.xml", "RSS", ["bbci.co.uk", "bbc.co.uk", "bbc.com"], True, True),
+    ("BBC Sport - League Cup", "https://feeds.bbci.co.uk/sport/football/league-cup/rss.xml", "RSS", ["bbci.co.uk", "bbc.co.uk", "bbc.com"], True, True),
+    ("BBC Sport - World Cup", "https://feeds.bbci.co.uk/sport/football/world-cup/rss.xml", "RSS", ["bbci.co.uk", "bbc.co.uk", "bbc.com"], True, True),
+    ("BBC Sport - European", "https://feeds.bbci.co.uk/sport/football/european/rss.xml", "RSS", ["bbci.co.uk", "bbc.co.uk", "bbc.com"], True, True),
+    ("BBC Sport - Football RSS", "https://feeds.bbci.co.uk/sport/football/rss.xml", "RSS", ["bbci.co.uk", "bbc.co.uk", "bbc.com"], True, True),
     ("The Guardian Football", "https://www.theguardian.com/football/rss", "RSS", ["theguardian.com"], True, False),
     ("The Athletic Football", "https://www.nytimes.com/athletic/rss/football/", "RSS", ["nytimes.com"], True, False),
     ("The Telegraph Football", "https://www.telegraph.co.uk/football/sitemap-0.xml", "SITEMAP", ["telegraph.co.uk"], True, False),

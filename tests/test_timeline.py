@@ -59,8 +59,8 @@ def test_summaries_and_rerun(spark, news):
 
 def test_generator_failures_leave_the_pair_open(news):
     def generator(prompt):
-        assert "Title: Title a\nCrawled: 2026-08-20T06:10:00+00:00\nContent: Arsenal and" in prompt
-        if "for Saka (PLAYER)" in prompt:
+        assert "of 2026-08-20T06:10:00+00:00: Title a\nArsenal and" in prompt
+        if "Subject: Saka (player)" in prompt:
             raise TimeoutError
         return '```json\n{"title": "T", "content": "C"}\n```'
 
@@ -71,7 +71,7 @@ def test_generator_failures_leave_the_pair_open(news):
 def test_prompt_separates_articles(spark, news):
     seen = run(news, generator=lambda p: p.replace("{", "").replace("}", "")).collect()
     body = {r["entity_id"]: r["aggregated_news"] for r in seen}["e1"]
-    assert body.count("\n\n---\n\n") == 1 and body.index("Title b") < body.index("Title a")
+    assert body.index("Report 1 of 2") < body.index("Title b") < body.index("Report 2 of 2") < body.index("Title a")
 
 
 def test_lookback_counts_but_does_not_list(spark):
