@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom import settings
 from newsloom.functions import identity, text, urls
 
 
@@ -73,27 +72,37 @@ def select_new_candidates(
     identified: DataFrame,
     stored: DataFrame,
     *,
-    candidate_limit: int = settings.CANDIDATE_LIMIT,
-    fetch_limit: int = settings.SCHEDULED_FETCH_LIMIT,
+    candidate_limit: int | None = None,
+    fetch_limit: int | None = None,
 ) -> DataFrame:
-    """Per source: the first distinct candidates, minus stored ones, up to the fetch limit.
+    """Per source: the distinct candidates that are not stored, in input order with their position.
 
-    Both limits are the crawl policy itself and count in input order.
+    A crawl policy may look at the first ``candidate_limit`` candidates of a source
+    only and fetch ``fetch_limit`` of them; :func:`candidate_cuts` counts what that leaves out.
     """
-    if candidate_limit < 1 or fetch_limit < 1:
+    if any(limit is not None and limit < 1 for limit in (candidate_limit, fetch_limit)):
         raise ValueError("crawl limits must be positive")
     order = Window.partitionBy("source_name").orderBy("ordinal", "id")
-    considered = (
-        first_seen(identified, by=("source_name",))
-        .withColumn("_seen", F.row_number().over(order))
-        .filter(F.col("_seen") <= candidate_limit)
-        .drop("_seen")
-    )
-    fresh = considered.join(stored.select("id"), "id", "left_anti")
-    return (
-        fresh.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= fetch_limit)
+    considered = first_seen(identified, by=("source_name",))
+    if candidate_limit is not None:
+        place = considered.withColumn("_seen", F.row_number().over(order))
+        considered = place.filter(F.col("_seen") <= candidate_limit).drop("_seen")
+    fresh = considered.join(stored.select("id"), "id", "left_anti").withColumn("position", F.row_number().over(order))
+    return fresh if fetch_limit is None else fresh.filter(F.col("position") <= fetch_limit)
+
+
+def candidate_cuts(
+    identified: DataFrame, stored: DataFrame, *, candidate_limit: int | None = None, fetch_limit: int | None = None
+) -> DataFrame:
+    """Per source: new candidates, those that the limits keep, and those they cut."""
+    kept = select_new_candidates(identified, stored, candidate_limit=candidate_limit, fetch_limit=fetch_limit)
+    every = first_seen(identified, by=("source_name",)).join(stored.select("id"), "id", "left_anti")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    rows = every.select("source_name", one.alias("fresh"), none.alias("kept")).unionByName(
+        kept.select("source_name", none.alias("fresh"), one.alias("kept"))
     )
+    counted = rows.groupBy("source_name").agg(F.sum("fresh").alias("fresh"), F.sum("kept").alias("kept"))
+    return counted.withColumn("cut", F.col("fresh") - F.col("kept"))
 
 
 def seed_metadata(identified: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
@@ -236,46 +245,55 @@ def extraction_tallies(extracted: DataFrame) -> DataFrame:
     )
 
 
-def distribution(df: DataFrame, value: str, *, bucket_width: int = 1000) -> DataFrame:
+def distribution(df: DataFrame, value: str) -> DataFrame:
     """Mean, median and p90/p95/p99 of an integer column, exactly.
 
-    A quantile is the element at index ``int(q * n)`` of the sorted column. The
-    column is reduced to one row per distinct value, values are ranked inside
-    buckets of ``bucket_width``, and only the bucket totals meet in one task.
+    A quantile is the element at index ``int(q * n)`` of the sorted column. It is
+    found digit by digit: one count per next digit (of 256) among the values that
+    share the digits found so far, for all quantiles at once. The counts merge on
+    the map side and at most 256 per wanted element reach the driver, whatever the
+    number and range of the values; nothing is sorted and no task sees all rows.
     """
-    frequencies = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("bigint").alias("v"))
-        .agg(F.count("*").alias("c"))
-        .withColumn("bucket", F.floor(F.col("v") / bucket_width))
-    )
-    totals = frequencies.groupBy("bucket").agg(F.sum("c").alias("bucket_rows"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = totals.select(
-        "bucket",
-        F.coalesce(F.sum("bucket_rows").over(before), F.lit(0)).alias("offset"),
-        F.sum("bucket_rows").over(everything).alias("n"),
-    )
-    inside = Window.partitionBy("bucket").orderBy("v")
-    ranked = frequencies.join(offsets, "bucket").withColumn(
-        "last", F.col("offset") + F.sum("c").over(inside)
-    )
-
-    def at(index: Column) -> Column:
-        hit = (F.col("last") - F.col("c") <= index) & (index < F.col("last"))
-        return F.max(F.when(hit, F.col("v")))
-
-    def quantile(q: float) -> Column:
-        return at(F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1))
-
-    n = F.col("n")
-    middle = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / F.lit(2.0)
-    return ranked.agg(
-        F.max("n").alias("n"),
-        (F.sum(F.col("v") * F.col("c")) / F.max("n")).alias("mean"),
-        middle.alias("p50"),
-        quantile(0.90).alias("p90"),
-        quantile(0.95).alias("p95"),
-        quantile(0.99).alias("p99"),
+    values = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("bigint").alias("v"))
+    n, total, low, high = values.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.min("v"), F.max("v")).first()
+    wanted = {"p90": 0.9, "p95": 0.95, "p99": 0.99}
+    schema = "n BIGINT, mean DOUBLE, p50 DOUBLE, p90 BIGINT, p95 BIGINT, p99 BIGINT"
+    if not n:
+        return df.sparkSession.createDataFrame([(0, None, None, None, None, None)], schema)
+    places = {name: min(int(q * n), n - 1) for name, q in wanted.items()} | {"low": (n - 1) // 2, "high": n // 2}
+    found = _elements(values, sorted(set(places.values())), low, high)
+    at = {name: found[place] for name, place in places.items()}
+    row = (n, float(total) / n, (at["low"] + at["high"]) / 2, at["p90"], at["p95"], at["p99"])
+    return df.sparkSession.createDataFrame([row], schema)
+
+
+def _elements(values: DataFrame, places: list[int], low: int, high: int) -> dict[int, int]:
+    """The elements at some places of the sorted column ``v``, whose range is known."""
+    shift = max(0, ((high - low).bit_length() - 1) // 8 * 8)
+    height = F.col("v") - F.lit(low)  # from 0 up
+    open_ = {place: (0, place) for place in places}  # leading digits so far, and the place among values that share them
+    while True:
+        prefix = F.shiftright(height, shift + 8) if shift + 8 < 64 else F.lit(0).cast("bigint")
+        counted = values.filter(prefix.isin(sorted({p for p, _ in open_.values()}))).groupBy(
+            F.shiftright(height, shift).alias("digits")
+        ).agg(F.count("*").alias("c"))
+        cells = sorted((row["digits"], row["c"]) for row in counted.collect())
+        for place, (leading, rest) in open_.items():
+            for digits, count in cells:
+                if digits >> 8 != leading:
+                    continue
+                if rest < count:
+                    open_[place] = (digits, rest)
+                    break
+                rest -= count
+        if not shift:
+            return {place: low + digits for place, (digits, _) in open_.items()}
+        shift -= 8
+
+
+def approximate_distribution(df: DataFrame, value: str, *, error: float = 1e-4) -> DataFrame:
+    """As :func:`distribution` in one pass, by mergeable sketches: quantiles whose rank is off by ``error * n`` at most."""
+    quantiles = F.percentile_approx(F.col(value).cast("bigint"), [0.5, 0.9, 0.95, 0.99], int(1 / error))
+    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), quantiles.alias("q")).select(
+        "n", "mean", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("p50", "p90", "p95", "p99"))]
     )

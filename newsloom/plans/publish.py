@@ -23,8 +23,8 @@ class ReadModel:
     item_articles: DataFrame
 
 
-def pending(summaries: DataFrame, limit: int | None = 50) -> DataFrame:
-    """Completed, unpublished summaries, oldest window first."""
+def pending(summaries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Completed, unpublished summaries; the first ``limit`` by window if given."""
     open_rows = summaries.filter((F.col("status") == "COMPLETED") & F.isnull("published_at"))
     if limit is None:
         return open_rows
@@ -182,7 +182,7 @@ def publish_pending(
     mentions: DataFrame,
     now: datetime,
     *,
-    limit: int | None = 50,
+    limit: int | None = None,
 ) -> tuple[ReadModel, DataFrame]:
     """Publish, refresh popularity, backfill; returns the model and the marked summaries."""
     moment = F.lit(now).cast("timestamp")

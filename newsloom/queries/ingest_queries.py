@@ -181,8 +181,8 @@ def _stored(room: Newsroom) -> DataFrame:
     firsts AS (SELECT source_name, id, min(ordinal) AS ordinal FROM c GROUP BY source_name, id),
     seen AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY ordinal) AS n FROM firsts),
     fresh AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY ordinal) AS position
-        FROM seen WHERE n <= 500 AND id NOT IN ({_STORED_SQL}))
-    SELECT source_name, id, ordinal, position FROM fresh WHERE position <= 100""",
+        FROM seen WHERE id NOT IN ({_STORED_SQL}))
+    SELECT source_name, id, ordinal, position FROM fresh""",
 )
 def new_candidates(room: Newsroom) -> DataFrame:
     chosen = articles.select_new_candidates(_candidates(room), _stored(room))
@@ -191,6 +191,24 @@ def new_candidates(room: Newsroom) -> DataFrame:
     )
 
 
+@register(
+    "candidate_cuts",
+    f"""WITH c AS ({_CANDIDATES_SQL}),
+    firsts AS (SELECT source_name, id, min(ordinal) AS ordinal FROM c GROUP BY source_name, id),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY ordinal) AS n FROM firsts),
+    fresh AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY ordinal) AS place
+        FROM seen WHERE n <= {settings.CANDIDATE_LIMIT} AND id NOT IN ({_STORED_SQL})),
+    counted AS (SELECT source_name, count(*) AS fresh FROM seen WHERE id NOT IN ({_STORED_SQL}) GROUP BY 1),
+    held AS (SELECT source_name, count(*) AS kept FROM fresh WHERE place <= 20 GROUP BY 1)
+    SELECT source_name, fresh, coalesce(kept, 0) AS kept, fresh - coalesce(kept, 0) AS cut FROM counted LEFT JOIN held USING (source_name)""",
+)
+def candidate_cuts(room: Newsroom) -> DataFrame:
+    """What a crawl policy of 20 pages a source leaves out."""
+    return articles.candidate_cuts(
+        _candidates(room), _stored(room), candidate_limit=settings.CANDIDATE_LIMIT, fetch_limit=20
+    )
+
+
 @register(
     "seeded_metadata",
     f"""WITH c AS ({_CANDIDATES_SQL})

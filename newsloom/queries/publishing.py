@@ -147,6 +147,6 @@ def read_model_violations(room: Newsroom) -> DataFrame:
 )
 def published_marks(room: Newsroom) -> DataFrame:
     marked = publish.mark_published(
-        room.summaries, publish.pending(room.summaries), room.run_time
+        room.summaries, publish.pending(room.summaries, 50), room.run_time
     )
     return marked.select("id", "published_at")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import ranking
 from newsloom.queries import sql
 from newsloom.queries.bindings import Newsroom
+from newsloom.queries.ingest_queries import EVENT_SQL
 from newsloom.queries.registry import register
 from newsloom.session import cut_lineage, shared_folder
 from newsloom.sources import events
@@ -166,3 +167,50 @@ def stream_pointers(room: Newsroom) -> DataFrame:
     )
     query.awaitTermination()
     return room.spark.read.parquet(path).select("article_id", "canonical_url", "source_name")
+
+
+def _damaged_topic(room: Newsroom) -> tuple[str, DataFrame]:
+    """A topic folder where events of articles with an id from 0 to 3 are cut in half, and all true events by article."""
+    folder = _place(room, "damaged")
+    true = events.crawled_events(room.articles, room.run_time).select(F.col("key").alias("article_id"), "value")
+    half = F.substring("value", 1, 60)
+    sent = true.withColumn("value", F.when(F.substring("article_id", 1, 1).isin("0", "1", "2", "3"), half).otherwise(F.col("value")))
+    sent.select("value").write.text(folder)
+    return folder, true
+
+
+def _rejected(room: Newsroom, folder: str) -> DataFrame:
+    path = _place(room, "rejected")
+    decoded = pointers.decode(pointers.read_files(room.spark, folder, max_files=2))
+    pointers.store_quarantined(decoded, path, f"{path}-checkpoint").awaitTermination()
+    stored = room.spark.read.schema("value STRING, problems ARRAY<STRING>").parquet(path)
+    return stored.withColumn("payload_id", pointers.payload_id(F.col("value")))
+
+
+_CUT_EVENTS = f"SELECT left(value, 60) AS value, key AS article_id FROM ({EVENT_SQL}) WHERE left(key, 1) IN ('0', '1', '2', '3')"
+
+
+@register("stream_quarantine", sql.query(f"SELECT sha256(value) AS payload_id, count(*) AS copies FROM ({_CUT_EVENTS}) GROUP BY 1"))
+def stream_quarantine(room: Newsroom) -> DataFrame:
+    """Payloads that break the contract, kept with their problems."""
+    folder, _ = _damaged_topic(room)
+    kept = _rejected(room, folder).filter(F.size("problems") > 0)
+    return kept.groupBy("payload_id").agg(F.count("*").alias("copies"))
+
+
+@register("stream_replay", sql.query(f"SELECT article_id, CAST(1 AS BIGINT) AS times FROM ({_CUT_EVENTS})"))
+def stream_replay(room: Newsroom) -> DataFrame:
+    """Rejected payloads mended in two goes that overlap: each event is replayed once."""
+    folder, true = _damaged_topic(room)
+    rejected = cut_lineage(_rejected(room, folder))
+    # The mended texts of all events; those that were never rejected are not replayed.
+    mended = cut_lineage(true.select(pointers.payload_id(F.substring("value", 1, 60)).alias("payload_id"), "value", "article_id"))
+    ledger = room.spark.createDataFrame([], "payload_id STRING")
+    done = None
+    for last in ("1", "3"):
+        some = mended.filter(F.substring("article_id", 1, 1) <= last).select("payload_id", "value")
+        replayed, gained = pointers.replay(rejected, some, ledger)
+        replayed = cut_lineage(replayed.select("article_id"))
+        ledger = cut_lineage(ledger.unionByName(gained))
+        done = replayed if done is None else done.unionByName(replayed)
+    return done.groupBy("article_id").agg(F.count("*").alias("times"))

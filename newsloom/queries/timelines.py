@@ -160,4 +160,4 @@ def timeline_summaries(room: Newsroom) -> DataFrame:
         SELECT id, entity_id, window_start FROM summaries ORDER BY window_start, id LIMIT 50"""),
 )
 def pending_summaries(room: Newsroom) -> DataFrame:
-    return publish.pending(room.summaries).select("id", "entity_id", "window_start")
+    return publish.pending(room.summaries, 50).select("id", "entity_id", "window_start")

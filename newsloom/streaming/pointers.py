@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -78,6 +78,24 @@ def store_quarantined(decoded: DataFrame, path: str, checkpoint: str) -> Streami
     )
 
 
+def replay(rejected: DataFrame, mended: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of mended payloads that were never replayed, and the rows that the ledger gains.
+
+    ``rejected`` and ``mended`` are keyed by ``payload_id`` (:func:`payload_id` of the
+    rejected text); ``ledger`` holds the ids that were replayed before. A payload that
+    still breaks the contract, or was never rejected, is left out and may be mended again.
+    """
+    known = rejected.select("payload_id").distinct()
+    offered = mended.groupBy("payload_id").agg(F.min("value").alias("value")).join(known, "payload_id", "left_semi")
+    fresh = decode(offered.join(ledger.select("payload_id"), "payload_id", "left_anti"))
+    return accepted(fresh), fresh.filter(F.size("problems") == 0).select("payload_id")
+
+
+def payload_id(value: Column) -> Column:
+    """The name of a payload: a hash of its text; a missing text has one, too."""
+    return F.sha2(F.coalesce(value, F.lit("")), 256)
+
+
 def first_pointers(pointers: DataFrame, delay: str = DEDUPE_DELAY) -> DataFrame:
     """Each article once within the watermark; its state is dropped after it."""
     return pointers.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(

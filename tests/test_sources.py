@@ -235,6 +235,34 @@ def test_candidate_limits_follow_input_order(spark):
     stored = found.filter("url = 'https://x.org/0'").select("id").distinct()
     rows = articles.select_new_candidates(found, stored, candidate_limit=5, fetch_limit=3).collect()
     assert sorted(r["url"] for r in rows) == [f"https://x.org/{i}" for i in (1, 2, 3)]
+    assert articles.select_new_candidates(found, stored).count() == 9
+    cut = articles.candidate_cuts(found, stored, candidate_limit=5, fetch_limit=3).first()
+    assert (cut["fresh"], cut["kept"], cut["cut"]) == (9, 3, 6)
+    with pytest.raises(ValueError):
+        articles.select_new_candidates(found, stored, fetch_limit=0)
+
+
+@pytest.mark.parametrize("values", [[5], [3, 3, 3], [-7, 0, 2, 9_000_000_000, -7], [*range(-300, 900, 7)], [0, 1 << 61, 255, 256]])
+def test_distribution_equals_the_sorted_column(spark, values):
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "x bigint")
+    row = articles.distribution(frame, "x").first()
+    ordered, n = sorted(values), len(values)
+    middle = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
+    assert tuple(row) == (n, sum(values) / n, middle, *(ordered[min(int(q * n), n - 1)] for q in (0.9, 0.95, 0.99)))
+    near = articles.approximate_distribution(frame, "x").first()
+    assert near["n"] == n and ordered[0] <= near["p90"] <= ordered[-1]
+
+
+def test_distribution_of_nothing(spark):
+    empty = spark.createDataFrame([(None,)], "x bigint")
+    assert tuple(articles.distribution(empty, "x").first()) == (0, None, None, None, None, None)
+
+
+def test_replay_leaves_out_what_is_still_wrong(spark):
+    rejected = spark.createDataFrame([("p1",), ("p1",), ("p2",)], "payload_id string")
+    mended = spark.createDataFrame([("p1", "still {"), ("p2", None), ("p9", "x")], "payload_id string, value string")
+    replayed, gained = pointers.replay(rejected, mended, spark.createDataFrame([], "payload_id string"))
+    assert replayed.count() == 0 and gained.count() == 0  # what is still wrong may be mended again
 
 
 def test_catalog_import(spark, folder):
