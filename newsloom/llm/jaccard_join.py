@@ -9,8 +9,11 @@ Steps: sets that are equal become one. Sets of one smallest hash form groups;
 inside a group all are compared, and linked ones become one part. Then the rest
 must be found: two sets that link share a token among their rarest few (the
 prefix that the threshold leaves open), so the matrix is kept for prefixes. Rows
-of tokens that only one part holds say nothing and go; the others name, for each
-set, how many of its prefix tokens each group of other parts holds. Two sets that
+of tokens that only one part holds say nothing and go. As long as many parts
+share tokens, rounds contract them: of the parts that hold a token only the
+largest is asked, by one of its groups, so a round is linear in the matrix, and
+what links becomes one part. Then every group of another part is asked: the
+matrix names, for each set, how many of its prefix tokens it holds. Two sets that
 link share not one but many prefix tokens unless their sizes differ much: what is
 not in the shorter-reaching prefix is at most the rest of that set. Groups that
 hold too few say so before any set is fetched; for the others the bound is taken
@@ -18,12 +21,13 @@ again with the union of whole sets, and groups that still qualify are opened.
 
 The order "rarest first" only has to be the same everywhere for the result to be
 exact; it is taken from counts of tokens that are frequent in some slice.
-Shingles are compared by 64-bit hashes.
+Shingles are compared by 64-bit hashes, and a set is named by a 64-bit hash of its own.
 
 Cases: a text without words, or null, has no set and links with nothing; one of
-fewer words than a shingle is one shingle; equal texts are one set; rows without
-doc_id are counted and link with nothing; rows of one doc_id share its component,
-and of several texts of an id one speaks for it in comparisons; an empty table gives an empty result; other columns are not read.
+fewer words than a shingle is one shingle; equal texts are one set, whatever
+their ids; rows without doc_id link like others, and their component is the
+smallest doc_id in it, or null; rows of one doc_id share a component, which all
+their texts tie together; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +40,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsloom.llm.common import keep, slices, table, utf8
+from newsloom.llm.common import add_columns, fresh, keep, slices, table, utf8
 from newsloom.llm.graph import components, filter_places, may_hold, member_filter
 
 #: Words of a shingle, and the similarity at which sets link, in hundredths, unless the caller says otherwise.
@@ -46,6 +51,8 @@ SHINGLE, THRESHOLD = 4, 85
 GROUP, QUERIES = 256, 512
 #: Tokens whose frequency is known for ordering (8 bytes each, twice).
 FREQUENT = 1 << 18
+#: Contract while the join of sets with groups would make more rows than this for each row of the matrix.
+DENSE = 2
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -79,23 +86,20 @@ def _signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
 
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
+    """The name of each set."""
+    return _signed(np.array([xxhash.xxh3_64_intdigest(tokens.tobytes()) for tokens in sets], dtype=np.uint64))
+
+
 def _surveyed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Per row its set in brief (kind 0); per slice the tokens that are frequent there (kind 1)."""
-    names = ["kind", "doc_id", "n", "k1", "k2", "token"]
+    names = ["kind", "doc_id", "n", "key", "token"]
     for batch in batches:
         for part in slices(batch, "text"):
-            rows: list[list] = [[], [], [], []]
-            every = []
-            for text in utf8(part, "text"):
-                tokens = shingles(text, width)
-                key = xxhash.xxh3_128_intdigest(tokens.tobytes())
-                halves = np.array([key >> 64, key & (2**64 - 1)], dtype=np.uint64).view(np.int64)
-                rows[0].append(len(tokens))
-                rows[1].append(int(halves[0]))
-                rows[2].append(int(halves[1]))
-                rows[3].append(int(_signed(tokens)[0]) if len(tokens) else 0)
-                every.append(tokens)
+            every = [shingles(text, width) for text in utf8(part, "text")]
             size = len(every)
+            first = np.array([tokens[0] if len(tokens) else 0 for tokens in every], dtype=np.uint64)
+            rows = [np.array([len(tokens) for tokens in every]), _keys(every), _signed(first)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * size, pa.int32()), part.column(0).cast(pa.int64()), *[pa.array(r, pa.int64()) for r in rows]], names=names
             )
@@ -103,31 +107,31 @@ def _surveyed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             often = counts >= max(3, size // 500)
             none = pa.nulls(int(often.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(none), np.int32)), none, pa.array(counts[often].astype(np.int64)), none, none, pa.array(_signed(found[often]))],
+                [pa.array(np.ones(len(none), np.int32)), none, pa.array(counts[often].astype(np.int64)), none, pa.array(_signed(found[often]))],
                 names=names,
             )
 
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
-    return keep(docs.mapInArrow(lambda batches: _surveyed(batches, width), "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint, token bigint"))
+    return keep(docs.mapInArrow(lambda batches: _surveyed(batches, width), "kind int, doc_id bigint, n bigint, key bigint, token bigint"))
 
 
-def _token_rows(docs: DataFrame, ids: DataFrame, column: str, width: int) -> DataFrame:
-    """Rows (doc_id, tokens) of the documents in ``ids``; only those leave their tasks."""
-    held = member_filter(ids, column)
+def _token_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Rows (key, tokens) of the sets in ``wanted`` (key, doc_id); only documents of those ids leave their tasks, each set once a batch."""
+    held = member_filter(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
-            chosen = batch.filter(pa.array(may_hold(held, places) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
-            for part in slices(chosen, "text"):
-                packed = [shingles(t, width).tobytes() for t in utf8(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "tokens"])
+            for part in slices(batch.filter(pa.array(may_hold(held, places))), "text"):
+                sets = [shingles(text, width) for text in utf8(part, "text")]
+                keys, at = np.unique(_keys(sets), return_index=True)
+                packed = [sets[i].tobytes() for i in at]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(packed, pa.binary())], names=["key", "tokens"])
 
     placed = docs.select("doc_id", "text", *[p.alias(f"p{k}") for k, p in enumerate(filter_places("doc_id"))])
-    rows = placed.mapInArrow(run, "doc_id bigint, tokens binary")
-    wanted = ids.select(F.col(column).alias("doc_id")).distinct()
-    return rows.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("tokens").alias("tokens"))
+    rows = placed.mapInArrow(run, "key bigint, tokens binary")
+    return rows.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("tokens").alias("tokens"))
 
 
 class OpenGroup:
@@ -157,8 +161,8 @@ def _sets(frame: pd.DataFrame, column: str = "tokens") -> list[np.ndarray]:
 
 def _inside(frame: pd.DataFrame, threshold: int) -> pd.DataFrame:
     """Edges that span the linked sets of one group."""
-    frame = frame.sort_values("doc_id")
-    ids = frame["doc_id"].tolist()
+    frame = frame.sort_values("key")
+    ids = frame["key"].tolist()
     sets = _sets(frame)
     group = OpenGroup(sets, threshold)
     root = list(range(len(ids)))
@@ -179,39 +183,39 @@ def _inside(frame: pd.DataFrame, threshold: int) -> pd.DataFrame:
 
 
 def _across(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """An edge for each query that links with a member of the group (which is connected already)."""
-    members, queries = rows[~rows["asks"]].sort_values("doc_id"), rows[rows["asks"]]
+    """An edge between parts for each query that links with a member of the group (which is connected already)."""
+    members, queries = rows[~rows["asks"]], rows[rows["asks"]]
     pairs = []
     if len(members) and len(queries):
         group = OpenGroup(_sets(members), threshold)
-        ids = members["doc_id"].to_numpy()
-        for name, query in zip(queries["doc_id"].tolist(), _sets(queries), strict=True):
+        other = int(members["part"].iloc[0])
+        for part, query in zip(queries["part"].tolist(), _sets(queries), strict=True):
             shared = group.overlaps(query)
-            if shared is not None and (hit := links(shared, group.sizes, len(query), threshold)).any():
-                pairs.append((name, int(ids[hit.argmax()])))
-    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+            if shared is not None and links(shared, group.sizes, len(query), threshold).any():
+                pairs.append((part, other))
+    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64").drop_duplicates()
 
 
-def _buckets(frame: DataFrame, key: str, size: int, value: str = "doc_id", seed: int = 0) -> DataFrame:
-    """``frame`` with column ``bucket``: rows of a key dealt by a hash into parts of about ``size``."""
-    counts = frame.groupBy(key).agg(F.ceil(F.count("*") / size).alias("_parts")).where("_parts > 1")
-    dealt = F.pmod(F.xxhash64(F.lit(seed), F.col(value)), F.coalesce("_parts", F.lit(1)))
-    return frame.join(counts, key, "left").withColumn("bucket", dealt)
+def _buckets(frame: DataFrame, by: str, size: int, seed: int = 0) -> DataFrame:
+    """``frame`` with columns ``bucket``, of ``deals``: rows of a value of ``by`` dealt by their set into parts of about ``size``."""
+    counts = frame.groupBy(by).agg(F.ceil(F.count("*") / size).alias("deals")).where("deals > 1")
+    rows = frame.join(counts, by, "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.col("deals")))
 
 
 def _first_links(docs: DataFrame, sets: DataFrame, width: int, threshold: int) -> DataFrame:
     """Edges among sets of one smallest hash. Large groups are dealt out twice, in two ways."""
     several = sets.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    members = keep(sets.join(several, "token").select("doc_id", "token", "size"))
+    members = keep(sets.join(several, "token").select("key", "doc_id", "token", "size"))
     one = _buckets(members, "token", GROUP).withColumn("deal", F.lit(0))
     two = _buckets(members.where(F.col("size") > GROUP), "token", GROUP, seed=1).withColumn("deal", F.lit(1))
-    dealt = one.unionByName(two).select("doc_id", "token", "bucket", "deal")
-    rows = _token_rows(docs, members, "doc_id", width).join(dealt, "doc_id")
+    dealt = one.unionByName(two).select("key", "token", "bucket", "deal")
+    rows = _token_rows(docs, members, width).join(dealt, "key")
     return rows.groupBy("token", "bucket", "deal").applyInPandas(lambda frame: _inside(frame, threshold), "a bigint, b bigint")
 
 
 def _prefixes(docs: DataFrame, survey: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Rows (doc_id, n, k1, token): each document's rarest tokens, one of which every partner shares."""
+    """Rows (doc_id, n, key, token): each document's rarest tokens, one of which every partner shares."""
     often = survey.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     known = np.array([r.token for r in often], dtype=np.int64).view(np.uint64)
     counts = np.array([r.n for r in often], dtype=np.int64)
@@ -220,9 +224,9 @@ def _prefixes(docs: DataFrame, survey: DataFrame, width: int, threshold: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(batch.column(0).is_valid()), "text"):
+            for part in slices(batch, "text"):
                 found = [shingles(t, width) for t in utf8(part, "text")]
-                keys = [xxhash.xxh3_128_intdigest(t.tobytes()) >> 64 for t in found]
+                keys = _keys(found)
                 if len(known):
                     for i, tokens in enumerate(found):
                         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
@@ -231,35 +235,82 @@ def _prefixes(docs: DataFrame, survey: DataFrame, width: int, threshold: int) ->
                 sizes = np.array([len(t) for t in found])
                 took = [t[: prefix_length(len(t), threshold)] if len(t) else t for t in found]
                 repeat = np.array([len(t) for t in took])
-                ids = part.column(0).cast(pa.int64()).to_numpy()
                 columns = [
-                    np.repeat(ids, repeat),
-                    np.repeat(sizes, repeat).astype(np.int64),
-                    np.repeat(np.array(keys, dtype=np.uint64).view(np.int64), repeat),
-                    _signed(np.concatenate(took)) if took else np.zeros(0, np.int64),
+                    part.column(0).cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(took)), repeat))),
+                    pa.array(np.repeat(sizes, repeat).astype(np.int64)),
+                    pa.array(np.repeat(keys, repeat)),
+                    pa.array(_signed(np.concatenate(took))),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "n", "k1", "token"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "token"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, token bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, key bigint, token bigint")
 
 
-def _matrix(prefixes: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows (token, part, doc_id, n) for tokens that several parts hold in their prefixes."""
-    shared = prefixes.groupBy("token").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
+def _matrix(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (token, key, doc_id, n) for tokens that several sets hold in their prefixes; each set speaks once."""
+    shared = prefixes.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
     shared = keep(shared.select("token"))
     held = member_filter(shared, "token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chosen = may_hold(held, [batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4)])
-            yield batch.filter(pa.array(chosen)).select([0, 1, 2])
+            chosen = may_hold(held, [batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5)])
+            yield batch.filter(pa.array(chosen)).select([0, 1, 2, 3])
+
+    placed = prefixes.select("doc_id", "n", "key", "token", *[p.alias(f"p{k}") for k, p in enumerate(filter_places("token"))])
+    rows = placed.mapInArrow(run, "doc_id bigint, n bigint, key bigint, token bigint").distinct()
+    speaks = sets.select(F.col("key").alias("set"), F.col("doc_id").alias("by"))
+    rows = rows.join(speaks, (F.col("key") == F.col("set")) & F.col("doc_id").eqNullSafe(F.col("by")), "left_semi")
+    return keep(rows.join(shared, "token", "left_semi").select("token", "key", "doc_id", "n"))
+
 
-    placed = prefixes.select("doc_id", "n", "token", *[p.alias(f"p{k}") for k, p in enumerate(filter_places("token"))])
-    rows = placed.mapInArrow(run, "doc_id bigint, n bigint, token bigint").join(shared, "token")
-    rows = rows.join(sets.select("doc_id"), "doc_id", "left_semi").join(parts, rows.doc_id == parts.vertex, "left")
-    rows = keep(rows.select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")))
+def _placed(matrix: DataFrame, parts: DataFrame, old: str) -> DataFrame:
+    """The matrix with the ``part`` of each set, for tokens that several parts hold; ``old`` names what ``parts`` are of."""
+    rows = matrix.join(parts, F.col(old) == F.col("vertex"), "left").withColumn("part", F.coalesce("component", old))
+    rows = keep(rows.select("token", "key", "doc_id", "n", "part"))
     several = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    return rows.join(several.select("token"), "token")
+    return keep(rows.join(several.select("token"), "token", "left_semi"))
+
+
+def _groups(matrix: DataFrame) -> DataFrame:
+    """The sets of the matrix in groups of one part each."""
+    members = _buckets(matrix.select("key", "doc_id", "n", "part").distinct(), "part", GROUP)
+    return keep(members.withColumn("group", F.xxhash64("part", "bucket")).drop("bucket"))
+
+
+def _open(docs: DataFrame, members: DataFrame, asked: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Edges between the parts of sets that ask (key, doc_id, part, group) and of the groups they ask."""
+    columns = ["key", "doc_id", "part", "group", "bucket"]
+    asked = keep(_buckets(keep(asked), "group", QUERIES).select(*columns))
+    held = members.join(asked.select("group", "bucket").distinct(), "group").select(*columns)
+    roles = keep(held.withColumn("asks", F.lit(False)).union(asked.withColumn("asks", F.lit(True))))
+    rows = _token_rows(docs, roles, width).join(roles.drop("doc_id"), "key")
+    return keep(rows.groupBy("group", "bucket").applyInPandas(lambda rows: _across(rows, threshold), "a bigint, b bigint"))
+
+
+def _enough(threshold: int) -> Column:
+    """Whether a set of size ``n`` that shares ``shared`` prefix tokens with sets of sizes ``low`` to ``high`` may link with one."""
+    # Among the sizes in reach the needed count is least at the smallest or the largest.
+    least = F.greatest("low", F.ceil(F.col("n") * threshold / 100))
+    most = F.least("high", F.floor(F.col("n") * 100 / threshold))
+    return may_link(F.col("shared"), F.col("n"), least, threshold) | may_link(F.col("shared"), F.col("n"), most, threshold)
+
+
+def _contracting_links(docs: DataFrame, matrix: DataFrame, turn: int, width: int, threshold: int) -> DataFrame:
+    """Edges between parts and the largest part that shares a token with them, of which one group is asked, another each turn."""
+    members = _groups(matrix)
+    parts = members.groupBy("part").agg(
+        F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("deals").alias("deals")
+    )
+    holders = matrix.groupBy("token", "part").agg(F.count("*").alias("held")).join(parts, "part")
+    chiefs = holders.groupBy("token").agg(F.max(F.struct("size", "part", "low", "high", "deals")).alias("chief"))
+    met = matrix.join(chiefs, "token").where("part <> chief.part AND chief.low * {0} <= n * 100 AND chief.high * 100 >= n * {0}".format(threshold))
+    bounds = met.groupBy("key", F.col("chief.part").alias("other")).agg(
+        F.first("doc_id").alias("doc_id"), F.first("part").alias("part"), F.first("n").alias("n"), F.count("*").alias("shared"),
+        *[F.first(f"chief.{c}").alias(c) for c in ("low", "high", "deals")],
+    )
+    group = F.xxhash64("other", F.pmod(F.lit(turn), F.col("deals"))).alias("group")
+    return _open(docs, members, bounds.where(_enough(threshold)).select("key", "doc_id", "part", group), width, threshold)
 
 
 def may_link(shared: Column, n: Column, m: Column, threshold: int = THRESHOLD) -> Column:
@@ -274,28 +325,55 @@ def may_link(shared: Column, n: Column, m: Column, threshold: int = THRESHOLD) -
 
 
 def _last_links(docs: DataFrame, matrix: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Edges between sets of different parts: matrix rows name groups to be opened."""
-    members = _buckets(matrix.select("doc_id", "part").distinct(), "part", GROUP).select("doc_id", "part", "bucket")
-    members = keep(members.withColumn("group", F.xxhash64("part", "bucket")))
-    rows = matrix.join(members.select("doc_id", "group"), "doc_id")
+    """Edges between parts: matrix rows name groups to be opened."""
+    members = _groups(matrix)
+    rows = matrix.join(members.select("key", "group"), "key")
     union = rows.groupBy("token", "part", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     one, two = matrix.alias("q"), union.alias("g")
     near = (F.col("g.low") * threshold <= F.col("q.n") * 100) & (F.col("g.high") * 100 >= F.col("q.n") * threshold)
     pairs = one.join(two, (F.col("q.token") == F.col("g.token")) & (F.col("q.part") > F.col("g.part")) & near)
-    bounds = pairs.groupBy(F.col("q.doc_id").alias("doc_id"), F.col("g.group").alias("group")).agg(
-        F.first("q.n").alias("n"), F.count("*").alias("shared"), F.min("g.low").alias("low"), F.max("g.high").alias("high")
+    bounds = pairs.groupBy(F.col("q.key").alias("key"), F.col("g.group").alias("group")).agg(
+        F.first("q.doc_id").alias("doc_id"), F.first("q.part").alias("part"), F.first("q.n").alias("n"),
+        F.count("*").alias("shared"), F.min("g.low").alias("low"), F.max("g.high").alias("high"),
     )
-    # Among the sizes in reach the needed count is least at the smallest or the largest.
-    least = F.greatest("low", F.ceil(F.col("n") * threshold / 100))
-    most = F.least("high", F.floor(F.col("n") * 100 / threshold))
-    enough = may_link(F.col("shared"), F.col("n"), least, threshold) | may_link(F.col("shared"), F.col("n"), most, threshold)
-    asked = keep(bounds.where(enough).select("doc_id", "group"))
-    asked = keep(_buckets(asked, "group", QUERIES).select("doc_id", "group", "bucket"))
-    opened = asked.select("group", "bucket").distinct()
-    held = members.drop("bucket").join(opened, "group").select("doc_id", "group", "bucket")
-    roles = keep(held.withColumn("asks", F.lit(False)).union(asked.withColumn("asks", F.lit(True))))
-    rows = _token_rows(docs, roles, "doc_id", width).join(roles, "doc_id")
-    return rows.groupBy("group", "bucket").applyInPandas(lambda rows: _across(rows, threshold), "a bigint, b bigint")
+    return _open(docs, members, bounds.where(_enough(threshold)).select("key", "doc_id", "part", "group"), width, threshold)
+
+
+def _density(matrix: DataFrame) -> tuple[int, int]:
+    """Rows of the matrix, and rows that its join with the groups of other parts may make."""
+    tokens = matrix.groupBy("token", "part").agg(F.count("*").alias("rows")).groupBy("token").agg(
+        F.sum("rows").alias("rows"), (F.sum("rows") * (F.count("*") - 1) / 2).alias("pairs")
+    )
+    found = tokens.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
+    return found.rows or 0, found.pairs or 0
+
+
+def _linked(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, key) of the documents, and edges that span the linked sets."""
+    survey = _survey(docs, width)
+    rows = survey.where("kind = 0").drop("kind")
+    sets = keep(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("token").alias("token")))
+    edges = keep(_first_links(docs, sets, width, threshold))
+    matrix = _placed(_matrix(keep(_prefixes(docs, survey, width, threshold)), sets), components(edges), "key")
+    held, pairs = _density(matrix)
+    turn, before = 0, None
+    while pairs > DENSE * held and (before is None or pairs < 0.9 * before):
+        found = _contracting_links(docs, matrix, turn, width, threshold)
+        edges = edges.union(found)
+        matrix = _placed(matrix, components(found), "part")
+        before = pairs
+        held, pairs = _density(matrix)
+        turn += 1
+    if held:
+        edges = edges.union(_last_links(docs, matrix, width, threshold))
+    return rows.drop("token"), edges
+
+
+def _named(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (key, part): the component of each set."""
+    found = components(edges).select(F.col("vertex").alias("key"), F.col("component").alias("part"))
+    keys = rows.where("n > 0").select("key").distinct()
+    return keep(keys.join(found, "key", "left").select("key", F.coalesce("part", "key").alias("part")))
 
 
 def jaccard_components(
@@ -303,33 +381,52 @@ def jaccard_components(
 ) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of ``docs``: shingles of ``width`` words, links from ``threshold`` hundredths."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    survey = _survey(docs, width)
-    rows = survey.where("kind = 0").drop("kind")
-    linkable = rows.where("n > 0 AND doc_id IS NOT NULL")
-    sets = keep(linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("token").alias("token")))
-    same_id = linkable.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
-    edges = keep(_first_links(docs, sets, width, threshold))
-    parts = components(edges)
-    matrix = keep(_matrix(keep(_prefixes(docs, survey, width, threshold)), sets, parts))
-    if not matrix.isEmpty():
-        edges = edges.union(_last_links(docs, matrix, width, threshold))
+    rows, edges = _linked(docs, width, threshold)
     # A document id with several texts ties their sets together.
-    named = sets.select("k1", "k2", "n", F.col("doc_id").alias("rep"))
-    tied = linkable.join(same_id.select("doc_id"), "doc_id", "left_semi").join(named, ["k1", "k2", "n"])
-    edges = edges.union(tied.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    found = components(edges).select(F.col("vertex").alias("rep"), "component")
-    reps = named.join(found, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(reps, ["k1", "k2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    full = rows.where("n > 0")
+    tie = full.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    tied = full.select("doc_id", "key").distinct().join(tie.select("doc_id", "low"), "doc_id")
+    named = _named(rows, edges.union(tied.select(F.col("key").alias("a"), F.col("low").alias("b"))))
+    ids = full.select("doc_id", "key").distinct().join(named, "key").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    out = full.join(named.join(ids, "part").select("key", "component_id"), "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = rows.where("n = 0")
+    return out.union(empty.select("doc_id", "n", "doc_id"))
 
 
 def drop_near_copies(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD
 ) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id."""
-    found = jaccard_components(docs, doc_id, text, width, threshold)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(keep(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each component: that of the smallest id, of rows that share it one of the first text in order.
+
+    Components are of texts here: different texts of one id stay if they do not
+    link. Rows without id go before rows with one. Texts without words stay.
+    """
+    brief = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows, edges = _linked(brief, width, threshold)
+    named = _named(rows, edges)
+    full = rows.where("n > 0").select("doc_id", "key").distinct().join(named, "key")
+    speaks = keep(full.groupBy("part").agg(F.min(F.struct(F.isnull("doc_id").alias("without"), "doc_id", "key")).alias("by")))
+    odd = keep(rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"))
+    this, key, row = (fresh(docs, name) for name in ("this_id", "set_key", "whole_row"))
+    once = F.col(doc_id).cast("bigint").eqNullSafe(F.col(this))
+    # Ids of one row: they stay unless another row speaks for their component.
+    gone = full.join(speaks, "part").where("doc_id IS NOT NULL AND doc_id <> by.doc_id").select(F.col("doc_id").alias(this)).distinct()
+    left = keep(gone.union(odd.select(F.col("doc_id").alias(this))).distinct())
+    plain = docs.join(left, once, "left_anti")
+    # Rows without id, or that share one, are told apart by their texts.
+    field = docs.schema[text].name
+    again = docs.join(odd.select(F.col("doc_id").alias(this)), once, "left_semi")
+    again = add_columns(again, field, [T.StructField(key, T.LongType())], lambda part: [_set_keys(part, field, width)])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = again.join(speaks.select(F.col("by.key").alias(key), F.col("by.doc_id").alias(this)), [key]).where(once)
+    single = chosen.groupBy(key).agg(F.min_by(whole, F.col(text)).alias(row)).select(f"{row}.*")
+    return plain.union(again.where(F.col(key).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])).union(single)
+
+
+def _set_keys(part: pa.RecordBatch, text: str, width: int) -> pa.Array:
+    """The name of each text's set, null for texts without words."""
+    sets = [shingles(value, width) for value in utf8(part, text)]
+    return pa.array(_keys(sets), mask=np.array([len(tokens) == 0 for tokens in sets]))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

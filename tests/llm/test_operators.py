@@ -294,6 +294,52 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     assert got == {i: find(i) for i in range(120)}
 
 
+def test_jaccard_repeated_and_missing_ids(spark):
+    """Texts link whatever their ids; one row of a component stays."""
+    first = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, first), (1, first), (2, first), (None, first), (None, first), (5, first), (5, other), (7, other + " more")]
+    rows += [(None, None), (None, ""), (9, " "), (9, "alone"), (None, "nobody"), (None, "nobody")]
+    frame = spark.createDataFrame([(t, i, "x", "y") for i, t in rows], "text string, doc_id bigint, this_id string, set_key string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame).collect()), key=str)
+    want = [(1, 37, 1)] * 2 + [(2, 37, 1), (5, 37, 1), (5, 37, 1), (7, 38, 1), (9, 0, 9), (9, 1, 9)]
+    want += [(None, 37, 1)] * 2 + [(None, 0, None)] * 2 + [(None, 1, None)] * 2
+    assert got == sorted(want, key=str)
+    kept = jaccard_join.drop_near_copies(frame)
+    assert kept.columns == frame.columns
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert left == sorted([(1, first), (5, other), (None, None), (None, ""), (9, " "), (9, "alone"), (None, "nobody")], key=str)
+
+
+def test_jaccard_cluster_over_many_parts(spark, monkeypatch):
+    """Copies of one text with an edit each start as many parts; rounds contract them, and nothing is lost."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 8)
+    rng = random.Random(8)
+    rows = []
+    for base in range(3):
+        words = [f"b{base}w{i}" for i in range(60)]
+        for k in range(60):
+            copy = list(words)
+            copy[rng.randrange(60)] = f"e{base}x{k}"
+            rows.append((base * 60 + k, " ".join(copy)))
+    turns = []
+    plain = jaccard_join._contracting_links
+    monkeypatch.setattr(jaccard_join, "_contracting_links", lambda *a: (turns.append(a[2]), plain(*a))[1])
+    sets = {i: {tuple(w[p : p + 4]) for p in range(57)} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                one, two = sorted((find(i), find(j)))
+                root[two] = one
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert turns and got == {i: find(i) for i in sets}
+
+
 def test_jaccard_width_and_threshold(spark):
     """Near copies at 5-word Jaccard from 0.80 on go in the pipeline's stage; op8 keeps 4 words and 0.85."""
     import corpus_pipeline
