@@ -9,11 +9,10 @@ Steps: sets that are equal become one. Sets of one smallest hash form groups;
 inside a group all are compared, and linked ones become one part. Then the rest
 must be found: two sets that link share a token among their rarest few (the
 prefix that the threshold leaves open), so the matrix is kept for prefixes. Rows
-of tokens that only one part holds say nothing and go. As long as many parts
-share tokens, rounds contract them: of the parts that hold a token only the
-largest is asked, by one of its groups, so a round is linear in the matrix, and
-what links becomes one part. Then every group of another part is asked: the
-matrix names, for each set, how many of its prefix tokens it holds. Two sets that
+of tokens that only one part holds say nothing and go. Large parts are groups
+of their own; other sets are grouped by the token that most sets hold among
+theirs, so that a token of many sets is in few groups. Of two groups the sets of
+one ask the other: the matrix names, for each set, how many of its prefix tokens a group holds. Two sets that
 link share not one but many prefix tokens unless their sizes differ much: what is
 not in the shorter-reaching prefix is at most the rest of that set. Groups that
 hold too few say so before any set is fetched; for the others the bound is taken
@@ -51,8 +50,8 @@ SHINGLE, THRESHOLD = 4, 85
 GROUP, QUERIES = 256, 512
 #: Tokens whose frequency is known for ordering (8 bytes each, twice).
 FREQUENT = 1 << 18
-#: Contract while the join of sets with groups would make more rows than this for each row of the matrix.
-DENSE = 2
+#: Parts of so many sets are groups of their own.
+OWN = 64
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -183,17 +182,29 @@ def _inside(frame: pd.DataFrame, threshold: int) -> pd.DataFrame:
 
 
 def _across(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """An edge between parts for each query that links with a member of the group (which is connected already)."""
-    members, queries = rows[~rows["asks"]], rows[rows["asks"]]
-    pairs = []
+    """Edges that span the parts of the queries and of the members of a group that link."""
+    members, queries = rows[~rows["asks"]].sort_values("key"), rows[rows["asks"]]
+    pairs: list[tuple[int, int]] = []
     if len(members) and len(queries):
         group = OpenGroup(_sets(members), threshold)
-        other = int(members["part"].iloc[0])
-        for part, query in zip(queries["part"].tolist(), _sets(queries), strict=True):
+        parts = members["part"].to_numpy()
+        root: dict[int, int] = {}
+
+        def find(part: int) -> int:
+            while (above := root.setdefault(part, part)) != part:
+                root[part] = part = root[above]
+            return part
+
+        for own, query in zip(queries["part"].tolist(), _sets(queries), strict=True):
             shared = group.overlaps(query)
-            if shared is not None and links(shared, group.sizes, len(query), threshold).any():
-                pairs.append((part, other))
-    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64").drop_duplicates()
+            if shared is None:
+                continue
+            for other in np.unique(parts[links(shared, group.sizes, len(query), threshold)]).tolist():
+                one, two = sorted((find(own), find(other)))
+                if one != two:
+                    root[two] = one
+                    pairs.append((own, other))
+    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
 def _buckets(frame: DataFrame, by: str, size: int, seed: int = 0) -> DataFrame:
@@ -264,22 +275,26 @@ def _matrix(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
     return keep(rows.join(shared, "token", "left_semi").select("token", "key", "doc_id", "n"))
 
 
-def _placed(matrix: DataFrame, parts: DataFrame, old: str) -> DataFrame:
-    """The matrix with the ``part`` of each set, for tokens that several parts hold; ``old`` names what ``parts`` are of."""
-    rows = matrix.join(parts, F.col(old) == F.col("vertex"), "left").withColumn("part", F.coalesce("component", old))
+def _placed(matrix: DataFrame, parts: DataFrame) -> DataFrame:
+    """The matrix with the ``part`` of each set, for tokens that several parts hold, and how many sets hold each."""
+    rows = matrix.join(parts, F.col("key") == F.col("vertex"), "left").withColumn("part", F.coalesce("component", "key"))
     rows = keep(rows.select("token", "key", "doc_id", "n", "part"))
-    several = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    return keep(rows.join(several.select("token"), "token", "left_semi"))
+    several = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("held")).where("low <> high")
+    return keep(rows.join(several.select("token", "held"), "token"))
 
 
 def _groups(matrix: DataFrame) -> DataFrame:
-    """The sets of the matrix in groups of one part each."""
-    members = _buckets(matrix.select("key", "doc_id", "n", "part").distinct(), "part", GROUP)
-    return keep(members.withColumn("group", F.xxhash64("part", "bucket")).drop("bucket"))
+    """The sets of the matrix in groups: of one part, or of sets that share the token held by most among theirs."""
+    one = [F.first(c).alias(c) for c in ("doc_id", "n", "part")]
+    sets = keep(matrix.groupBy("key").agg(*one, F.max(F.struct("held", "token")).alias("most")))
+    large = sets.groupBy("part").agg(F.count("*").alias("size")).where(F.col("size") >= OWN)
+    home = F.when(F.col("size").isNull(), F.xxhash64(F.lit("token"), "most.token")).otherwise(F.xxhash64(F.lit("part"), "part"))
+    members = _buckets(sets.join(large, "part", "left").withColumn("home", home), "home", GROUP)
+    return keep(members.select("key", "doc_id", "n", "part", F.xxhash64("home", "bucket").alias("group")))
 
 
 def _open(docs: DataFrame, members: DataFrame, asked: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Edges between the parts of sets that ask (key, doc_id, part, group) and of the groups they ask."""
+    """Edges between the parts of sets that ask (key, doc_id, part, group) and those of the groups they ask."""
     columns = ["key", "doc_id", "part", "group", "bucket"]
     asked = keep(_buckets(keep(asked), "group", QUERIES).select(*columns))
     held = members.join(asked.select("group", "bucket").distinct(), "group").select(*columns)
@@ -288,31 +303,6 @@ def _open(docs: DataFrame, members: DataFrame, asked: DataFrame, width: int, thr
     return keep(rows.groupBy("group", "bucket").applyInPandas(lambda rows: _across(rows, threshold), "a bigint, b bigint"))
 
 
-def _enough(threshold: int) -> Column:
-    """Whether a set of size ``n`` that shares ``shared`` prefix tokens with sets of sizes ``low`` to ``high`` may link with one."""
-    # Among the sizes in reach the needed count is least at the smallest or the largest.
-    least = F.greatest("low", F.ceil(F.col("n") * threshold / 100))
-    most = F.least("high", F.floor(F.col("n") * 100 / threshold))
-    return may_link(F.col("shared"), F.col("n"), least, threshold) | may_link(F.col("shared"), F.col("n"), most, threshold)
-
-
-def _contracting_links(docs: DataFrame, matrix: DataFrame, turn: int, width: int, threshold: int) -> DataFrame:
-    """Edges between parts and the largest part that shares a token with them, of which one group is asked, another each turn."""
-    members = _groups(matrix)
-    parts = members.groupBy("part").agg(
-        F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("deals").alias("deals")
-    )
-    holders = matrix.groupBy("token", "part").agg(F.count("*").alias("held")).join(parts, "part")
-    chiefs = holders.groupBy("token").agg(F.max(F.struct("size", "part", "low", "high", "deals")).alias("chief"))
-    met = matrix.join(chiefs, "token").where("part <> chief.part AND chief.low * {0} <= n * 100 AND chief.high * 100 >= n * {0}".format(threshold))
-    bounds = met.groupBy("key", F.col("chief.part").alias("other")).agg(
-        F.first("doc_id").alias("doc_id"), F.first("part").alias("part"), F.first("n").alias("n"), F.count("*").alias("shared"),
-        *[F.first(f"chief.{c}").alias(c) for c in ("low", "high", "deals")],
-    )
-    group = F.xxhash64("other", F.pmod(F.lit(turn), F.col("deals"))).alias("group")
-    return _open(docs, members, bounds.where(_enough(threshold)).select("key", "doc_id", "part", group), width, threshold)
-
-
 def may_link(shared: Column, n: Column, m: Column, threshold: int = THRESHOLD) -> Column:
     """Whether sets of sizes ``n`` and ``m`` may link if their prefixes share so many tokens.
 
@@ -324,14 +314,26 @@ def may_link(shared: Column, n: Column, m: Column, threshold: int = THRESHOLD) -
     return 100 * whole * shared > 100 * threshold * (n + m) - threshold * whole * F.greatest(n, m)
 
 
+def _enough(threshold: int) -> Column:
+    """Whether a set of size ``n`` that shares ``shared`` prefix tokens with sets of sizes ``low`` to ``high`` may link with one."""
+    # Among the sizes in reach the needed count is least at the smallest or the largest.
+    least = F.greatest("low", F.ceil(F.col("n") * threshold / 100))
+    most = F.least("high", F.floor(F.col("n") * 100 / threshold))
+    return may_link(F.col("shared"), F.col("n"), least, threshold) | may_link(F.col("shared"), F.col("n"), most, threshold)
+
+
 def _last_links(docs: DataFrame, matrix: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Edges between parts: matrix rows name groups to be opened."""
+    """Edges between parts: matrix rows name groups to be opened. Of two groups the one of the larger number asks; a group asks itself, too."""
     members = _groups(matrix)
-    rows = matrix.join(members.select("key", "group"), "key")
-    union = rows.groupBy("token", "part", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    one, two = matrix.alias("q"), union.alias("g")
+    rows = keep(matrix.join(members.select("key", "group"), "key"))
+    union = rows.groupBy("token", "group").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("part").alias("first"), F.max("part").alias("last")
+    )
     near = (F.col("g.low") * threshold <= F.col("q.n") * 100) & (F.col("g.high") * 100 >= F.col("q.n") * threshold)
-    pairs = one.join(two, (F.col("q.token") == F.col("g.token")) & (F.col("q.part") > F.col("g.part")) & near)
+    foreign = (F.col("g.first") != F.col("q.part")) | (F.col("g.last") != F.col("q.part"))
+    pairs = rows.alias("q").join(
+        union.alias("g"), (F.col("q.token") == F.col("g.token")) & (F.col("q.group") >= F.col("g.group")) & foreign & near
+    )
     bounds = pairs.groupBy(F.col("q.key").alias("key"), F.col("g.group").alias("group")).agg(
         F.first("q.doc_id").alias("doc_id"), F.first("q.part").alias("part"), F.first("q.n").alias("n"),
         F.count("*").alias("shared"), F.min("g.low").alias("low"), F.max("g.high").alias("high"),
@@ -339,32 +341,14 @@ def _last_links(docs: DataFrame, matrix: DataFrame, width: int, threshold: int)
     return _open(docs, members, bounds.where(_enough(threshold)).select("key", "doc_id", "part", "group"), width, threshold)
 
 
-def _density(matrix: DataFrame) -> tuple[int, int]:
-    """Rows of the matrix, and rows that its join with the groups of other parts may make."""
-    tokens = matrix.groupBy("token", "part").agg(F.count("*").alias("rows")).groupBy("token").agg(
-        F.sum("rows").alias("rows"), (F.sum("rows") * (F.count("*") - 1) / 2).alias("pairs")
-    )
-    found = tokens.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
-    return found.rows or 0, found.pairs or 0
-
-
 def _linked(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, key) of the documents, and edges that span the linked sets."""
     survey = _survey(docs, width)
     rows = survey.where("kind = 0").drop("kind")
     sets = keep(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("token").alias("token")))
     edges = keep(_first_links(docs, sets, width, threshold))
-    matrix = _placed(_matrix(keep(_prefixes(docs, survey, width, threshold)), sets), components(edges), "key")
-    held, pairs = _density(matrix)
-    turn, before = 0, None
-    while pairs > DENSE * held and (before is None or pairs < 0.9 * before):
-        found = _contracting_links(docs, matrix, turn, width, threshold)
-        edges = edges.union(found)
-        matrix = _placed(matrix, components(found), "part")
-        before = pairs
-        held, pairs = _density(matrix)
-        turn += 1
-    if held:
+    matrix = _placed(_matrix(keep(_prefixes(docs, survey, width, threshold)), sets), components(edges))
+    if not matrix.isEmpty():
         edges = edges.union(_last_links(docs, matrix, width, threshold))
     return rows.drop("token"), edges
 
