@@ -312,9 +312,8 @@ def test_jaccard_repeated_and_missing_ids(spark):
 
 
 def test_jaccard_cluster_over_many_parts(spark, monkeypatch):
-    """Copies of one text with an edit each start as many parts, in groups of one or of several; nothing is lost."""
+    """Copies of one text with an edit each start as many parts, in groups of their own; nothing is lost."""
     monkeypatch.setattr(jaccard_join, "GROUP", 8)
-    monkeypatch.setattr(jaccard_join, "OWN", 3)
     rng = random.Random(8)
     rows = []
     for base in range(3):
