@@ -9,12 +9,15 @@ Steps: sets that are equal become one. Sets of one smallest hash form groups;
 inside a group all are compared, and linked ones become one part. Then the rest
 must be found: two sets that link share a token among their rarest few (the
 prefix that the threshold leaves open), so the matrix is kept for prefixes. Rows
-of tokens that only one part holds say nothing and go; the others name, for each
-set, how many of its prefix tokens each group of other parts holds. Two sets that
-link share not one but many prefix tokens unless their sizes differ much: what is
-not in the shorter-reaching prefix is at most the rest of that set. Groups that
-hold too few say so before any set is fetched; for the others the bound is taken
-again with the union of whole sets, and groups that still qualify are opened.
+of tokens that only one part holds say nothing and go. A row says how far its
+token reaches: the rarer tokens before it may all be missing from a partner, so
+the later its place, the smaller the partners that it can speak for. Where all
+sets that hold a token are too large for a row, the row goes; similar sets that
+do not link differ in their rarest tokens, so rows of what they share go, and
+they do not meet in pairs. The rows left name, for each set, how many of its
+tokens each group of other parts holds. Groups that hold too few say so before
+any set is fetched; for the others the bound is taken again with the union of
+whole sets, and groups that still qualify are opened.
 
 The order "rarest first" only has to be the same everywhere for the result to be
 exact; it is taken from counts of tokens that are frequent in some slice.
@@ -46,6 +49,8 @@ from newsloom.llm.graph import components, filter_places, may_hold, member_filte
 SHINGLE, THRESHOLD = 4, 85
 #: Sets of a group, and queries that meet a group at a time.
 GROUP, QUERIES = 256, 512
+#: Shared tokens after which a group is opened, unless sizes demand fewer. Changes the work, never the result.
+ENOUGH = 2
 #: Tokens whose frequency is known for ordering (8 bytes each, twice).
 FREQUENT = 1 << 18
 
@@ -210,7 +215,11 @@ def _first_links(docs: DataFrame, sets: DataFrame, width: int, threshold: int) -
 
 
 def _prefixes(docs: DataFrame, survey: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Rows (doc_id, n, key, token): each document's rarest tokens, one of which every partner shares."""
+    """Rows (doc_id, n, key, token, reach): each document's rarest tokens, one of which every partner shares.
+
+    Sets of sizes n and m that link share ``ENOUGH`` tokens, or all that their sizes demand,
+    whose places lie so early that ``threshold * m <= reach`` of the one and ``threshold * n <= reach`` of the other.
+    """
     often = survey.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     known = np.array([r.token for r in often], dtype=np.int64).view(np.uint64)
     counts = np.array([r.n for r in often], dtype=np.int64)
@@ -230,41 +239,56 @@ def _prefixes(docs: DataFrame, survey: DataFrame, width: int, threshold: int) ->
                 sizes = np.array([len(t) for t in found])
                 took = [t[: prefix_length(len(t), threshold)] if len(t) else t for t in found]
                 repeat = np.array([len(t) for t in took])
+                places = np.concatenate([np.arange(len(t)) for t in took])
+                reach = 100 * np.repeat(sizes, repeat) - (100 + threshold) * (places - ENOUGH + 1)
                 columns = [
                     part.column(0).cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(took)), repeat))),
                     pa.array(np.repeat(sizes, repeat).astype(np.int64)),
                     pa.array(np.repeat(keys, repeat)),
                     pa.array(_signed(np.concatenate(took))),
+                    pa.array(reach.astype(np.int64)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "token"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "token", "reach"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, key bigint, token bigint, reach bigint")
+
+
+def _shared(rows: DataFrame, by: str) -> DataFrame:
+    """Rows (token, least, most): tokens that several values of ``by`` hold, their smallest set and longest reach."""
+    several = rows.groupBy("token").agg(
+        F.min(by).alias("low"), F.max(by).alias("high"), F.min("n").alias("least"), F.max("reach").alias("most")
+    )
+    return several.where("low <> high").select("token", "least", "most")
+
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, key bigint, token bigint")
+def _in_reach(rows: DataFrame, shared: DataFrame, threshold: int) -> DataFrame:
+    """Rows whose token some set of fitting size holds early enough."""
+    near = (F.col("least") * threshold <= F.col("reach")) & (F.col("n") * threshold <= F.col("most"))
+    return rows.join(shared, "token").where(near).drop("least", "most")
 
 
-def _matrix(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (token, key, doc_id, n) for tokens that several sets hold in their prefixes; each set speaks once."""
-    shared = prefixes.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    shared = keep(shared.select("token"))
+def _matrix(prefixes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Rows (token, key, doc_id, n, reach) for tokens that several sets hold in their prefixes; each set speaks once."""
+    shared = keep(_shared(prefixes, "key"))
     held = member_filter(shared, "token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chosen = may_hold(held, [batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5)])
-            yield batch.filter(pa.array(chosen)).select([0, 1, 2, 3])
+            chosen = may_hold(held, [batch.column(k).to_numpy(zero_copy_only=False) for k in (5, 6)])
+            yield batch.filter(pa.array(chosen)).select([0, 1, 2, 3, 4])
 
-    placed = prefixes.select("doc_id", "n", "key", "token", *[p.alias(f"p{k}") for k, p in enumerate(filter_places("token"))])
-    rows = placed.mapInArrow(run, "doc_id bigint, n bigint, key bigint, token bigint").distinct()
+    placed = prefixes.select("doc_id", "n", "key", "token", "reach", *[p.alias(f"p{k}") for k, p in enumerate(filter_places("token"))])
+    rows = placed.mapInArrow(run, "doc_id bigint, n bigint, key bigint, token bigint, reach bigint").distinct()
     speaks = sets.select(F.col("key").alias("set"), F.col("doc_id").alias("by"))
     rows = rows.join(speaks, (F.col("key") == F.col("set")) & F.col("doc_id").eqNullSafe(F.col("by")), "left_semi")
-    return keep(rows.join(shared, "token", "left_semi").select("token", "key", "doc_id", "n"))
+    return keep(_in_reach(rows, shared, threshold).select("token", "key", "doc_id", "n", "reach"))
 
 
-def _placed(matrix: DataFrame, parts: DataFrame) -> DataFrame:
+def _placed(matrix: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
     """The matrix with the ``part`` of each set, for tokens that several parts hold."""
     rows = matrix.join(parts, F.col("key") == F.col("vertex"), "left").withColumn("part", F.coalesce("component", "key"))
-    rows = keep(rows.select("token", "key", "doc_id", "n", "part"))
-    several = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    return keep(rows.join(several.select("token"), "token", "left_semi"))
+    rows = keep(rows.select("token", "key", "doc_id", "n", "reach", "part"))
+    return keep(_in_reach(rows, _shared(rows, "part"), threshold))
 
 
 def _groups(matrix: DataFrame) -> DataFrame:
@@ -306,15 +330,16 @@ def _last_links(docs: DataFrame, matrix: DataFrame, width: int, threshold: int)
     """Edges between parts: matrix rows name groups to be opened."""
     members = _groups(matrix)
     rows = matrix.join(members.select("key", "group"), "key")
-    union = rows.groupBy("token", "part", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    union = rows.groupBy("token", "part", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"))
     one, two = matrix.alias("q"), union.alias("g")
-    near = (F.col("g.low") * threshold <= F.col("q.n") * 100) & (F.col("g.high") * 100 >= F.col("q.n") * threshold)
+    near = (F.col("g.low") * threshold <= F.col("q.reach")) & (F.col("q.n") * threshold <= F.col("g.reach"))
     pairs = one.join(two, (F.col("q.token") == F.col("g.token")) & (F.col("q.part") > F.col("g.part")) & near)
     bounds = pairs.groupBy(F.col("q.key").alias("key"), F.col("g.group").alias("group")).agg(
         F.first("q.doc_id").alias("doc_id"), F.first("q.part").alias("part"), F.first("q.n").alias("n"),
         F.count("*").alias("shared"), F.min("g.low").alias("low"), F.max("g.high").alias("high"),
     )
-    return _open(docs, members, bounds.where(_enough(threshold)).select("key", "doc_id", "part", "group"), width, threshold)
+    bounds = bounds.where(_enough(threshold) | (F.col("shared") >= ENOUGH))
+    return _open(docs, members, bounds.select("key", "doc_id", "part", "group"), width, threshold)
 
 
 def _linked(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
@@ -323,7 +348,8 @@ def _linked(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, Dat
     rows = survey.where("kind = 0").drop("kind")
     sets = keep(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("token").alias("token")))
     edges = keep(_first_links(docs, sets, width, threshold))
-    matrix = _placed(_matrix(keep(_prefixes(docs, survey, width, threshold)), sets), components(edges))
+    matrix = _matrix(keep(_prefixes(docs, survey, width, threshold)), sets, threshold)
+    matrix = _placed(matrix, components(edges), threshold)
     if not matrix.isEmpty():
         edges = edges.union(_last_links(docs, matrix, width, threshold))
     return rows.drop("token"), edges

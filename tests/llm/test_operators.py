@@ -337,6 +337,62 @@ def test_jaccard_cluster_over_many_parts(spark, monkeypatch):
     assert got == {i: find(i) for i in sets}
 
 
+def _components_of(sets, threshold):
+    """The smallest id that each set reaches by links, by comparing all pairs."""
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in sets:
+        for j in range(i):
+            if sets[j] and 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                one, two = sorted((find(i), find(j)))
+                root[two] = one
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("enough", [1, 2, 4])
+def test_jaccard_at_the_threshold(spark, monkeypatch, enough):
+    """Pairs of many sizes at, just above and just below the threshold, in groups of three sets."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 3)
+    monkeypatch.setattr(jaccard_join, "ENOUGH", enough)
+    rng = random.Random(enough)
+    rows = []
+    for k in range(60):
+        n = rng.randrange(10, 60)
+        m = n + rng.randrange(n // 6 + 1)
+        # Of 100 * shared >= 85 * (n + m - shared) the last count that links, and the first that does not.
+        shared = min(n, -(-85 * (n + m) // 185) - k % 2)
+        # Common words are shared by pairs of other ks too, in part of the cases.
+        pool = [f"common{i}" for i in range(70)] if k % 3 == 0 else [f"k{k}w{i}" for i in range(70)]
+        words = rng.sample(pool, shared)
+        one = words + [f"k{k}a{i}" for i in range(n - shared)]
+        two = words + [f"k{k}b{i}" for i in range(m - shared)]
+        for text in (one, two):
+            rng.shuffle(text)
+            rows.append((len(rows), " ".join(text)))
+    sets = {i: set(t.split()) for i, t in rows}
+    want = _components_of(sets, 85)
+    assert 20 <= sum(i != c for i, c in want.items()) <= 60
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame, width=1).collect()} == want
+
+
+def test_jaccard_similar_texts_that_do_not_link(spark):
+    """Texts around one passage that stay below the threshold leave the matrix before they could meet in pairs."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"d{i}w{j}" for j in range(8))) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    survey = jaccard_join._survey(frame, 4)
+    sets = survey.where("kind = 0 AND n > 0").select("key", "doc_id", "token")
+    prefixes = jaccard_join._prefixes(frame, survey, 4, 85)
+    shared = prefixes.groupBy("token").count().where("count = 300").count()
+    assert shared > 0
+    assert jaccard_join._matrix(prefixes, sets, 85).count() == 0
+    assert all(r.doc_id == r.component_id for r in jaccard_join.jaccard_components(frame).collect())
+
+
 def test_jaccard_width_and_threshold(spark):
     """Near copies at 5-word Jaccard from 0.80 on go in the pipeline's stage; op8 keeps 4 words and 0.85."""
     import corpus_pipeline
