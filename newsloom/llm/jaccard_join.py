@@ -253,23 +253,10 @@ def _prefixes(docs: DataFrame, survey: DataFrame, width: int, threshold: int) ->
     return docs.mapInArrow(run, "doc_id bigint, n bigint, key bigint, token bigint, reach bigint")
 
 
-def _shared(rows: DataFrame, by: str) -> DataFrame:
-    """Rows (token, least, most): tokens that several values of ``by`` hold, their smallest set and longest reach."""
-    several = rows.groupBy("token").agg(
-        F.min(by).alias("low"), F.max(by).alias("high"), F.min("n").alias("least"), F.max("reach").alias("most")
-    )
-    return several.where("low <> high").select("token", "least", "most")
-
-
-def _in_reach(rows: DataFrame, shared: DataFrame, threshold: int) -> DataFrame:
-    """Rows whose token some set of fitting size holds early enough."""
-    near = (F.col("least") * threshold <= F.col("reach")) & (F.col("n") * threshold <= F.col("most"))
-    return rows.join(shared, "token").where(near).drop("least", "most")
-
-
-def _matrix(prefixes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _matrix(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows (token, key, doc_id, n, reach) for tokens that several sets hold in their prefixes; each set speaks once."""
-    shared = keep(_shared(prefixes, "key"))
+    shared = prefixes.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    shared = keep(shared.select("token"))
     held = member_filter(shared, "token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,14 +268,18 @@ def _matrix(prefixes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     rows = placed.mapInArrow(run, "doc_id bigint, n bigint, key bigint, token bigint, reach bigint").distinct()
     speaks = sets.select(F.col("key").alias("set"), F.col("doc_id").alias("by"))
     rows = rows.join(speaks, (F.col("key") == F.col("set")) & F.col("doc_id").eqNullSafe(F.col("by")), "left_semi")
-    return keep(_in_reach(rows, shared, threshold).select("token", "key", "doc_id", "n", "reach"))
+    return keep(rows.join(shared, "token", "left_semi").select("token", "key", "doc_id", "n", "reach"))
 
 
 def _placed(matrix: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
-    """The matrix with the ``part`` of each set, for tokens that several parts hold."""
+    """The matrix with the ``part`` of each set, for tokens that several parts hold, some set of fitting size early enough."""
     rows = matrix.join(parts, F.col("key") == F.col("vertex"), "left").withColumn("part", F.coalesce("component", "key"))
     rows = keep(rows.select("token", "key", "doc_id", "n", "reach", "part"))
-    return keep(_in_reach(rows, _shared(rows, "part"), threshold))
+    several = rows.groupBy("token").agg(
+        F.min("part").alias("first"), F.max("part").alias("last"), F.min("n").alias("least"), F.max("reach").alias("most")
+    )
+    near = (F.col("least") * threshold <= F.col("reach")) & (F.col("n") * threshold <= F.col("most"))
+    return keep(rows.join(several.where("first <> last"), "token").where(near).select(*rows.columns))
 
 
 def _groups(matrix: DataFrame) -> DataFrame:
@@ -348,7 +339,7 @@ def _linked(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, Dat
     rows = survey.where("kind = 0").drop("kind")
     sets = keep(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("token").alias("token")))
     edges = keep(_first_links(docs, sets, width, threshold))
-    matrix = _matrix(keep(_prefixes(docs, survey, width, threshold)), sets, threshold)
+    matrix = _matrix(keep(_prefixes(docs, survey, width, threshold)), sets)
     matrix = _placed(matrix, components(edges), threshold)
     if not matrix.isEmpty():
         edges = edges.union(_last_links(docs, matrix, width, threshold))
