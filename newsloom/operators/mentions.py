@@ -119,35 +119,23 @@ def catalog_extractor(rules: list[tuple[str, str]]) -> EntityExtractor:
     return extract
 
 
-def catalog_spans(articles: DataFrame, rules: DataFrame, *, text_column: str = "filtered_content") -> DataFrame:
+def catalog_spans(
+    articles: DataFrame, rules: DataFrame, *, text_column: str = "filtered_content", overlapping: bool = False
+) -> DataFrame:
     """The spans of a catalog of any size: rows as :func:`extract_spans` gives them, score 1.
 
-    ``rules``: alias and label. Spans of one alias don't overlap each other; those of
-    different aliases, such as a name inside a longer one, all count.
+    ``rules``: alias and label. Spans of one alias don't overlap each other unless ``overlapping``;
+    those of different aliases, such as a name inside a longer one, all count. A text is read once
+    and its spans leave with their own text, so neither texts nor spans are gathered by article.
     """
-    known = phrases.dictionary(rules.select("alias", "label").distinct())
-    found = phrases.find(articles, known, text_column=text_column).select("id", "folded", "starts", "label").distinct()
-    joined = phrases.with_found(articles, found, ["folded", "label"], text_column).filter(F.col("found").isNotNull())
-    schema = keyed_schema(articles, SPANS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            for key, value, places in rows:
-                for p in phrases.apart(places, lambda p: (p["folded"], p["label"])):
-                    end = p["start"] - p["less"]
-                    piece = value[p["start"] : end]
-                    row = (key, p["label"], piece, 1.0, p["start"], end)
-                    for column, cell in zip(columns, row, strict=True):
-                        column.append(cell)
-            out = pa.schema(
-                [("id", batch.schema.field(0).type), ("label", pa.string()), ("text", pa.string()), ("score", pa.float64()),
-                 ("start", pa.int32()), ("end", pa.int32())]
-            )
-            yield _column_batch(out, columns)
-
-    return _with_forms(joined.mapInArrow(run, schema))
+    known = phrases.dictionary(rules.select("alias", "label")).select("folded", "first", "tokens", "label").distinct()
+    found = phrases.find(articles, known, text_column=text_column, overlapping=overlapping, pieces=True)
+    placed = found.select("id", "label", F.inline(F.arrays_zip(F.col("starts").alias("start"), F.col("pieces").alias("text"))))
+    return _with_forms(
+        placed.select(
+            "id", "label", "text", F.lit(1.0).alias("score"), "start", (F.col("start") + F.length("text")).alias("end")
+        )
+    )
 
 
 def _with_forms(spans: DataFrame) -> DataFrame:

@@ -5,15 +5,17 @@ that the dictionary has, whose first token and whole text pass membership filter
 of fixed size. Only these reach the join, a row per article and distinct run, so
 a phrase that most articles hold is one short row of each, and Spark splits it if
 it is hot. The filters let some wrong runs pass, never stop a right one, and the
-join compares the text itself: the result is exact for any dictionary.
+join compares the text itself: the result is exact for any dictionary. A dictionary
+of up to ``BROADCAST_BYTES`` is broadcast for it, so that its rows stay where they are.
 
 What is collected to the driver is bounded: two bitmaps of ``FILTER_BITS`` bits, and the
-distinct token counts of the phrases.
+distinct token counts of the phrases. Workers hold one article's runs at a time and pass
+rows on in batches of ``ROWS``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,10 @@ from newsloom.operators import matching
 #: Bits of each membership filter (2 MB).
 FILTER_BITS = 1 << 24
 _WORD_BITS = 63
+#: Size of a dictionary, estimated by its texts, that is broadcast for the join.
+BROADCAST_BYTES = 32 << 20
+#: Rows that a worker collects before it passes them on.
+ROWS = 4096
 #: Tokens whose filter answer a worker remembers.
 _REMEMBERED = 200_000
 
@@ -55,8 +61,8 @@ def dictionary(phrases: DataFrame, phrase: str = "alias") -> DataFrame:
 class Filters:
     """Membership of first tokens and of whole phrases, and the token counts that occur."""
 
-    def __init__(self, bits: np.ndarray, size: int, counts: list[int]):
-        self.bits, self.size, self.counts = bits, size, counts
+    def __init__(self, bits: np.ndarray, size: int, counts: list[int], volume: int = 0):
+        self.bits, self.size, self.counts, self.volume = bits, size, counts, volume
         self.seen: dict[str, bool] = {}
 
     @classmethod
@@ -68,19 +74,24 @@ class Filters:
 
         # The hash of the workers; that it has a sign here doesn't matter to a power of two.
         place = F.pmod(F.xxhash64("b.text"), F.lit(FILTER_BITS))
-        placed = known.select(F.explode(F.array(entry(0, "first"), entry(1, "folded"))).alias("b"), "tokens").select(
-            "b.kind", place.alias("at"), "tokens"
-        )
+        # About the bytes of a row in a broadcast table: its phrase, its other values and the row itself.
+        weight = 2 * F.octet_length("folded") + 100
+        placed = known.select(
+            F.explode(F.array(entry(0, "first"), entry(1, "folded"))).alias("b"), "tokens", weight.alias("weight")
+        ).select("b.kind", place.alias("at"), "tokens", "weight")
         words = placed.groupBy("kind", F.expr(f"at DIV {_WORD_BITS}").alias("word")).agg(
             F.bit_or(F.expr(f"shiftleft(1L, CAST(at % {_WORD_BITS} AS INT))")).alias("bits"),
             F.collect_set("tokens").alias("tokens"),
+            F.sum("weight").alias("weight"),
         )
         held = np.zeros((2, FILTER_BITS // _WORD_BITS + 1), dtype=np.int64)
         counts: set[int] = set()
+        volume = 0
         for row in words.collect():
             held[row["kind"], row["word"]] = row["bits"]
             counts.update(row["tokens"])
-        return cls(held, FILTER_BITS, sorted(counts))
+            volume += row["weight"] * row["kind"]
+        return cls(held, FILTER_BITS, sorted(counts), volume)
 
     def has(self, kind: int, text: str) -> bool:
         place = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed=42) % self.size
@@ -119,46 +130,74 @@ class Filters:
         return found
 
 
-def find(articles: DataFrame, known: DataFrame, *, text_column: str = "content") -> DataFrame:
+def find(
+    articles: DataFrame, known: DataFrame, *, text_column: str = "content", overlapping: bool = True, pieces: bool = False
+) -> DataFrame:
     """(``id``, ``starts``, and all columns of ``known``) for each article and phrase in it.
 
-    ``known`` comes from :func:`dictionary`. ``starts`` are all whole-word places, in order.
+    ``known`` comes from :func:`dictionary`. ``starts`` are the whole-word places, in order:
+    all of them, or from left to right those that don't overlap. With ``pieces`` the text at
+    each place comes along, as it is written there.
     """
     filters = Filters.of(known)
     shared = articles.sparkSession.sparkContext.broadcast((filters.bits, filters.size, filters.counts))
-    kind = articles.schema["id"].dataType
-    schema = T.StructType(
-        [T.StructField("id", kind), T.StructField("folded", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))]
-    )
+    fields = [
+        T.StructField("id", articles.schema["id"].dataType),
+        T.StructField("folded", T.StringType()),
+        T.StructField("starts", T.ArrayType(T.IntegerType())),
+        *([T.StructField("pieces", T.ArrayType(T.StringType()))] if pieces else []),
+    ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Filters(*shared.value)
         for batch in batches:
-            ids, runs, starts = [], [], []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for folded, places in mine.runs(value or "").items():
-                    ids.append(key)
-                    runs.append(folded)
-                    starts.append(places)
-            columns = [pa.array(ids, batch.schema.field(0).type), pa.array(runs, pa.string()), pa.array(starts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "folded", "starts"])
+            out = pa.schema(
+                [("id", batch.schema.field(0).type), ("folded", pa.string()), ("starts", pa.list_(pa.int32()))]
+                + ([("pieces", pa.list_(pa.string()))] if pieces else [])
+            )
+            columns: list[list] = [[] for _ in out]
+            for at in range(batch.num_rows):
+                key, value = batch.column(0)[at].as_py(), batch.column(1)[at].as_py() or ""
+                for folded, places in mine.runs(value).items():
+                    size = len(folded)
+                    kept = places if overlapping else _apart(places, size)
+                    row = (key, folded, kept, [value[p : p + size] for p in kept] if pieces else None)
+                    for column, cell in zip(columns, row, strict=False):
+                        column.append(cell)
+                if len(columns[0]) >= ROWS:
+                    yield record_batch(out, columns)
+                    columns = [[] for _ in out]
+            yield record_batch(out, columns)
+
+    held = F.broadcast(known) if filters.volume <= BROADCAST_BYTES else known
+    return articles.select("id", text_column).mapInArrow(run, T.StructType(fields)).join(held, "folded")
+
+
+def _apart(places: list[int], size: int) -> list[int]:
+    """From left to right the places whose runs of ``size`` don't overlap."""
+    kept: list[int] = []
+    for place in places:
+        if not kept or place >= kept[-1] + size:
+            kept.append(place)
+    return kept
+
 
-    return articles.select("id", text_column).mapInArrow(run, schema).join(known, "folded")
+def record_batch(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def with_found(articles: DataFrame, found: DataFrame, columns: list[str], text_column: str) -> DataFrame:
     """Articles (id, text) with ``found``: the article's own places, from left to right, longest and smallest first."""
-    place = F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), (-F.length("folded")).alias("less"), *columns)))
+    place = F.transform("starts", lambda s: F.struct(s.alias("start"), (-F.length("folded")).alias("less"), *columns))
     # A list per article, bounded by the article's own words.
-    grouped = found.select("id", place.alias("p")).groupBy("id").agg(F.array_sort(F.collect_list("p")).alias("found"))
+    grouped = found.select("id", place.alias("p")).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("found"))
     return articles.select("id", text_column).join(grouped, "id", "left")
 
 
-def apart(places: list, key: Callable | None = None) -> Iterator:
-    """Of places (start, less, ...) in order those that begin behind the last taken one (of the same ``key``)."""
-    ends: dict = {}
+def apart(places: list) -> Iterator:
+    """Of places (start, less, ...) in order those that begin behind the last taken one."""
+    done = 0
     for place in places:
-        group = key(place) if key else None
-        if place["start"] >= ends.get(group, 0):
-            ends[group] = place["start"] - place["less"]
+        if place["start"] >= done:
+            done = place["start"] - place["less"]
             yield place

@@ -133,7 +133,7 @@ def phrase_spans(room: Newsroom) -> DataFrame:
         )
         rules = some if rules is None else rules.unionByName(some)
     documents = room.table("documents").select(F.col("doc_id").alias("id"), "text")
-    spans = mentions.catalog_spans(documents, rules, text_column="text")
+    spans = mentions.catalog_spans(documents, rules, text_column="text", overlapping=True)
     return spans.select(F.col("id").alias("doc_id"), "label", "text", F.col("start").cast("bigint").alias("start"))
 
 

@@ -181,3 +181,29 @@ def test_alias_conflicts_and_last_owner(spark, clubs):
     assert [(r["alias_key"], r["owners"]) for r in conflict] == [("man city", 2)]
     rules = {r["alias"]: r["canonical_name"] for r in catalog.rewrite_rules(both).collect()}
     assert rules["Man City"] == "Manchester Twin"
+
+
+def test_overlapping_places_of_one_phrase(spark):
+    articles = spark.createDataFrame([("a", "the the The x")], "id string, content string")
+    rules = spark.createDataFrame([("the the", "CLUB")], "alias string, label string")
+    for overlapping, expected in ((False, [(0, 7, "the the")]), (True, [(0, 7, "the the"), (4, 11, "the The")])):
+        found = mentions.catalog_spans(articles, rules, text_column="content", overlapping=overlapping).collect()
+        assert sorted((r["start"], r["end"], r["text"]) for r in found) == expected
+
+
+def test_spans_need_no_shuffle_of_texts_and_small_batches(spark, monkeypatch):
+    articles = spark.createDataFrame([(i, "Ab cd ab") for i in range(50)], "id int, content string")
+    rules = spark.createDataFrame([("ab", "CLUB"), ("AB", "CLUB"), ("ab", "COACH"), ("cd", "CLUB")], "alias string, label string")
+    monkeypatch.setattr(phrases, "ROWS", 3)
+    monkeypatch.setattr(aliases, "ARTICLES", 3)
+    for size in (32 << 20, 0):  # broadcast, and joined by a shuffle
+        monkeypatch.setattr(phrases, "BROADCAST_BYTES", size)
+        found = mentions.catalog_spans(articles, rules, text_column="content")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "collect_list" not in plan
+        assert ("strategy=broadcast" in plan) == bool(size)
+        rows = sorted((r["id"], r["label"], r["start"], r["end"], r["text"]) for r in found.collect())
+        one = [("CLUB", 0, 2, "Ab"), ("CLUB", 3, 5, "cd"), ("CLUB", 6, 8, "ab"), ("COACH", 0, 2, "Ab"), ("COACH", 6, 8, "ab")]
+        assert rows == [(i, *s) for i in range(50) for s in one]
+        done = aliases.rewrite_aliases(articles, rules.select("alias", F.lit("Z").alias("canonical_name")))
+        assert {(r.id, r.filtered_content) for r in done.collect()} == {(i, "Z Z Z") for i in range(50)}
