@@ -36,9 +36,10 @@ def _sequence() -> Column:
     return F.struct("window_start", F.col("id").alias("summary"))
 
 
-def entity_changes(summaries: DataFrame, catalog: DataFrame) -> DataFrame:
+def entity_changes(summaries: DataFrame, catalog: DataFrame, *, repeats: bool = False) -> DataFrame:
+    """Entity rows of the summaries; with ``repeats`` an alias listed twice in the catalog stays twice."""
     known = catalog.select(
-        F.col("id").alias("entity_id"), text.alias_values(F.col("aliases")).alias("aliases")
+        F.col("id").alias("entity_id"), text.alias_values(F.col("aliases"), repeats=repeats).alias("aliases")
     )
     kind = F.coalesce("entity_type", F.lit("CLUB"))
     return summaries.join(known, "entity_id", "left").select(
@@ -65,12 +66,12 @@ def article_changes(
 ) -> DataFrame:
     """Read-model rows of the listed articles; ids without metadata give none."""
     wanted = positions.groupBy(F.col("article_id").alias("id")).agg(F.min("seq").alias("seq"))
-    texts = contents.select("id", "content", "filtered_content")
+    # The stored text is chosen before the join: one text moves, and only of the listed articles.
+    stored = F.coalesce(text.present(F.col("filtered_content")), text.present(F.col("content")))
+    texts = contents.select("id", stored.alias("stored_text"))
     joined = metadata.join(wanted, "id").join(texts, "id", "left")
     title = F.coalesce("title", F.lit("Untitled"))
-    body = text.article_body(
-        F.col("filtered_content"), F.col("content"), F.col("description"), F.col("title")
-    )
+    body = text.article_body(F.col("stored_text"), F.lit(None), F.col("description"), F.col("title"))
     return joined.select(
         "id",
         title.alias("title"),
@@ -116,9 +117,11 @@ def publish(
     metadata: DataFrame,
     contents: DataFrame,
     now: Column,
+    *,
+    repeats: bool = False,
 ) -> ReadModel:
     """All given summaries at once; publishing them again changes nothing."""
-    entities, entity_map = upsert.entities(model.entities, entity_changes(summaries, catalog))
+    entities, entity_map = upsert.entities(model.entities, entity_changes(summaries, catalog, repeats=repeats))
     positions = article_positions(summaries)
     articles, article_map = upsert.source_articles(
         model.articles, article_changes(positions, metadata, contents, now)
@@ -146,11 +149,11 @@ def mark_published(summaries: DataFrame, published: DataFrame, now: Column) -> D
 
 
 def active_entities(
-    metadata: DataFrame, mentions: DataFrame, catalog: DataFrame, now: datetime
+    metadata: DataFrame, mentions: DataFrame, catalog: DataFrame, now: datetime, *, repeats: bool = False
 ) -> DataFrame:
     """Popularity rows with slug and aliases, ready for the upsert."""
     known = catalog.select(
-        F.col("id").alias("entity_id"), text.alias_values(F.col("aliases")).alias("aliases")
+        F.col("id").alias("entity_id"), text.alias_values(F.col("aliases"), repeats=repeats).alias("aliases")
     )
     counted = counts.popularity(metadata, mentions, catalog, now)
     return counted.join(known, "entity_id", "left").select(
@@ -165,10 +168,11 @@ def active_entities(
 
 
 def refresh_popularity(
-    model: ReadModel, metadata: DataFrame, mentions: DataFrame, catalog: DataFrame, now: datetime
+    model: ReadModel, metadata: DataFrame, mentions: DataFrame, catalog: DataFrame, now: datetime, *,
+    repeats: bool = False,
 ) -> ReadModel:
     refreshed, _ = upsert.popularity(
-        model.entities, active_entities(metadata, mentions, catalog, now)
+        model.entities, active_entities(metadata, mentions, catalog, now, repeats=repeats)
     )
     return ReadModel(refreshed, model.articles, model.items, model.item_articles)
 

@@ -193,7 +193,7 @@ class Newsroom:
 
     def _catalog(self) -> DataFrame:
         owners = self._owners()
-        values = F.filter(F.array(F.upper("name"), "second_name"), lambda v: v != "")
+        values = F.filter(F.array(text.upper(F.col("name")), "second_name"), lambda v: v != "")
         aliases = F.transform(
             values,
             lambda v: F.struct(
