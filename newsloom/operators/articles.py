@@ -29,16 +29,21 @@ def with_filtered(contents: DataFrame, filtered: DataFrame) -> DataFrame:
 
 def with_text(metadata: DataFrame, contents: DataFrame) -> DataFrame:
     """Articles with their texts: content falls back to the title, filtered to content."""
-    texts = contents.select("id", "content", "filtered_content")
-    joined = metadata.select("id", "title", "crawl_date").join(texts, "id", "left")
-    content = F.coalesce(text.present(F.col("content")), F.coalesce("title", F.lit("")))
-    return joined.select(
+    content = text.present(F.col("content"))
+    # Each text is chosen before the join, so that a caller of one moves one.
+    texts = contents.select(
         "id",
-        F.coalesce("title", F.lit("")).alias("title"),
-        "crawl_date",
         content.alias("content"),
         F.coalesce(text.present(F.col("filtered_content")), content).alias("filtered_content"),
     )
+    title = F.coalesce("title", F.lit(""))
+    return metadata.select("id", "title", "crawl_date").join(texts, "id", "left").select(
+        "id",
+        title.alias("title"),
+        "crawl_date",
+        F.coalesce("content", title).alias("content"),
+        F.coalesce("filtered_content", title).alias("filtered_content"),
+    )
 
 
 def identify(candidates: DataFrame, *, idna: bool = True) -> DataFrame:

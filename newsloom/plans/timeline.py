@@ -161,8 +161,11 @@ def summarize(
     scanned = in_range(articles, F.lit(start), F.lit(end))
     texts = article_ops.with_text(scanned, contents)
     ranked = ranked_articles(pairs.drop("id"), texts)
-    shown = texts.select(F.col("id").alias("article_id"), "title", "content")
-    lists = article_lists(ranked.join(shown, "article_id"), extra=("title", "content"))
+    # The template names titles alone; only a generator is shown the texts.
+    extra = ("title",) if generator is None else ("title", "content")
+    source = scanned.select("id", F.coalesce("title", F.lit("")).alias("title")) if generator is None else texts
+    shown = source.select(F.col("id").alias("article_id"), *extra)
+    lists = article_lists(ranked.join(shown, "article_id"), extra=extra)
     if generator is None:
         answered = with_summary_id(lists).withColumn(
             "response", template_response(F.col("canonical_name"), F.col("chosen"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from newsloom import schemas
 from newsloom.functions import identity, text
+from newsloom.operators import upsert
 from newsloom.plans import publish as publishing
 from newsloom.plans import timeline
 from newsloom.plans.publish import ReadModel
@@ -35,6 +36,18 @@ TEXT_TABLES = ("documents", "pages", "conversations")
 _written: dict[tuple[str, str, str], str] = {}
 
 
+class StoredModel:
+    """A stored read model: each table is built when it is first asked for."""
+
+    def __init__(self, **tables: Callable[[], DataFrame]) -> None:
+        self._tables = tables
+
+    entities = property(lambda self: self._tables["entities"]())
+    articles = property(lambda self: self._tables["articles"]())
+    items = property(lambda self: self._tables["items"]())
+    item_articles = property(lambda self: self._tables["item_articles"]())
+
+
 class Newsroom:
     """Driver tables of one folder and the collections derived from them."""
 
@@ -64,7 +77,9 @@ class Newsroom:
 
     @property
     def contents(self) -> DataFrame:
-        return self._stored("news_content", self._contents)
+        """Texts by article; the rewritten text, where there is one, equals the text, which is stored once."""
+        stored = self._stored("news_content", self._contents)
+        return stored.select("id", "content", F.when(F.col("rewritten"), F.col("content")).alias("filtered_content"))
 
     @property
     def catalog(self) -> DataFrame:
@@ -79,36 +94,40 @@ class Newsroom:
         return self._stored("entity_timeline_summaries", self._summaries)
 
     @property
-    def model(self) -> ReadModel:
+    def model(self) -> StoredModel:
         """The published read model after a popularity refresh at ``NOW``."""
         published = self.published
-        entities = self._stored(
-            "entities",
-            lambda: publishing.refresh_popularity(
-                published, self.articles, self.mentions, self.catalog, NOW
-            ).entities,
+        return StoredModel(
+            entities=lambda: self._stored("entities", self.refreshed_entities),
+            articles=lambda: published.articles,
+            items=lambda: published.items,
+            item_articles=lambda: published.item_articles,
         )
-        return ReadModel(entities, published.articles, published.items, published.item_articles)
 
     @property
-    def published(self) -> ReadModel:
+    def published(self) -> StoredModel:
         names = ("entities", "articles", "items", "item_articles")
         built: list[ReadModel] = []
 
-        def part(name: str) -> DataFrame:
+        def part(name: str) -> Callable[[], DataFrame]:
             def build() -> DataFrame:
                 if not built:
                     built.append(
                         publishing.publish(
                             self.empty_model(), self.summaries, self.catalog, self.articles,
-                            self.contents, self.run_time,
+                            self.contents, self.run_time, repeats=True,
                         )
                     )
                 return getattr(built[0], name)
 
-            return self._stored(f"published_{name}", build)
+            return lambda: self._stored(f"published_{name}", build)
+
+        return StoredModel(**{n: part(n) for n in names})
 
-        return ReadModel(*[part(n) for n in names])
+    def refreshed_entities(self) -> DataFrame:
+        """The published entities after a popularity refresh at ``NOW``."""
+        active = publishing.active_entities(self.articles, self.mentions, self.catalog, NOW, repeats=True)
+        return upsert.popularity(self.published.entities, active)[0]
 
     @property
     def run_time(self) -> Column:
@@ -127,11 +146,15 @@ class Newsroom:
 
     # Derivations
 
-    def _articles(self) -> DataFrame:
-        path = F.concat(
+    @staticmethod
+    def _article_path() -> Column:
+        return F.concat(
             F.lit("https://www."), "source", F.lit(".example.com/"), "lang",
             F.lit("/articles/"), F.col("doc_id").cast("string"),
         )
+
+    def _articles(self) -> DataFrame:
+        path = self._article_path()
         minutes = F.col("doc_id") * 7919 % 43200
         crawled = F.timestamp_seconds(F.lit(int(FIRST_DAY.timestamp())) + minutes * 60)
         nothing = F.array().cast("array<string>")
@@ -161,14 +184,18 @@ class Newsroom:
 
     def _contents(self) -> DataFrame:
         """Texts of usable length; rewritten texts are missing for one language."""
-        texts = self.table("documents").filter("n_chars >= 40").select("doc_id", "text", "lang")
-        return texts.join(self.articles.select("id", "doc_id"), "doc_id").select(
-            "id",
+        texts = self.table("documents").filter("n_chars >= 40")
+        # The id follows from the document's own row: no text moves for it.
+        return texts.select(
+            identity.article_id(self._article_path()).alias("id"),
             F.col("text").alias("content"),
-            F.when(F.col("lang") != "es", F.col("text")).alias("filtered_content"),
+            (F.col("lang") != "es").alias("rewritten"),
         )
 
     def _owners(self) -> DataFrame:
+        return self._stored("owners", self._named_owners)
+
+    def _named_owners(self) -> DataFrame:
         segment = F.col("c_mktsegment")
         kind = (
             F.when(segment == "BUILDING", "CLUB")

@@ -215,3 +215,22 @@ def test_stored_popularity_equals_a_full_run(spark, collections):
     assert popularity_log.popularity(spark, root, catalog, NOW).count() == 0
     popularity_log.update(spark, root, articles.limit(0), rows)
     assert popularity_log.popularity(spark, f"{root}/none", catalog, NOW).count() == 0
+
+
+def test_repeated_aliases_stay_only_where_asked(spark):
+    from newsloom.functions import text
+
+    alias = F.array(*[F.struct(F.lit(v).alias("value")) for v in ("AFC", "AFC", "", "Gunners")])
+    row = spark.range(1).select(text.alias_values(alias).alias("once"), text.alias_values(alias, repeats=True).alias("all")).first()
+    assert row["once"] == ["AFC", "Gunners"] and row["all"] == ["AFC", "AFC", "Gunners"]
+
+
+def test_entities_are_served_without_building_articles(spark):
+    from newsloom.queries import bindings
+
+    bindings._written.clear()
+    room = bindings.Newsroom(spark, "/root/testdata/sf0.001")
+    assert room.model.entities.count() > 0
+    assert {name for _, _, name in bindings._written}.isdisjoint({"published_articles", "published_items", "published_item_articles"})
+    plan = room._contents()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
