@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.operators import matching
+from newsloom.session import spread
 
 #: Bits of each membership filter (2 MB).
 FILTER_BITS = 1 << 24
@@ -170,7 +171,7 @@ def find(
             yield record_batch(out, columns)
 
     held = F.broadcast(known) if filters.volume <= BROADCAST_BYTES else known
-    return articles.select("id", text_column).mapInArrow(run, T.StructType(fields)).join(held, "folded")
+    return spread(articles.select("id", text_column)).mapInArrow(run, T.StructType(fields)).join(held, "folded")
 
 
 def _apart(places: list[int], size: int) -> list[int]:
@@ -194,10 +195,10 @@ def with_found(articles: DataFrame, found: DataFrame, columns: list[str], text_c
     return articles.select("id", text_column).join(grouped, "id", "left")
 
 
-def apart(places: list) -> Iterator:
-    """Of places (start, less, ...) in order those that begin behind the last taken one."""
+def apart(starts: list[int], less: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Of places in order those that begin behind the last taken one: (number, start, end)."""
     done = 0
-    for place in places:
-        if place["start"] >= done:
-            done = place["start"] - place["less"]
-            yield place
+    for number, (start, shorter) in enumerate(zip(starts, less, strict=True)):
+        if start >= done:
+            done = start - shorter
+            yield number, start, done

@@ -22,7 +22,7 @@ from newsloom.plans import publish as publishing
 from newsloom.plans import timeline
 from newsloom.plans.publish import ReadModel
 from newsloom.queries.sql import LONG_WORD, SECOND_WORD
-from newsloom.session import shared_folder, spread
+from newsloom.session import SPREAD_BYTES, shared_folder, spread
 
 FIRST_DAY = datetime(2024, 1, 1, tzinfo=UTC)
 LAST_DAY = datetime(2024, 1, 31, tzinfo=UTC)
@@ -58,7 +58,7 @@ class Newsroom:
     def table(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         # Text work is heavy per byte and the local file of a table is one split.
-        return spread(table) if name in TEXT_TABLES else table
+        return spread(table, SPREAD_BYTES) if name in TEXT_TABLES else table
 
     def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.folder, name)

@@ -13,6 +13,7 @@ from newsloom.plans import ingest
 from newsloom.queries import sql
 from newsloom.queries.bindings import NOW, Newsroom
 from newsloom.queries.registry import register
+from newsloom.session import spread
 from newsloom.sources import events, feeds
 
 # Page URLs in the many spellings a crawler meets: upper-case scheme, default
@@ -424,7 +425,7 @@ def feed_documents(room: Newsroom) -> DataFrame:
         .when(form == 4, said("<rdf:RDF><channel rdf:about='f'><title>Feed</title></channel>", items, "</rdf:RDF>"))
         .otherwise(said("<rss version='2.0'><channel><title>Feed</title>", items, "</channel></rss>"))
     )
-    return room.table("documents").select(
+    return spread(room.table("documents").select("doc_id", "source", "lang", "text")).select(
         F.col("doc_id").alias("feed_id"), F.col("source").alias("source_name"),
         F.array(F.lit("example.com")).alias("allowed_domains"), payload.alias("payload"),
     )
