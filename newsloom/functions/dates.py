@@ -39,7 +39,7 @@ def _zone_minutes(zone: Column) -> Column:
     """Minutes east of UTC of ``+0200``, ``+02:00``, ``UTC+2``, ``EST`` or nothing."""
     table = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
     numeric = r"(?i)^(?:gmt|utc)?\s*([+-])(\d{1,2}):?(\d{2})?\b.*$"
-    number = lambda group: F.coalesce(F.regexp_extract(zone, numeric, group).try_cast("int"), F.lit(0))
+    number = lambda group: F.coalesce(text.present(F.regexp_extract(zone, numeric, group)).try_cast("int"), F.lit(0))
     minutes = number(2) * 60 + number(3)
     named = F.try_element_at(table, F.upper(F.regexp_extract(zone, r"^[A-Za-z]+", 0)))
     return F.when(zone.rlike(numeric), F.when(F.regexp_extract(zone, numeric, 1) == "-", -minutes).otherwise(minutes)).otherwise(
@@ -49,13 +49,14 @@ def _zone_minutes(zone: Column) -> Column:
 
 def _instant(parts: Column) -> Column:
     """The instant of year, month (number or name), day, hour, minute, second and zone."""
-    number = lambda i: parts[i].try_cast("int")
+    # A failed cast costs an exception each time, so names and empty parts are not cast.
+    number = lambda i: F.when(parts[i].rlike("^[0-9]"), parts[i]).try_cast("int")
     year = F.when(F.length(parts[0]) == 2, number(0) + F.when(number(0) < ERA, 2000).otherwise(1900)).otherwise(number(0))
     place = F.instr(F.lit(_MONTHS), F.lower(parts[1]))
     named = F.when((place > 0) & (place % 3 == 1), ((place + 2) / 3).cast("int"))
     month = F.coalesce(number(1), named)
     missing = lambda i, value: F.coalesce(number(i), F.lit(value))
-    second = F.coalesce(parts[5].try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+    second = F.coalesce(text.present(parts[5]).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
     local = F.try_make_timestamp(year, month, missing(2, 1), missing(3, 0), missing(4, 0), second)
     return F.timestamp_add("MINUTE", -_zone_minutes(parts[6]), local)
 

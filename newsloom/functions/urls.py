@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from newsloom import settings
 from newsloom.functions.binding import let
-from newsloom.functions.text import NON_ASCII, strip
+from newsloom.functions.text import NON_ASCII, present, strip
 
 # scheme, authority, path, query with its mark; the fragment is dropped.
 _PARTS = r"(?s)^(?i:(https?))://([^/?#]*)([^?#]*)(\?[^#]*)?(?:#.*)?$"
@@ -53,7 +53,7 @@ def _split(text: Column) -> Column:
         part(3).alias("path"),
         F.substr(part(4), F.lit(2)).alias("query"),
     )
-    return F.when(text.rlike(_PARTS), fields)
+    return F.when(part(1) != "", fields)  # a match has a scheme
 
 
 def _with_host(split: Column) -> Column:
@@ -65,7 +65,7 @@ def _with_host(split: Column) -> Column:
             F.contains(split["authority"], F.lit("@")).alias("credentials"),
             split["authority"].alias("authority"),
             F.when(matched, F.regexp_replace(host, r"[\[\]]", "")).alias("host"),
-            F.when(matched, F.regexp_extract(host_port, _HOST_PORT, 2))
+            F.when(matched, present(F.regexp_extract(host_port, _HOST_PORT, 2)))
             .try_cast("bigint")
             .alias("port"),
             split["path"].alias("path"),
@@ -85,10 +85,10 @@ def url_parts(url: Column) -> Column:
 
 
 def _valid_host(encoded: Column) -> Column:
-    """Host in ASCII without the trailing dot; null when it is not valid."""
+    """A lower-case host in ASCII without the trailing dot; null when it is not valid."""
     labels = F.split(F.regexp_replace(encoded, r"\.$", ""), r"\.", -1)
     valid = F.forall(labels, lambda x: F.length(x).between(1, 63)) & ~encoded.rlike(NON_ASCII)
-    return F.when(valid, F.rtrim(F.lower(encoded), F.lit(".")))
+    return F.when(valid, F.rtrim(encoded, F.lit(".")))
 
 
 def _located(url: Column, idna: bool, body: Callable[[Column, Column], Column]) -> Column:

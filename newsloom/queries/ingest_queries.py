@@ -380,7 +380,8 @@ def feed_documents(room: Newsroom) -> DataFrame:
     def escaped(value):
         for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
             value = F.replace(value, F.lit(mark), F.lit(entity))
-        return F.regexp_replace(value, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+        plain = F.regexp_replace(value, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+        return F.when(value.rlike(r"[\x00-\x1f]"), plain).otherwise(value)
 
     def said(*parts):
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])

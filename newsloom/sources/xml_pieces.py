@@ -68,7 +68,9 @@ def mended(xml: Column) -> Column:
     resolved = F.array_join(F.transform(F.split(xml, "&", -1), reference), "")
     odd = xml.rlike(rf"&(?!(?:{'|'.join(_XML_NAMES)});)")  # most texts have none
     bare = F.regexp_replace(F.when(odd, resolved).otherwise(xml), r"<(?![A-Za-z_/!?])", "&lt;")
-    return F.regexp_replace(bare, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]", "")
+    # References never resolve to a forbidden character, so the given text tells.
+    strange = xml.rlike(r"[\x00-\x1f]") | F.contains(xml, F.lit("\ufffe")) | F.contains(xml, F.lit("\uffff"))
+    return F.when(strange, F.regexp_replace(bare, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]", "")).otherwise(bare)
 
 
 def rebuilt(xml: Column, name: Column, fields: tuple[str, ...]) -> Column:
