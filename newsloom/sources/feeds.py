@@ -407,6 +407,10 @@ def fresh_feed_candidates(
     )
 
 
+#: What a text must hold to have records of a map: such a tag, or one that a comment or a CDATA mark cuts.
+_MAP_TAG = r"(?i)<(?:url|sitemap)[\s/>]|<[a-z]*<!"
+
+
 def source_candidates(sources: DataFrame, documents: DataFrame, rules: DataFrame, *, now: datetime,
                       max_days: int = settings.MAX_AGE_DAYS, limit: int | None = None) -> DataFrame:
     """Candidates of every source by its ``source_type``: feeds, sitemaps with their children, or listings.
@@ -414,17 +418,22 @@ def source_candidates(sources: DataFrame, documents: DataFrame, rules: DataFrame
     ``sources``: source_name, source_type (RSS, SITEMAP; any other is a listing), url,
     allowed_domains. ``documents``: url, payload. A source whose document was not
     fetched has no candidates.
+
+    All documents move once, to the sources that name them; feeds and listings go on
+    from there. Maps are read level by level, so only documents that can have records
+    of a map take part in that; among the others no map can have a candidate.
     """
     kind = F.upper(text.strip(F.coalesce("source_type", F.lit(""))))
     sources = sources.withColumn("source_type", kind)
     pages = documents.select("url", "payload").dropDuplicates(["url"])
-    feed = sources.filter(F.col("source_type") == "RSS").join(pages, "url").withColumnRenamed("url", "feed_id")
     roots = sources.filter(F.col("source_type") == "SITEMAP").select("source_name", "url")
+    feed = sources.filter(F.col("source_type") == "RSS").join(pages, "url").withColumnRenamed("url", "feed_id")
     listing = sources.filter(~F.col("source_type").isin("RSS", "SITEMAP")).join(pages, "url").select(
         F.col("url").alias("page_id"), "source_name", F.col("url").alias("base_url"),
         urls.url_host(F.col("url")).alias("domain"), F.col("payload").alias("html"),
     )
-    mapped, _ = sitemap_flow(roots, pages, rules, now=now, max_days=max_days, limit=limit)
+    maps = documents.filter(F.col("payload").rlike(_MAP_TAG)).select("url", "payload")
+    mapped, _ = sitemap_flow(roots, cut_lineage(maps), rules, now=now, max_days=max_days, limit=limit)
     return union_candidates(
         fresh_feed_candidates(feed, rules, now=now, max_days=max_days, limit=limit),
         mapped.withColumn("ordinal", F.try_element_at("path", F.lit(-1)).cast("bigint")),

@@ -396,3 +396,20 @@ def test_client_lookup_has_no_page_limit(spark):
          else F.array().cast(f.dataType) if f.name == "aliases" else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in empty.schema]))
     assert [r["id"] for r in serving.find_entity(table, "club", "united").collect()] == ["last"]
+
+
+def test_only_documents_that_can_be_maps_are_read_level_by_level(spark, monkeypatch):
+    sources = spark.createDataFrame(
+        [("F", "RSS", "f", ["example.com"]), ("M", "SITEMAP", "m", None)],
+        "source_name string, source_type string, url string, allowed_domains array<string>")
+    documents = spark.createDataFrame(
+        [("f", RSS), ("m", "<sitemapindex><SITEMAP><loc>n</loc></SITEMAP></sitemapindex>"),
+         ("n", "<urlset><u<!-- c -->rl><loc>https://x.org/1</loc></url></urlset>"), ("p", "<p>text</p>"), ("q", None)],
+        "url string, payload string")
+    rules = spark.createDataFrame([], "source_name string, include string, exclude string")
+    read, flow = [], feeds.sitemap_flow
+    monkeypatch.setattr(feeds, "sitemap_flow", lambda roots, maps, *a, **k: (read.append(maps), flow(roots, maps, *a, **k))[1])
+    rows = feeds.source_candidates(sources, documents, rules, now=NOW).collect()
+    assert sorted(r.url for r in rows if r.source_name == "M") == ["https://x.org/1"]
+    assert len([r for r in rows if r.source_name == "F"]) == 3
+    assert sorted(r.url for r in read[0].collect()) == ["m", "n"]
