@@ -40,14 +40,19 @@ def sliding_counts(buckets: DataFrame) -> DataFrame:
     """Articles per entity key in every 24-hour window ending on a 3-hour mark.
 
     A 24-hour window is eight whole buckets, so the eight-fold expansion runs on
-    bucket counts and never on articles. ``window_articles`` counts the articles
-    of the last bucket, the 3-hour window itself.
+    bucket counts and never on articles. The counts move to their entity key before
+    that, where all sums of an entity can be made: what is expanded is not shuffled,
+    and an entity has one row per bucket at most. ``window_articles`` counts the
+    articles of the last bucket, the 3-hour window itself.
     """
-    span = F.window("bucket", f"{settings.POPULARITY_HOURS} hours", f"{settings.WINDOW_HOURS} hours")
-    is_last = windows.window_end(F.col("bucket")) == F.col("span.end")
+    steps = F.sequence(F.lit(1), F.lit(settings.POPULARITY_HOURS // settings.WINDOW_HOURS))
+    ends = F.transform(steps, lambda k: F.timestamp_add("HOUR", k * settings.WINDOW_HOURS, F.col("bucket")))
+    is_last = windows.window_end(F.col("bucket")) == F.col("window_end")
     return (
-        buckets.withColumn("span", span)
-        .groupBy(F.col("span.end").alias("window_end"), *KEY)
+        buckets.filter(F.col("bucket").isNotNull())
+        .repartition(*KEY)
+        .withColumn("window_end", F.explode(ends))
+        .groupBy("window_end", *KEY)
         .agg(
             F.sum("articles").alias("mention_count"),
             F.coalesce(F.sum(F.when(is_last, F.col("articles"))), F.lit(0)).alias("window_articles"),
