@@ -47,11 +47,14 @@ def pairs_of(articles: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def _counted(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct articles and the last date, by ``by`` and each choice of mention name and type."""
+    """Distinct articles and the last date, by ``by`` and each choice of mention name and type.
+
+    Pairs move once, to their entity and ``by``; their four choices are made, made distinct and counted there.
+    """
     choice = F.explode(
         F.array(*[F.struct(F.lit(n).alias("by_name"), F.lit(t).alias("by_type")) for n in (False, True) for t in (False, True)])
     )
-    chosen = pairs.withColumn("c", choice).select(
+    chosen = pairs.repartition(*by, "entity_id").withColumn("c", choice).select(
         *by, "article_id", "crawl_date", "entity_id",
         F.when(F.col("c.by_name"), F.col("name")).alias("name"), F.when(F.col("c.by_type"), F.col("type")).alias("type"), "c.*",
     )

@@ -48,10 +48,12 @@ def entity_popularity(room: Newsroom) -> DataFrame:
 def popularity_increments(room: Newsroom) -> DataFrame:
     """The same figures from stored day counts, after three runs whose second is delivered twice."""
     root = f"{shared_folder(room.spark)}/newsloom/popularity-{uuid.uuid4().hex}"
-    slot = F.pmod(F.xxhash64("id"), F.lit(3))
-    for number in (0, 1, 1, 2):
-        mine = room.articles.filter(slot == number)
-        popularity_log.update(room.spark, root, mine, room.mentions)
+
+    def of_run(rows: DataFrame, id_: str, number: int) -> DataFrame:
+        return rows.filter(F.pmod(F.xxhash64(id_), F.lit(3)) == number)
+
+    for number in (0, 1, 1, 2):  # each run brings its articles with their own mentions
+        popularity_log.update(room.spark, root, of_run(room.articles, "id", number), of_run(room.mentions, "article_id", number))
     return popularity_log.popularity(room.spark, root, room.catalog, NOW)
 
 
