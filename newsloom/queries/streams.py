@@ -50,7 +50,11 @@ def _mention_stream(room: Newsroom, late: bool = False) -> DataFrame:
     placed = rows.withColumn("_slice", slice_)
     for number in range(SLICES + 2 * late):  # one after the other, so that the files' times order them
         some = placed.filter(F.col("_slice") == number).drop("_slice")
-        some.repartition(SLICE_FILES).write.parquet(f"{folder}/slice-{number}")
+        place = f"{folder}/slice-{number}"
+        some.coalesce(SLICE_FILES).write.parquet(place)
+        # Few or empty partitions give fewer files, and a micro-batch would take the next slice's as well.
+        if len(room.spark.read.schema(rows.schema).parquet(place).inputFiles()) < SLICE_FILES:
+            some.repartition(SLICE_FILES).write.mode("overwrite").parquet(place)
     stream = room.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", SLICE_FILES)
     return stream.parquet(f"{folder}/slice-*")
 
