@@ -419,9 +419,8 @@ def source_candidates(sources: DataFrame, documents: DataFrame, rules: DataFrame
     allowed_domains. ``documents``: url, payload. A source whose document was not
     fetched has no candidates.
 
-    All documents move once, to the sources that name them; feeds and listings go on
-    from there. Maps are read level by level, so only documents that can have records
-    of a map take part in that; among the others no map can have a candidate.
+    Maps are read level by level, and each level moves the documents it is given, so
+    only those that can have records of a map take part; no other has a candidate.
     """
     kind = F.upper(text.strip(F.coalesce("source_type", F.lit(""))))
     sources = sources.withColumn("source_type", kind)
