@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 8 << 20
+#: Bytes of rows that Spark sends to a Python worker at a time. A batch is held by the JVM and by the worker,
+#: and ends behind the row that fills it, so the limit lies below a slice.
+BATCH_BYTES = 6 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +47,16 @@ def keep(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def map_batches(
+    frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+) -> DataFrame:
+    """``frame.mapInArrow`` with batches of about ``BATCH_BYTES``, unless the session has a limit of its own."""
+    conf = frame.sparkSession.conf
+    if conf.get(_BATCH_LIMIT, None) is None:
+        conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    return frame.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold ``limit`` bytes at most, or one row."""
     column = batch.column(batch.schema.get_field_index(text))
@@ -93,4 +107,4 @@ def add_columns(
                 old = [part.column(part.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays(old + made, names=names + [f.name for f in fields])
 
-    return frame.mapInArrow(run, schema)
+    return map_batches(frame, run, schema)

@@ -60,8 +60,8 @@ def member_filter(values: DataFrame, value: str) -> np.ndarray:
         F.expr("bit_or(shiftleft(1L, p % 32))").alias("bits")
     )
     held = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    for row in words.collect():
-        held[row.w] = row.bits
+    found = words.toArrow()  # half a million words as rows of Python objects would take the driver's memory
+    held[found["w"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     return held
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import add_columns, fresh, keep, slices, table, utf8
+from newsloom.llm.common import add_columns, fresh, keep, map_batches, slices, table, utf8
 from newsloom.llm.graph import components, filter_places, may_hold, member_filter
 
 #: Words of a shingle, and the similarity at which sets link, in hundredths, unless the caller says otherwise.
@@ -113,7 +113,7 @@ def _surveyed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
-    return keep(docs.mapInArrow(lambda batches: _surveyed(batches, width), "kind int, doc_id bigint, n bigint, key bigint, token bigint"))
+    return keep(map_batches(docs, lambda batches: _surveyed(batches, width), "kind int, doc_id bigint, n bigint, key bigint, token bigint"))
 
 
 def _token_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _token_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(packed, pa.binary())], names=["key", "tokens"])
 
     placed = docs.select("doc_id", "text", *[p.alias(f"p{k}") for k, p in enumerate(filter_places("doc_id"))])
-    rows = placed.mapInArrow(run, "key bigint, tokens binary")
+    rows = map_batches(placed, run, "key bigint, tokens binary")
     return rows.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("tokens").alias("tokens"))
 
 
@@ -220,9 +220,8 @@ def _prefixes(docs: DataFrame, survey: DataFrame, width: int, threshold: int) ->
     Sets of sizes n and m that link share ``ENOUGH`` tokens, or all that their sizes demand,
     whose places lie so early that ``threshold * m <= reach`` of the one and ``threshold * n <= reach`` of the other.
     """
-    often = survey.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    known = np.array([r.token for r in often], dtype=np.int64).view(np.uint64)
-    counts = np.array([r.n for r in often], dtype=np.int64)
+    often = survey.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    known, counts = often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(known)
     known, counts = known[order], counts[order]
 
@@ -250,7 +249,7 @@ def _prefixes(docs: DataFrame, survey: DataFrame, width: int, threshold: int) ->
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "token", "reach"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, key bigint, token bigint, reach bigint")
+    return map_batches(docs, run, "doc_id bigint, n bigint, key bigint, token bigint, reach bigint")
 
 
 def _matrix(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -265,7 +264,7 @@ def _matrix(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(chosen)).select([0, 1, 2, 3, 4])
 
     placed = prefixes.select("doc_id", "n", "key", "token", "reach", *[p.alias(f"p{k}") for k, p in enumerate(filter_places("token"))])
-    rows = placed.mapInArrow(run, "doc_id bigint, n bigint, key bigint, token bigint, reach bigint").distinct()
+    rows = map_batches(placed, run, "doc_id bigint, n bigint, key bigint, token bigint, reach bigint").distinct()
     speaks = sets.select(F.col("key").alias("set"), F.col("doc_id").alias("by"))
     rows = rows.join(speaks, (F.col("key") == F.col("set")) & F.col("doc_id").eqNullSafe(F.col("by")), "left_semi")
     return keep(rows.join(shared, "token", "left_semi").select("token", "key", "doc_id", "n", "reach"))

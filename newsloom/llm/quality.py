@@ -194,7 +194,7 @@ def train(docs: DataFrame, text: str = "text") -> tuple[LabelModel, Scorer]:
         if side:
             some = voted.where(F.col("votes").isin(side)).select("order").distinct().orderBy("order").limit(SAMPLE)
             chosen += [r.order for r in some.collect()]
-    rows = []
+    x, target = np.zeros((0, 1 << HASH_BITS)), np.zeros(0)
     if chosen:
         picked = seen.where(F.col("order").isin(chosen)).dropDuplicates(["order"])
 
@@ -204,9 +204,9 @@ def train(docs: DataFrame, text: str = "text") -> tuple[LabelModel, Scorer]:
             return [said, [features(t, v).astype(np.float32).tobytes() for t, v in zip(texts, said, strict=True)]]
 
         fields = [T.StructField("votes", T.StringType()), T.StructField("x", T.BinaryType())]
-        rows = sorted(add_columns(picked, "text", fields, describe, drop_text=True).collect(), key=lambda r: r.order)
-    x = np.array([np.frombuffer(r.x, dtype=np.float32) for r in rows]).reshape(len(rows), 1 << HASH_BITS)
-    target = np.array([model.posterior(r.votes) for r in rows])
+        rows = add_columns(picked, "text", fields, describe, drop_text=True).toArrow().sort_by("order")
+        x = np.array([np.frombuffer(v.as_buffer(), dtype=np.float32) for v in rows["x"]]).reshape(rows.num_rows, 1 << HASH_BITS)
+        target = np.array([model.posterior(said) for said in rows["votes"].to_pylist()])
     return model, train_scorer(x, target)
 
 
