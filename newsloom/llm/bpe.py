@@ -83,9 +83,14 @@ class ByteBPE:
         self.cut = regex.compile(PATTERN)
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bad = re.compile(r"(?:^|[\s])[ \n]|[ \n](?:\s|$)")
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.checked: dict[int, bool] = {}
+        self.words: dict[str, bytes]
+        self.older: dict[str, bytes]
+        self.checked: dict[int, bool]
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the caches, which would else stay in the worker after its task. The tables stay."""
+        self.words, self.older, self.checked = {}, {}, {}
 
     def _merges(self, merges: list, ids: dict[bytes, int], raw) -> None:
         """Ranks by pair, and for each token its two parts and the rank that made it."""
@@ -274,6 +279,12 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+def _forget(path: str) -> None:
+    """A task's end: its words leave the worker, the tables stay."""
+    if load.cache_info().currsize:  # a task without rows loads nothing
+        load(path).forget()
+
+
 def _texts(batch: pa.RecordBatch, text: str):
     for value in batch.column(batch.schema.get_field_index(text)):
         yield value.as_py() or ""
@@ -286,7 +297,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
         bpe = load(path)
         return [[bpe.encode(t) for t in _texts(batch, text)]]
 
-    return add_columns(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    return add_columns(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make, done=lambda: _forget(path))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -326,7 +337,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = Fal
         return columns[: 3 + keep_ids]
 
     fields = [T.StructField(n, k) for n, k in zip(names, kinds)]
-    return add_columns(docs, text, fields, make), names
+    return add_columns(docs, text, fields, make, done=lambda: _forget(path)), names
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

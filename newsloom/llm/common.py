@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,14 +49,36 @@ def keep(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and allocators keep what a task took at most."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(
-    frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+    frame: DataFrame,
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: T.StructType | str,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """``frame.mapInArrow`` with batches of about ``BATCH_BYTES``, unless the session has a limit of its own."""
+    """``frame.mapInArrow`` with batches of about ``BATCH_BYTES``, unless the session has a limit of its own.
+
+    A task ends with ``done`` and gives its memory back.
+    """
     conf = frame.sparkSession.conf
     if conf.get(_BATCH_LIMIT, None) is None:
         conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
-    return frame.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if done is not None:
+                done()
+            give_back()
+
+    return frame.mapInArrow(task, schema)
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -84,11 +108,12 @@ def add_columns(
     fields: list[T.StructField],
     make: Callable[[pa.RecordBatch], list],
     drop_text: bool = False,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``frame`` with columns computed by ``make`` from slices of its Arrow batches, row by row, without a shuffle.
 
     ``make`` gets a batch and returns one list or Arrow array per field. Fields
-    must not clash with columns of ``frame`` (see :func:`fresh`).
+    must not clash with columns of ``frame`` (see :func:`fresh`). ``done`` is called when a task ends.
     """
     kept = [f for f in frame.schema.fields if not (drop_text and f.name == text)]
     schema = T.StructType(kept + fields)
@@ -107,4 +132,4 @@ def add_columns(
                 old = [part.column(part.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays(old + made, names=names + [f.name for f in fields])
 
-    return map_batches(frame, run, schema)
+    return map_batches(frame, run, schema, done)

@@ -17,6 +17,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +125,10 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) ->
         for gram in sorted(grams)
     ]
     # One row per trigram of a rule: as many as the rule file has.
-    wanted = F.broadcast(spark.createDataFrame(asked, "kind string, alternative int, gram string, need int"))
+    kinds = {"kind": pa.string(), "alternative": pa.int32(), "gram": pa.string(), "need": pa.int32()}
+    columns = [pa.array([row[k] for row in asked], kind) for k, kind in enumerate(kinds.values())]
+    # As an Arrow table it needs no Python on the executors; a list would start a daemon and workers there.
+    wanted = F.broadcast(spark.createDataFrame(pa.table(columns, names=list(kinds))))
     met = (
         postings.join(wanted, "gram")
         .groupBy("doc_id", "kind", "alternative", "need")
