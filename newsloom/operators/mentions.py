@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom import settings
 from newsloom.functions import identity, text
@@ -138,6 +140,55 @@ def catalog_spans(
     )
 
 
+def catalog_mentions(
+    articles: DataFrame, rules: DataFrame, entities: DataFrame, *, text_column: str = "filtered_content", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """The spans of :func:`catalog_spans` with their entities, a row per id: ``id``, ``keep``, ``texts``, ``found``.
+
+    ``found`` has a row (label, text, starts, score, canonical_entity_id, canonical_name) per label and
+    written form, which :func:`placed` spreads to spans; ``texts`` counts the texts that aren't null.
+    Articles of one id must come together, with the same ``keep``. A form is resolved once for its places
+    in a text, and rows leave their partition only where the catalog is too large to broadcast.
+    """
+    known = phrases.dictionary(rules.select("alias", "label")).select("folded", "first", "tokens", "label").distinct()
+    filters = phrases.Filters.of(known)
+    texts = articles.select("id", *keep, F.col(text_column).isNotNull().alias("has_text"), text_column)
+    marked = phrases.marked(texts, filters, text_column=text_column, keep=(*keep, "has_text"), overlapping=False)
+    formed = _with_forms(marked.withColumnRenamed("form", "text").withColumn("score", F.lit(1.0)))
+    rows = phrases.met(formed, known.select("folded", "label"), filters)
+    columns = ["label", "text", "starts", "score", "canonical_entity_id", "canonical_name"]
+    resolved = persistable(resolve(rows, entities, ordered=True)).select("id", *keep, "has_text", "_article", *columns)
+    kept = ("id", *keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, heads, begins in phrases.whole(batches, by_id=True):
+            own = np.zeros(batch.num_rows, dtype=bool)
+            own[heads] = True
+            found = batch.select(columns).filter(pa.array(~own))
+            ahead = np.concatenate((np.cumsum(~own) - ~own, [found.num_rows]))  # runs before a row
+            held = batch.column("has_text").to_numpy(zero_copy_only=False)[heads].astype(np.int32)
+            groups = pa.ListArray.from_arrays(pa.array(ahead[[*begins, -1]], pa.int32()), found.to_struct_array())
+            number = pa.array(np.add.reduceat(held, np.searchsorted(heads, begins)), pa.int32())
+            first = batch.take(pa.array(begins))
+            yield pa.RecordBatch.from_arrays([*(first.column(c) for c in kept), number, groups], names=[*kept, "texts", "found"])
+
+    form = T.StructType([resolved.schema[c] for c in columns])
+    fields = [*(resolved.schema[c] for c in kept), T.StructField("texts", T.IntegerType()), T.StructField("found", T.ArrayType(form))]
+    return resolved.mapInArrow(run, T.StructType(fields))
+
+
+def placed(found: Column) -> Column:
+    """The spans of ``found`` of :func:`catalog_mentions`, in order."""
+
+    def spans(form: Column) -> Column:
+        others = [form[c].alias(c) for c in ("label", "text", "score", "canonical_entity_id", "canonical_name")]
+        return F.transform(
+            form["starts"], lambda start: F.struct(start.alias("start"), (start + F.length(form["text"])).alias("end"), *others)
+        )
+
+    return F.array_sort(F.flatten(F.transform(found, spans)))
+
+
 def _with_forms(spans: DataFrame) -> DataFrame:
     """Spans with the name key and slug of their text, which resolution needs."""
     return spans.withColumns({"name_key": text.name_key(F.col("text")), "slug": text.slugify(F.col("text"))})
@@ -233,15 +284,20 @@ def persistable(spans: DataFrame, minimum: float = settings.PERSIST_THRESHOLD) -
     return spans.filter(F.col("score") >= minimum)
 
 
-def resolve(spans: DataFrame, entities: DataFrame) -> DataFrame:
+def resolve(spans: DataFrame, entities: DataFrame, *, ordered: bool = False) -> DataFrame:
     """Add ``canonical_entity_id`` and ``canonical_name``.
 
     By (label, name), else by name in any type, else a deterministic id of the
     mention itself. The lookup joins are plain equi-joins: Spark broadcasts the
     catalog while its size allows and splits skewed names otherwise. Spans that
-    do not carry ``name_key`` and ``slug`` get them here.
+    do not carry ``name_key`` and ``slug`` get them here. ``ordered``: rows of
+    :func:`phrases.marked`, which stay in their order.
     """
     by_label, by_any = catalogs.lookup(entities)
+    if ordered:
+        size = by_label.agg(F.sum(phrases.weight("label", "name_key", "id", "canonical_name"))).first()[0] or 0
+        held = size <= phrases.BROADCAST_BYTES
+        by_label, by_any = (F.broadcast(by_label), F.broadcast(by_any)) if held else (by_label, by_any)
     own_name = text.strip(F.col("text"))
     columns = [c for c in spans.columns if c not in ("name_key", "slug")]
     keyed = spans.withColumn("label", F.upper("label"))
@@ -262,6 +318,7 @@ def resolve(spans: DataFrame, entities: DataFrame) -> DataFrame:
     )
     own_id = identity.entity_id(F.concat(F.col("label"), F.lit(":"), F.col("slug")))
     found = F.coalesce("_typed", "_any")
+    joined = phrases.in_order(joined, held) if ordered else joined
     return joined.select(
         *columns,
         F.coalesce(found["id"], own_id).alias("canonical_entity_id"),

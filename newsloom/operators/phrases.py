@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ from newsloom.session import spread
 FILTER_BITS = 1 << 24
 _WORD_BITS = 63
 #: Size of a dictionary, estimated by its texts, that is broadcast for the join.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 #: Rows that a worker collects before it passes them on.
 ROWS = 4096
 #: Tokens whose filter answer a worker remembers.
@@ -75,10 +76,9 @@ class Filters:
 
         # The hash of the workers; that it has a sign here doesn't matter to a power of two.
         place = F.pmod(F.xxhash64("b.text"), F.lit(FILTER_BITS))
-        # About the bytes of a row in a broadcast table: its phrase, its other values and the row itself.
-        weight = 2 * F.octet_length("folded") + 100
+        size = weight("folded")
         placed = known.select(
-            F.explode(F.array(entry(0, "first"), entry(1, "folded"))).alias("b"), "tokens", weight.alias("weight")
+            F.explode(F.array(entry(0, "first"), entry(1, "folded"))).alias("b"), "tokens", size.alias("weight")
         ).select("b.kind", place.alias("at"), "tokens", "weight")
         words = placed.groupBy("kind", F.expr(f"at DIV {_WORD_BITS}").alias("word")).agg(
             F.bit_or(F.expr(f"shiftleft(1L, CAST(at % {_WORD_BITS} AS INT))")).alias("bits"),
@@ -174,6 +174,107 @@ def find(
     return spread(articles.select("id", text_column)).mapInArrow(run, T.StructType(fields)).join(held, "folded")
 
 
+def weight(*texts: Column | str) -> Column:
+    """About the bytes of a row in a broadcast table: its texts, its other values and the row itself."""
+    return 2 * sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0)) + 100
+
+
+def marked(
+    articles: DataFrame, filters: Filters, *, text_column: str = "content", keep: tuple[str, ...] = (), overlapping: bool = True
+) -> DataFrame:
+    """The rows of ``articles`` (``id`` and ``keep``), each followed by the runs in its text that may be phrases.
+
+    An article's own row has no ``starts``. A run's row has the article's ``id``, the run as a phrase (``folded``) and
+    as it is written there (``form``), and its ``starts``, chosen as :func:`find` does. ``_article`` numbers both.
+    """
+    shared = articles.sparkSession.sparkContext.broadcast((filters.bits, filters.size, filters.counts))
+    columns = list(dict.fromkeys(["id", *keep, text_column]))
+    text = columns.index(text_column)
+    schema = T.StructType(
+        [
+            *(T.StructField(c, articles.schema[c].dataType) for c in ("id", *keep)),
+            T.StructField("_article", T.LongType()),
+            T.StructField("folded", T.StringType()),
+            T.StructField("form", T.StringType()),
+            T.StructField("starts", T.ArrayType(T.IntegerType())),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = Filters(*shared.value)
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            out = pa.schema(
+                [batch.schema.field(i) for i in range(1 + len(keep))]
+                + [("_article", pa.int64()), ("folded", pa.string()), ("form", pa.string()), ("starts", pa.list_(pa.int32()))]
+            )
+            rows: list[tuple] = []
+            for at in range(batch.num_rows):
+                key, *kept = (batch.column(i)[at].as_py() for i in range(1 + len(keep)))
+                value = batch.column(text)[at].as_py() or ""
+                number += 1
+                # No phrase begins with a blank: the article's own row meets none, and lies anywhere in a shuffle.
+                rows.append((key, *kept, number, f" {number}", None, None))
+                for folded, places in mine.runs(value).items():
+                    size = len(folded)
+                    forms: dict[str, list[int]] = {}
+                    for p in places if overlapping else _apart(places, size):
+                        forms.setdefault(value[p : p + size], []).append(p)
+                    rows += ((key, *(None for _ in kept), number, folded, form, starts) for form, starts in forms.items())
+                if len(rows) >= ROWS:
+                    yield record_batch(out, list(zip(*rows, strict=True)))
+                    rows = []
+            yield record_batch(out, list(zip(*rows, strict=True)) or [[] for _ in out])
+
+    return articles.select(columns).mapInArrow(run, schema)
+
+
+def met(rows: DataFrame, known: DataFrame, filters: Filters) -> DataFrame:
+    """The rows of :func:`marked` in their order, with the columns of ``known``; runs that are no phrase are left out."""
+    held = filters.volume <= BROADCAST_BYTES
+    phrase = known.withColumn("_known", F.lit(True))
+    joined = rows.join(F.broadcast(phrase) if held else phrase, "folded", "left")
+    return in_order(joined.filter(F.col("starts").isNull() | F.col("_known")).drop("_known"), held)
+
+
+def in_order(rows: DataFrame, kept: bool) -> DataFrame:
+    """Rows of :func:`marked` in their order, which broadcast joins have ``kept``."""
+    if kept:
+        return rows
+    return rows.repartition("id").sortWithinPartitions("id", "_article", F.col("starts").isNotNull())
+
+
+def whole(batches: Iterator[pa.RecordBatch], *, by_id: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of :func:`marked` as batches of whole groups, with the places of the articles' own rows and of the groups' first.
+
+    A group is an article, or with ``by_id`` the articles in a row that share their id.
+    """
+    open_: pa.RecordBatch | None = None  # the group that the next batch may go on with
+    for batch in batches:
+        rows = batch if open_ is None else pa.concat_batches([open_, batch])
+        if not rows.num_rows:
+            continue
+        heads, begins = _bounds(rows, by_id)
+        last = begins[-1]
+        if last:
+            yield rows.slice(0, last), heads[heads < last], begins[:-1]
+        open_ = rows.slice(last)
+    if open_ is not None:
+        yield open_, *_bounds(open_, by_id)
+
+
+def _bounds(rows: pa.RecordBatch, by_id: bool) -> tuple[np.ndarray, np.ndarray]:
+    own = rows.column("starts").is_null().to_numpy(zero_copy_only=False)
+    heads, numbers = np.flatnonzero(own), rows.column("_article").to_numpy()
+    # Each row must lie behind its article's own.
+    if not own[0] or (numbers[heads][np.cumsum(own) - 1] != numbers).any():
+        raise ValueError("the rows of an article are not in order")
+    if not by_id:
+        return heads, heads
+    ids = rows.column("id").take(pa.array(heads)).to_pylist()
+    return heads, heads[[i == 0 or ids[i] != ids[i - 1] for i in range(len(ids))]]
+
+
 def _apart(places: list[int], size: int) -> list[int]:
     """From left to right the places whose runs of ``size`` don't overlap."""
     kept: list[int] = []
@@ -187,14 +288,6 @@ def record_batch(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def with_found(articles: DataFrame, found: DataFrame, columns: list[str], text_column: str) -> DataFrame:
-    """Articles (id, text) with ``found``: the article's own places, from left to right, longest and smallest first."""
-    place = F.transform("starts", lambda s: F.struct(s.alias("start"), (-F.length("folded")).alias("less"), *columns))
-    # A list per article, bounded by the article's own words.
-    grouped = found.select("id", place.alias("p")).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("found"))
-    return articles.select("id", text_column).join(grouped, "id", "left")
-
-
 def apart(starts: list[int], less: list[int]) -> Iterator[tuple[int, int, int]]:
     """Of places in order those that begin behind the last taken one: (number, start, end)."""
     done = 0

@@ -58,6 +58,11 @@ def news_entities(
         "id", F.lit(True).alias("has_content")
     )
     rows = articles_in.select("id").join(with_content, "id", "left").join(grouped, "id", "left")
+    return _entity_rows(rows, now, model)
+
+
+def _entity_rows(rows: DataFrame, now: Column, model: tuple[str, str]) -> DataFrame:
+    """``news_entities`` rows of (``id``, ``spans``, ``has_content``)."""
     return rows.select(
         "id",
         F.coalesce(
@@ -88,9 +93,22 @@ def process(
 ) -> tuple[DataFrame, DataFrame]:
     """(news_entities rows, filtered contents) for the given articles."""
     mine = contents.join(metadata.select("id"), "id", "left_semi")
-    filtered = filtered_contents(mine, entities)
-    found = extract_mentions(filtered, entities, extractor)
-    return news_entities(metadata, found, mine, now), filtered
+    # Texts move once, to the ids that they belong to; ids and texts that come again count as often.
+    ids = metadata.groupBy("id").agg(F.count("*").alias("copies"))
+    texts = ids.join(mine.filter(F.col("content").isNotNull()).select("id", "content"), "id", "left")
+    together = texts.repartition("id").sortWithinPartitions("id")
+    rules = catalog.rewrite_rules(catalog.active(entities))
+    rewritten = aliases.rewrite_aliases(together, rules, keep=("copies",), dealt=True)
+    filtered = rewritten.filter(F.col("filtered_content").isNotNull()).select("id", "filtered_content")
+    if extractor is not None:
+        return news_entities(metadata, extract_mentions(filtered, entities, extractor), mine, now), filtered
+    known = catalog.active(entities)
+    found = mentions.catalog_mentions(rewritten, catalog_rules(known), known, keep=("copies",))
+    copies = F.sequence(F.lit(1), F.col("copies") * F.greatest("texts", F.lit(1)))
+    rows = found.select("id", "texts", "found", F.explode(copies)).select(
+        "id", mentions.placed(F.col("found")).alias("spans"), F.when(F.col("texts") > 0, True).alias("has_content")
+    )
+    return _entity_rows(rows, now, (MODEL_NAME, MODEL_VERSION)), filtered
 
 
 def process_backlog(
