@@ -190,8 +190,14 @@ def placed(found: Column) -> Column:
 
 
 def _with_forms(spans: DataFrame) -> DataFrame:
-    """Spans with the name key and slug of their text, which resolution needs."""
-    return spans.withColumns({"name_key": text.name_key(F.col("text")), "slug": text.slugify(F.col("text"))})
+    """Spans with the name key and slug of their text, which resolution needs: for most words just their lower case."""
+    word, plain = F.col("text").rlike("^[A-Za-z0-9]+$"), F.lower("text")
+    return spans.withColumns(
+        {
+            "name_key": F.when(word, plain).otherwise(text.name_key(F.col("text"))),
+            "slug": F.when(word, plain).otherwise(text.slugify(F.col("text"))),
+        }
+    )
 
 
 def literal_extractor(rules: list[tuple[str, str, float]]) -> EntityExtractor:

@@ -36,8 +36,8 @@ _WORD_BITS = 63
 BROADCAST_BYTES = 64 << 20
 #: Rows that a worker collects before it passes them on.
 ROWS = 4096
-#: Tokens whose filter answer a worker remembers.
-_REMEMBERED = 200_000
+#: Tokens, and runs, whose filter answer a worker remembers.
+_REMEMBERED = 100_000
 
 _PARTS = T.StructType(
     [T.StructField("folded", T.StringType()), T.StructField("first", T.StringType()), T.StructField("tokens", T.IntegerType())]
@@ -65,7 +65,7 @@ class Filters:
 
     def __init__(self, bits: np.ndarray, size: int, counts: list[int], volume: int = 0):
         self.bits, self.size, self.counts, self.volume = bits, size, counts, volume
-        self.seen: dict[str, bool] = {}
+        self.seen: tuple[dict[str, bool], dict[str, bool]] = ({}, {})
 
     @classmethod
     def of(cls, known: DataFrame) -> Filters:
@@ -98,35 +98,41 @@ class Filters:
         place = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed=42) % self.size
         return bool(int(self.bits[kind, place // _WORD_BITS]) >> (place % _WORD_BITS) & 1)
 
-    def opens(self, token: str) -> bool:
-        """Whether some phrase may begin with ``token``."""
-        known = self.seen.get(token)
+    def may(self, kind: int, text: str) -> bool:
+        """:meth:`has`, remembered: whether some phrase may begin with the token ``text`` (0) or be it (1)."""
+        seen = self.seen[kind]
+        known = seen.get(text)
         if known is None:
-            if len(self.seen) >= _REMEMBERED:
-                self.seen.clear()
-            known = self.seen[token] = self.has(0, token)
+            if len(seen) >= _REMEMBERED:
+                seen.clear()
+            known = seen[text] = self.has(kind, text)
         return known
 
     def runs(self, text: str) -> dict[str, list[int]]:
         """Starts of the token runs of ``text`` that may be phrases, by their folded text."""
         folded = matching.fold(text)
-        tokens = [(m.start(), m.end()) for m in matching.TOKEN.finditer(folded)]
+        tokens = [m.span() for m in matching.TOKEN.finditer(folded)]
         found: dict[str, list[int]] = {}
-        size = len(folded)
+        many, opening = len(tokens), self.seen[0]
+        before = -1
         for i, (start, stop) in enumerate(tokens):
-            if not self.opens(folded[start:stop]) or (start and matching.is_word(folded[start - 1])):
+            token = folded[start:stop]
+            known = opening.get(token)
+            # Between tokens that don't touch there is white space.
+            touches, before = start == before, stop
+            if not (self.may(0, token) if known is None else known) or (touches and matching.is_word(folded[start - 1])):
                 continue
             for n in self.counts:
-                if i + n > len(tokens):
+                if i + n > many:
                     break
                 end = tokens[i + n - 1][1]
-                if end < size and matching.is_word(folded[end]):
+                if i + n < many and tokens[i + n][0] == end and matching.is_word(folded[end]):
                     continue
                 run = folded[start:end]
                 known = found.get(run)
                 if known is not None:
                     known.append(start)
-                elif self.has(1, run):
+                elif self.may(1, run):
                     found[run] = [start]
         return found
 
@@ -204,31 +210,57 @@ def marked(
         mine = Filters(*shared.value)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out = pa.schema(
-                [batch.schema.field(i) for i in range(1 + len(keep))]
-                + [("_article", pa.int64()), ("folded", pa.string()), ("form", pa.string()), ("starts", pa.list_(pa.int32()))]
-            )
-            rows: list[tuple] = []
+            rows = _Rows()
             for at in range(batch.num_rows):
-                key, *kept = (batch.column(i)[at].as_py() for i in range(1 + len(keep)))
                 value = batch.column(text)[at].as_py() or ""
-                number += 1
                 # No phrase begins with a blank: the article's own row meets none, and lies anywhere in a shuffle.
-                rows.append((key, *kept, number, f" {number}", None, None))
+                rows.add(at, f" {number + at}", None, None)
                 for folded, places in mine.runs(value).items():
                     size = len(folded)
                     forms: dict[str, list[int]] = {}
                     for p in places if overlapping else _apart(places, size):
                         forms.setdefault(value[p : p + size], []).append(p)
-                    rows += ((key, *(None for _ in kept), number, folded, form, starts) for form, starts in forms.items())
-                if len(rows) >= ROWS:
-                    yield record_batch(out, list(zip(*rows, strict=True)))
-                    rows = []
-            yield record_batch(out, list(zip(*rows, strict=True)) or [[] for _ in out])
+                    for form, starts in forms.items():
+                        rows.add(at, folded, form, starts)
+                if len(rows.at) >= ROWS or at == batch.num_rows - 1:
+                    yield rows.batch(batch, 1 + len(keep), number)
+                    rows = _Rows()
+            number += batch.num_rows
 
     return articles.select(columns).mapInArrow(run, schema)
 
 
+class _Rows:
+    """Rows of :func:`marked` by column."""
+
+    def __init__(self) -> None:
+        self.at: list[int] = []
+        self.folded: list[str] = []
+        self.forms: list[str | None] = []
+        self.starts: list[int] = []
+        self.ends: list[int] = [0]
+
+    def add(self, at: int, folded: str, form: str | None, starts: list[int] | None) -> None:
+        self.at.append(at)
+        self.folded.append(folded)
+        self.forms.append(form)
+        if starts:
+            self.starts += starts
+        self.ends.append(len(self.starts))
+
+    def batch(self, source: pa.RecordBatch, kept: int, number: int) -> pa.RecordBatch:
+        """With the first column of ``source``, and in the articles' own rows with the others that are ``kept``."""
+        at = np.array(self.at, dtype=np.int64)
+        forms = pa.array(self.forms, pa.string())
+        own = forms.is_null().to_numpy(zero_copy_only=False)
+        of, ends = pa.array(at), pa.array(self.ends, pa.int32())
+        others = pa.array(at, mask=~own)
+        columns = {source.schema.names[i]: source.column(i).take(others if i else of) for i in range(kept)}
+        columns |= {"_article": pa.array(at + number), "folded": pa.array(self.folded, pa.string()), "form": forms}
+        columns["starts"] = pa.ListArray.from_arrays(ends, pa.array(self.starts, pa.int32()), mask=pa.array(own))
+        return pa.RecordBatch.from_pydict(columns)
+
+
 def met(rows: DataFrame, known: DataFrame, filters: Filters) -> DataFrame:
     """The rows of :func:`marked` in their order, with the columns of ``known``; runs that are no phrase are left out."""
     held = filters.volume <= BROADCAST_BYTES
